@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, simhash, token_files, toxicity
+from quirelake.llm import bpe, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
 from quirelake.llm.common import table
 
 
@@ -32,16 +32,32 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality_rules.NAMES, "base_failed", "kept", "d2")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
     "op7_simhash": op7_simhash,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
