@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
+from quirelake.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
 from quirelake.llm.common import table
 
 
@@ -36,6 +36,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return found.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -55,9 +65,14 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": decontamination.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+}
