@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
+from quirelake.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, token_files, toxicity, url_filter
 from quirelake.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(trip)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files, ranks = token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -62,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
