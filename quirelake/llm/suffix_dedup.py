@@ -334,7 +334,8 @@ def _with_spans(rows: DataFrame, told: DataFrame, how: str) -> DataFrame:
     lists = told.groupBy("doc", "sub").agg(F.collect_list("spans").alias("spans"))
     lists = lists.withColumnsRenamed({"doc": "t_doc", "sub": "t_sub"})
     same = (F.col("doc") == F.col("t_doc")) & (F.col("sub") == F.col("t_sub"))
-    return rows.join(lists, same, how).drop("t_doc", "t_sub")
+    # A merge join at every size: the lists grow with the input and are not broadcast.
+    return rows.join(lists.hint("merge"), same, how).drop("t_doc", "t_sub")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
