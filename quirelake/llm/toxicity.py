@@ -32,7 +32,7 @@ from quirelake.llm.common import map_rows, slices, texts_of
 BITS = 18
 
 #: Labelled rows that a fit uses, about; and features of such a row, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 SAMPLE_WORDS = 8_000
 
 #: Passes over the sample; the weight of the squared weights; a word counts only if so
@@ -110,30 +110,32 @@ def fit(rows: list, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     words = np.concatenate([np.frombuffer(r["words"], np.int32) for r in rows])
     sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
     per_doc = np.array([len(r["sizes"]) // 4 for r in rows])
-    starts, bag_starts = np.cumsum(sizes) - sizes, np.cumsum(per_doc) - per_doc
-    doc = np.repeat(np.repeat(np.arange(len(y)), per_doc), sizes)
-    used, held = np.unique(np.unique(doc * (1 << BITS) + words) & ((1 << BITS) - 1), return_counts=True)
+    n, bag_starts = len(sizes), np.cumsum(per_doc) - per_doc
+    sentence = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    doc = np.repeat(np.arange(len(y)), per_doc)[sentence]
+    used, held = np.unique(np.unique(doc << BITS | words) & ((1 << BITS) - 1), return_counts=True)
     used = used[held >= LEAST_DOCS]
-    place = np.full(1 << BITS, len(used))
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     column = place[words]
-    w, rate = np.zeros(len(used) + 1), y.mean()  # the last stands for all other words, and stays 0
+    counted = column >= 0
+    column, sentence = column[counted], sentence[counted]
+    del words, doc, counted
+    w, rate = np.zeros(len(used)), y.mean()
     bias = np.log(rate / per_doc.mean())
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     label, mass = np.repeat(y, per_doc), len(y)
     for step in range(1, epochs + 1):
-        z = np.clip(np.add.reduceat(w[column], starts) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[column], n) + bias, -30, 30)))
         clear = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), bag_starts)  # log of "no sentence offends"
         q = np.exp(clear)
         pull = np.where(label > 0, -np.repeat(q / np.maximum(1 - q, 1e-6), per_doc), 1.0) * p
-        slope = np.r_[np.bincount(column, np.repeat(pull, sizes), len(w)) / mass + RIDGE * w, pull.sum() / mass]
+        slope = np.r_[np.bincount(column, pull[sentence], len(w)) / mass + RIDGE * w, pull.sum() / mass]
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         w = np.maximum(w - move[:-1], 0)  # a harmless word doesn't excuse its sentence
-        w[-1] = 0
         bias -= move[-1]
-    weights[used] = w[:-1]
+    weights[used] = w
     return weights, float(bias)
 
 
@@ -143,28 +145,43 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
         slots = Slots()
         for b in slices(batches):
-            scores, spans = [], []
-            for text in texts_of(b):
-                at = sentences(text)
-                if not at:
-                    scores.append(0.0), spans.append([])
-                    continue
-                own = [slots.of(text[s:e]) for s, e in at]
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                words = np.fromiter((x for o in own for x in o), np.int64, int(sizes.sum()))
-                z = np.clip(np.add.reduceat(weights[words].astype(np.float64), np.cumsum(sizes) - sizes) + bias, -40, 40)
-                p = 1 / (1 + np.exp(-z))
-                scores.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
-                spans.append([{"start": at[k][0], "stop": at[k][1], "p": float(p[k])} for k in np.flatnonzero(p >= 0.5)])
+            scores, spans = zip(*(score_of(t, *shared.value, slots) for t in texts_of(b)))
             yield pa.record_batch([b.column("id"), pa.array(scores, pa.float64()), pa.array(spans, SPANS)], ["id", "score", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return map_rows(rows, kernel, "id long, score double, spans array<struct<start:int,stop:int,p:double>>").withColumnRenamed("id", id_col)
 
 
+def score_of(text: str, weights: np.ndarray, bias: float, slots: Slots) -> tuple[float, list[dict]]:
+    """Score of a text, and its offending sentences."""
+    at = sentences(text)
+    if not at:
+        return 0.0, []
+    own = [slots.of(text[s:e]) for s, e in at]
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    words = np.fromiter((x for o in own for x in o), np.int64, int(sizes.sum()))
+    z = np.add.reduceat(weights[words].astype(np.float64), np.cumsum(sizes) - sizes) + bias
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+    return score, [{"start": at[k][0], "stop": at[k][1], "p": float(p[k])} for k in np.flatnonzero(p >= 0.5)]
+
+
+def keep_below(docs: DataFrame, model: tuple[np.ndarray, float], most: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores less than ``most``; rows pass
+    through where they are, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots()
+        for b in slices(batches):
+            clean = [score_of(t, *shared.value, slots)[0] < most for t in texts_of(b)]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return map_rows(docs, kernel, docs.schema)
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
 
 
