@@ -296,10 +296,11 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return map_rows(rows, kernel, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
-def digests(trip: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns of a ``round_trip``."""
+def digests(trip: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The contract's columns of a ``round_trip``, and those of it to ``keep``."""
     return trip.select(
         id_col,
+        *(keep or []),
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),

@@ -226,6 +226,47 @@ def near_duplicates(
     return marked.join(grouped, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def word_hashes(text: str, seed: int) -> np.ndarray:
+    """Hashes of the text's distinct lower-cased words."""
+    words = dict.fromkeys(text.encode("utf-8", "surrogatepass").lower().split())
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, seed) for w in words], np.uint64)
+
+
+#: Seeds of the fingerprints that near copies are found by; one in common is enough.
+WORD_SEEDS = (42, 7, 11)
+
+
+def near_duplicates_by_words(docs: DataFrame, seeds: tuple[int, ...] = WORD_SEEDS, most: int = 3) -> DataFrame:
+    """(doc_id, component_id): near copies by fingerprints of distinct words.
+
+    One replaced word changes several shingles but two words at most, so texts that
+    share 0.8 of their five-word shingles differ in few bits of these fingerprints, and
+    texts of different words in many. Documents are linked if any of their fingerprints,
+    one for each seed, differ in ``most`` bits or fewer."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = texts_of(b)
+            fps = [np.array([fingerprint_of(word_hashes(t, s)) for t in texts], np.uint64).view(np.int64) for s in seeds]
+            yield pa.record_batch([b.column("id"), *map(pa.array, fps)], ["id", *names])
+
+    names = [f"fp{k}" for k in range(len(seeds))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    marked = written(map_rows(rows, kernel, "id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    classes = written(marked.groupBy(*names).agg(F.min("id").alias("rep")), "fingerprint-classes")
+    links = None
+    for name in names:
+        one = written(classes.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("least")), "fingerprint-classes")
+        side = lambda end, to: one.select(F.col("fp").alias(end), F.col("least").alias(to))  # noqa: B023,E731
+        near = links_of(one, most).join(side("fp_u", "u"), "fp_u").join(side("fp_v", "v"), "fp_v").select("u", "v")
+        same = classes.join(one, classes[name] == one.fp).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+        links = near.unionAll(same) if links is None else links.unionAll(near).unionAll(same)
+    roots = components(links)
+    grouped = classes.join(roots, classes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
+    return marked.join(grouped, names).select(F.col("id").alias("doc_id"), "component_id")
+
+
 def hex_of(fp: str):
     """16 lowercase hex digits of a LONG column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
