@@ -74,12 +74,12 @@ def resolve(refs: DataFrame, objects: DataFrame, nodes: DataFrame, links: int =
     """(doc_id, src, path, target, kind): where each reference ends. Objects that are a
     reference themselves are followed, ``links`` at most; nearly all end at once, and
     the loop stops when none is left."""
-    hops = nodes.where("path = '' and kind = 'reference'").selectExpr("doc_id", "holder as via", "ref_obj as onward")
+    hops = nodes.where("path = '' and kind = 'reference'").selectExpr("doc_id", "holder as target", "ref_obj as onward")
     at = refs.selectExpr("doc_id", "src", "path", "dst as target")
     if not hops.limit(1).count():
         links = 1
     for _ in range(links - 1):
-        step = at.join(hops, (at.doc_id == hops.doc_id) & (at.target == hops.via), "left").drop(hops.doc_id)
+        step = at.join(hops, ["doc_id", "target"], "left")
         moved = step.withColumn("moved", F.col("onward").isNotNull())
         at = moved.select("doc_id", "src", "path", F.coalesce("onward", "target").alias("target"))
         if links > 2 and not moved.where("moved").limit(1).count():

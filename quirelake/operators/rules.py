@@ -126,7 +126,7 @@ def object_stream_value_wrong(t: Tables) -> DataFrame:
 
 def offset_imprecise(t: Tables) -> DataFrame:
     placed = joins.placed(t.xref_entries, t.headers).where("place = 'at-offset' and lands <> offset").selectExpr("doc_id", "obj", "offset")
-    sections = t.sections.where("state <> 'NotFound' and not unconfirmed and offset > named_offset and offset - named_offset < 16").selectExpr(
+    sections = t.sections.where("state <> 'NotFound' and not relocated and offset <> named_offset").selectExpr(
         "doc_id", "CAST(NULL AS BIGINT) AS obj", "named_offset AS offset"
     )
     both = placed.unionByName(sections).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("offset").alias("offset"), F.min_by("obj", "offset").alias("obj"))
@@ -182,7 +182,7 @@ PROFILE: tuple[tuple[str, str, Rule], ...] = (
     ("xref.section-malformed", "Error", _sections("state = 'Malformed' or (state = 'Read' and incomplete)", "offset")),
     ("xref.entry-type-reserved", "Warning", _sections("reserved_rows > 0", "offset", "reserved_rows")),
     ("xref.section-not-found", "Error", _sections("ordinal > 0 and state = 'NotFound' and fault <> 'hybrid'")),
-    ("xref.section-shifted", "Warning", _sections("ordinal > 0 and state <> 'NotFound' and (offset < named_offset or offset - named_offset >= 16) and not unconfirmed")),
+    ("xref.section-shifted", "Warning", _sections("relocated and not unconfirmed")),
     ("xref.section-unconfirmed", "Error", _sections("unconfirmed")),
     ("xref.subsection-missing", "Warning", _sections("no_subsection", "offset")),
     ("xref.chain-loop", "Error", _structure("loop_offset is not null", "loop_offset")),

@@ -27,7 +27,7 @@ SCHEMAS = {
     " chain_read boolean, chain_empty boolean, loop_offset long, chain_cut boolean, root_usable boolean, root_named_usable boolean, has_root boolean, catalog_found_as int,"
     " was_repaired boolean, is_encrypted boolean, object_count int, page_root int, tree_whole boolean, open_error string, suppressed long",
     "sections": "ordinal int, named_by string, named_offset long, offset long, kind string, state string, fault string, trailer_fault string, incomplete boolean, no_subsection boolean,"
-    " unconfirmed boolean, reserved_rows long, highest long, size long, prev long, xrefstm long, revision int, wrong_values array<string>",
+    " unconfirmed boolean, relocated boolean, reserved_rows long, highest long, size long, prev long, xrefstm long, revision int, wrong_values array<string>",
     "xref_entries": "section int, row_ord long, obj long, kind string, offset long, lands long, gen long, objstm long, idx long, refused boolean",
     "headers": "pos long, obj long, gen int, clean boolean",
     "index": "obj long, kind string, offset long, gen long, objstm long, idx long, found_by_reader boolean",
@@ -138,7 +138,7 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits()) -> di
         ]
     if "sections" in want:
         out["sections"] = [
-            {n: getattr(s, n) for n in ("ordinal", "named_by", "named_offset", "offset", "kind", "state", "fault", "trailer_fault", "incomplete", "no_subsection", "unconfirmed", "reserved_rows", "highest", "size", "prev", "xrefstm", "revision", "wrong_values")}
+            {n: getattr(s, n) for n in ("ordinal", "named_by", "named_offset", "offset", "kind", "state", "fault", "trailer_fault", "incomplete", "no_subsection", "unconfirmed", "relocated", "reserved_rows", "highest", "size", "prev", "xrefstm", "revision", "wrong_values")}
             for s in f.sections
         ]
     if "xref_entries" in want:

@@ -74,6 +74,7 @@ class Section:
     incomplete: bool = False
     no_subsection: bool = False
     unconfirmed: bool = False
+    relocated: bool = False
     reserved_rows: int = 0
     highest: int = -1
     size: int | None = None
@@ -249,7 +250,7 @@ class PdfFile:
                     continue
                 found = self._section_at(s, place)
                 if found:
-                    s.unconfirmed = not clean
+                    s.unconfirmed, s.relocated = not clean, True
                     self.report("Repair", "xref.offset-adjusted", f"the section named at {offset} lies at {s.offset}", s.offset)
                     break
         if not found:
