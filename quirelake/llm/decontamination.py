@@ -40,7 +40,7 @@ BROADCAST_ROWS = 500_000
 def words_of(text: str = "text") -> Column:
     """The lower-cased words of a text; null gives none."""
     parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def seeds(texts: DataFrame, *ids: str) -> DataFrame:
@@ -48,7 +48,7 @@ def seeds(texts: DataFrame, *ids: str) -> DataFrame:
     hashed = texts.select(*ids, F.transform(words_of(), lambda w: F.xxhash64(w)).alias("w"))
     n = F.greatest(F.size("w"), F.lit(1))
     shifted = F.arrays_zip(*(F.slice("w", k + 1, n).alias(f"w{k}") for k in range(SPAN)))
-    windows = hashed.where(F.size("w") >= 6).select(*ids, F.posexplode(shifted).alias("at", "s"))
+    windows = hashed.select(*ids, F.posexplode(shifted).alias("at", "s"))
     kinds = []
     for m, mask in enumerate(MASKS):
         # The last word there means all are; a null then tells a window cut short.
@@ -72,25 +72,26 @@ def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     candidates = hits(docs, benchmark).join(items, "item_id")
     per_doc = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("found"))
     per_doc = written(per_doc.withColumnRenamed("doc_id", "hit_id"), "benchmark-hits")
-    texts = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")))
-    texts = texts.select("doc_id", words_of().alias("words"), "found")
-
-    def agrees(c: Column) -> Column:
-        item, n = c["item"], F.size(c["item"])
-        same = F.transform(item, lambda w, k: F.when(F.get(F.col("words"), c["shift"] + k) == w, 1).otherwise(0))
-        width = F.least(n, F.lit(WINDOW))
-        sums = F.transform(F.sequence(F.lit(1), n - width + 1), lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), lambda a, x: a + x))
-        return F.array_max(sums) >= F.lit(AGREE) * width
-
-    leaked = texts.select("doc_id", F.transform(F.filter("found", agrees), lambda c: c["item_id"]).alias("items"))
-    return leaked.select("doc_id", F.explode(F.array_distinct("items")).alias("item_id")).distinct()
+    # A merge join at every size: the hits grow with the input and are not broadcast.
+    texts = docs.select("doc_id", "text").join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    # Words stand below the explode, so that they are cut once a document.
+    rows = texts.select("doc_id", words_of().alias("words"), "found").select("doc_id", "words", F.explode("found").alias("c"))
+    item, shift, n = F.col("c.item"), F.col("c.shift"), F.size("c.item")
+    own = F.slice("words", F.greatest(shift, F.lit(0)) + 1, n)
+    theirs = F.slice(item, F.greatest(-shift, F.lit(0)) + 1, n)
+    same = F.array_compact(F.transform(F.zip_with(own, theirs, lambda x, y: x == y), lambda e, k: F.when(e, k)))
+    rows = rows.select("doc_id", "c.item_id", same.alias("same"), F.least(n, F.lit(WINDOW)).alias("width"))
+    # The k-th and the (k + needed - 1)-th agreeing word lie within one window.
+    needed = F.ceil(F.lit(AGREE) * F.col("width")).cast("int")
+    near = F.zip_with("same", F.slice("same", needed, F.greatest(F.size("same"), F.lit(1))), lambda x, y: y - x < F.col("width"))
+    return rows.where(F.exists(near, lambda e: e)).select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, items): for every document, the items that it holds."""
     found = verified(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = written(found.withColumnRenamed("doc_id", "hit_id"), "benchmark-found")
-    joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    joined = docs.select("doc_id").join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
