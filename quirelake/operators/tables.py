@@ -55,6 +55,7 @@ def _arrow(ddl: str) -> pa.StructType:
 def structure_of(f: PdfFile) -> dict:
     root = f.trailer.get("Root")
     named = as_dictionary(f.resolve(f.root_named)) if f.root_named is not None else None
+    pages = (as_dictionary(f.resolve(root)) or {}).get("Pages")
     at = f.header_pos
     return {
         "length": len(f.data),
@@ -76,7 +77,7 @@ def structure_of(f: PdfFile) -> dict:
         "was_repaired": f.was_repaired,
         "is_encrypted": f.is_encrypted,
         "object_count": sum(e.kind != "free" for n, e in f.index.items() if n),
-        "page_root": page_tree.target(f, (as_dictionary(f.resolve(root)) or {}).get("Pages")),
+        "page_root": page_tree.target(f, pages) if as_dictionary(f.resolve(pages)) is not None else None,
         "open_error": f.open_error,
         "suppressed": f.suppressed,
     }
