@@ -18,7 +18,10 @@ other in an order that their ids decide; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.llm.bpe import SPACES
 from quirelake.llm.common import map_rows, slices, texts_of, written
 
 #: Documents of a file, at most; a file is also closed at FILE_IDS ids.
@@ -70,35 +74,101 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # -- encoding ------------------------------------------------------------------
 
+#: Words whose ids a worker remembers; beyond it the memory is emptied.
+WORD_CACHE = 900_000
+
+#: Fixed value: what the tokenizer's pattern cuts a lower-cased text into.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+
+#: The same, letters first: only the last two kinds and the short ones share a beginning.
+LETTERS_FIRST = "[{L}]+|'(?:[stmd]|re|ve|ll)|[{N}]|[^{S}{L}{N}]+"
+
+
+class Encoder:
+    """The library's ids of whole texts. A text of plain Latin letters is cut into the
+    tokenizer's own pieces, and the library encodes each distinct piece once; any other
+    text (marks to compose, letters whose case depends on their place, added tokens) is
+    given to the library as it is."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        latin = [c for c in range(0x250) if chr(c).lower() == chr(c) or len(chr(c).lower()) == 1]
+        kinds = {k: "".join(f"\\u{c:04x}" for c in latin if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        self.pieces = re.compile(LETTERS_FIRST.format(**kinds, S=SPACES))
+        self.other = re.compile("[^" + "".join(f"\\u{c:04x}" for c in latin) + "\\u2010-\\u2027]|<\\|")
+        self.known: dict[str, bytes] = {}
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.plain = self._cuts_into_pieces(path)
+
+    @staticmethod
+    def _cuts_into_pieces(path: str) -> bool:
+        """Whether the file's rules are those that PIECES stands for."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        lower = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        return lower and cut[:1] == [PIECES.format(L="\\p{L}", N="\\p{N}", S="\\s")]
+
+    def is_plain(self, text: str) -> bool:
+        return self.plain and "<|" not in text and (text.isascii() or not self.other.search(text))
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
+            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
+            if len(owner) and owner[-1] == len(part) - 1 and (np.diff(owner) >= 0).all():
+                data = ids.tobytes()
+                width = ids.itemsize
+                for k, word in enumerate(part):
+                    self.known[word] = data[cuts[k] * width : cuts[k + 1] * width]
+            else:
+                for word in part:
+                    self.known[word] = self.whole(word)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces.findall(t.lower()) if self.is_plain(t) else None for t in texts]
+        used = set().union(*filter(None, cut))
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        fresh = used.difference(self.known)
+        if fresh:
+            self.learn(list(fresh))
+        return [self.whole(t) if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, cut)]
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder of a file; made once and kept."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, ids BINARY): ids of each text with the end id, 4 bytes each."""
+    """(id, width, ids BINARY): ids of each text with the end id, ``width`` bytes each,
+    little-endian: 2 if the vocabulary allows it, else 4."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, end = _tokenizer(tokenizer), np.array([end_id], "<u4")
+        e = encoder(tokenizer)
+        end, width = np.array([end_id], e.kind).tobytes(), np.dtype(e.kind).itemsize
         for b in slices(batches):
-            ids = [
-                np.concatenate([np.array(e.ids, "<u4"), end])
-                for e in t.encode_batch_fast(texts_of(b), add_special_tokens=False)
-            ]
-            yield pa.record_batch(
-                [b.column("id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                ["id", "n", "ids"],
-            )
+            ids = [x + end for x in e.encode_batch(texts_of(b))]
+            yield pa.record_batch([b.column("id"), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["id", "width", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_rows(rows, kernel, "id long, n long, ids binary").withColumnRenamed("id", id_col)
+    return map_rows(rows, kernel, "id long, width int, ids binary").withColumnRenamed("id", id_col)
+
+
+def numbers(ids: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if width == 2 else "<u4")
 
 
 def rank_table(encoded: DataFrame) -> DataFrame:
@@ -110,15 +180,15 @@ def rank_table(encoded: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in slices(batches, "ids"):
-            ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4")
-            if len(ids):
+            if b.num_rows:
+                ids = numbers(b"".join(b.column("ids").to_pylist()), b.column("width")[0].as_py())
                 seen = np.bincount(ids, minlength=len(total))
                 seen[: len(total)] += total
                 total = seen
         token = np.flatnonzero(total)
         yield pa.record_batch([pa.array(token, pa.int64()), pa.array(total[token], pa.int64())], ["token", "freq"])
 
-    counts = map_rows(encoded.select("ids"), kernel, "token long, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
+    counts = map_rows(encoded.select("ids", "width"), kernel, "token long, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
     by = Window.orderBy(F.desc("freq"), "token")  # one row per id of the vocabulary
     return counts.withColumn("rank", F.row_number().over(by) - 1)
 
@@ -152,9 +222,9 @@ def write_files(encoded: DataFrame, ranks: DataFrame, id_col: str = "doc_id") ->
 
         size = 0
         for b in slices(batches, "ids"):
-            for i, x in zip(b.column("id").to_pylist(), b.column("ids").to_pylist()):
+            for i, width, x in zip(*(b.column(c).to_pylist() for c in ("id", "width", "ids"))):
                 ids.append(i)
-                parts.append(np.frombuffer(x, "<u4"))
+                parts.append(numbers(x, width))
                 size += len(parts[-1])
                 if len(ids) >= FILE_DOCS or size >= FILE_IDS:
                     yield close()
@@ -162,7 +232,7 @@ def write_files(encoded: DataFrame, ranks: DataFrame, id_col: str = "doc_id") ->
         if ids:
             yield close()
 
-    rows = encoded.select(F.col(id_col).alias("id"), "ids")
+    rows = encoded.select(F.col(id_col).alias("id"), "width", "ids")
     dealt = rows.repartitionByRange(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id").sortWithinPartitions("id", "ids")
     files = map_rows(dealt, kernel, FILE_COLUMNS)
     return written(files.withColumn("place", F.monotonically_increasing_id()), "token-files")
