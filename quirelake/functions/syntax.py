@@ -152,6 +152,14 @@ class Parser:
         self.report("Warning", code, message, (self.at if position is None else position) - self.base)
 
     def skip(self) -> int:
+        pos = self.pos
+        if pos < self.stop:
+            c = self.data[pos]
+            if c > 37 or 32 < c < 37:
+                return pos
+            if c == 32 and pos + 1 < self.stop and self.data[pos + 1] > 37:
+                self.pos = pos + 1
+                return pos + 1
         self.pos = min(_SKIP.match(self.data, self.pos, self.stop).end(), self.stop)
         return self.pos
 
@@ -167,6 +175,8 @@ class Parser:
             run = data[at:end]
             self.pos = end
             if c in b"0123456789+-.":
+                if len(run) < 19 and run.isdigit():
+                    return int(run)
                 number = parse_number(run)
                 if number is not None:
                     return number

@@ -27,7 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files_of(rows: DataFrame, build: Build) -> DataFrame:
-    """(doc_id, content): a file built from each row, which has a ``doc_id``."""
+    """(doc_id, content): a file built from each row, which has a ``doc_id``.
+
+    Rows are dealt anew first: they are small, the work on each is not, and a few small
+    input files would else make a few long tasks."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,7 +40,7 @@ def files_of(rows: DataFrame, build: Build) -> DataFrame:
                 b = batch.slice(at, 128)
                 yield pa.record_batch([b.column("doc_id"), pa.array([build(r) for r in b.to_pylist()], pa.binary())], ["doc_id", "content"])
 
-    return rows.mapInArrow(kernel, "doc_id long, content binary")
+    return rows.repartition(parts, "doc_id").mapInArrow(kernel, "doc_id long, content binary")
 
 
 def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ _STARTXREF = re.compile(rb"startxref" + _W + rb"*([+-]?\d+)")
 _XREF = re.compile(_W + rb"*xref(?!" + _R + rb")")
 _ENDSTREAM_NEXT = re.compile(rb"(?:" + _W + rb"+(?:%[^\r\n]*[\r\n]" + _W + rb"*)*)?endstream")
 _ENDOBJ_NEXT = re.compile(rb"(?:" + _W + rb"|%[^\r\n]*[\r\n])*endobj(?!" + _R + rb")")
+_ROW = re.compile(_W + rb"*(\d{1,18})" + _W + rb"+(\d{1,10})" + _W + rb"+([nf])(?!" + _R + rb")")
 _SPACE = re.compile(_W + rb"*")
 _VERSION = re.compile(rb"(\d\.\d)(?=[\x00\t\n\x0c\r %]|\Z)")
 
@@ -351,7 +352,12 @@ class PdfFile:
     def _subsection(self, s: Section, p: Parser, first: int, count: int) -> bool:
         for k in range(count):
             back = p.pos
-            offset, gen, mark = p.token(), p.token(), p.token()
+            m = _ROW.match(p.data, back, p.stop)
+            if m:
+                p.pos = m.end()
+                offset, gen, mark = int(m[1]), int(m[2]), Keyword(m[3])
+            else:
+                offset, gen, mark = p.token(), p.token(), p.token()
             if type(offset) is not int or type(gen) is not int or mark not in (b"n", b"f") or not isinstance(mark, Keyword):
                 p.pos = back
                 s.incomplete = True
