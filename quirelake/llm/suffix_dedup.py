@@ -211,13 +211,9 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 
 SENT = pa.schema([("part", pa.int32()), ("gone", pa.bool_()), ("entries", pa.binary())])
-TOLD = pa.schema([("doc", pa.int64()), ("sub", pa.int64()), ("gone", pa.bool_()), ("spans", pa.binary())])
-TOLD_COLUMNS = "doc long, sub long, gone boolean, spans binary"
-
-
 def _dealt(parts: int, reps: dict[str, np.ndarray], lost: dict[str, np.ndarray], by: str) -> Iterator[pa.RecordBatch]:
     """Rows to send: first places by ``by``, lost ones by their document."""
-    for gone, e, key in ((False, reps, reps[by]), (True, lost, lost["doc"].astype(np.uint64))):
+    for gone, e, key in ((False, reps, reps[by].astype(np.uint64)), (True, lost, lost["doc"].astype(np.uint64))):
         if not len(key):
             continue
         target = ((key * _ODD[15]) >> _32) % np.uint64(parts)
@@ -228,35 +224,46 @@ def _dealt(parts: int, reps: dict[str, np.ndarray], lost: dict[str, np.ndarray],
         yield pa.RecordBatch.from_pylist(rows, schema=SENT)
 
 
-def _told(e: dict[str, np.ndarray], gone: bool) -> Iterator[pa.RecordBatch]:
-    """One row per document with the spans of the entries, (first byte, size) pairs;
-    spans of lost entries are united."""
+def _united(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Entries of lost spans, those of a document that touch or overlap made one."""
     if not len(e["doc"]):
-        return
+        return e
     e = take(e, np.lexsort((e["low"], e["sub"], e["doc"])))
     low, high = e["low"].astype(np.int64), e["low"].astype(np.int64) + e["size"]
-    fresh = np.r_[True, (e["doc"][1:] != e["doc"][:-1]) | (e["sub"][1:] != e["sub"][:-1])]
-    start = np.ones(len(low), bool)
-    if gone:
-        # Windows have one size and segments of a document begin and end in order.
-        start = fresh | np.r_[True, low[1:] > high[:-1]]
-        heads = np.flatnonzero(start)
-        high = np.maximum.reduceat(high, heads)
-        low, fresh, doc, sub = low[heads], fresh[heads], e["doc"][heads], e["sub"][heads]
-    else:
+    fresh = np.r_[True, (e["doc"][1:] != e["doc"][:-1]) | (e["sub"][1:] != e["sub"][:-1]) | (low[1:] > high[:-1])]
+    heads = np.flatnonzero(fresh)
+    out = take(e, heads)
+    out["size"] = (np.maximum.reduceat(high, heads) - low[heads]).astype("<u4")
+    return out
+
+
+def _spans(told: DataFrame, gone: bool) -> DataFrame:
+    """(t_doc, t_sub, spans): one row per document with its (first byte, size) pairs."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = concat([_unpacked(x.as_py()) for b in batches for x in b.column("entries")])
+        e = take(e, np.lexsort((e["low"], e["sub"], e["doc"])))
         doc, sub = e["doc"], e["sub"]
-    spans = np.stack([low, high - low], axis=1).astype("<u4")
-    cuts = np.flatnonzero(np.r_[fresh, True])
-    rows = [{"doc": int(doc[a]), "sub": int(sub[a]), "gone": gone, "spans": spans[a:z].tobytes()} for a, z in zip(cuts[:-1], cuts[1:])]
-    for at in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_pylist(rows[at : at + 20_000], schema=TOLD)
+        spans = np.stack([e["low"], e["size"]], axis=1)
+        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]), True]) if len(doc) else np.zeros(1, int)
+        for at in range(0, len(cuts) - 1, 4096):
+            own = cuts[at : at + 4097]
+            packed = [spans[a:z].tobytes() for a, z in zip(own[:-1].tolist(), own[1:].tolist())]
+            yield pa.record_batch([pa.array(doc[own[:-1]]), pa.array(sub[own[:-1]]), pa.array(packed, pa.binary())], ["t_doc", "t_sub", "spans"])
+
+    rows = told.where("gone" if gone else "not gone").select("part", "entries")
+    return map_rows(rows.repartition(_parts(told), "part"), gather, "t_doc long, t_sub long, spans binary")
+
+
+def _parts(df: DataFrame) -> int:
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _rounds(rows: DataFrame, batches_of: Callable[[pa.RecordBatch], Iterator[dict]], by: str, leave_open: bool) -> DataFrame:
     """Puts the entries that a kernel draws from ``rows`` through a family per task and
-    then one per part: TOLD rows of what is lost and, if ``leave_open``, of first places
-    whose gram has several."""
-    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    then one per part: (part, gone, entries) of what is lost and, if ``leave_open``, of
+    first places whose gram has several, dealt by document."""
+    parts = _parts(rows)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, lost, n_lost = Family(), [], 0
@@ -265,23 +272,24 @@ def _rounds(rows: DataFrame, batches_of: Callable[[pa.RecordBatch], Iterator[dic
                 lost.append(family.add(e))
                 n_lost += len(lost[-1]["code"])
                 if len(family) + n_lost > FAMILY:
-                    yield from _dealt(parts, family.all(), concat(lost), by)
+                    yield from _dealt(parts, family.all(), _united(concat(lost)), by)
                     family, lost, n_lost = Family(), [], 0
-        yield from _dealt(parts, family.all(), concat(lost), by)
+        yield from _dealt(parts, family.all(), _united(concat(lost)), by)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
+        family, lost = Family(), []
         for b in batches:
             for gone, data in zip(b.column("gone").to_pylist(), b.column("entries")):
                 e = _unpacked(data.as_py())
-                yield from _told(e if gone else family.add(e), True)
+                lost.append(e if gone else family.add(e))
+        yield from _dealt(parts, concat([]), _united(concat(lost)), by)
         if leave_open:
             reps = family.all()
             kinds, back, counts = np.unique(reps["gram"], return_inverse=True, return_counts=True)
-            yield from _told(take(reps, counts[back] > 1), False)
+            yield from _dealt(parts, take(reps, counts[back] > 1), concat([]), "doc")
 
     sent = map_rows(rows, own, "part int, gone boolean, entries binary").repartition(parts, "part")
-    return map_rows(sent, meet, TOLD_COLUMNS)
+    return map_rows(sent, meet, "part int, gone boolean, entries binary")
 
 
 def _segment_batches(b: pa.RecordBatch) -> Iterator[dict]:
@@ -317,8 +325,7 @@ def _window_batches(b: pa.RecordBatch) -> Iterator[dict]:
     """The single windows of a document's open segments."""
     for doc, sub, value, spans in zip(b.column("doc").to_pylist(), b.column("sub").to_pylist(), b.column("data"), b.column("spans").to_pylist()):
         text = value.as_py()
-        # A document's repeats of one span come from pieces; order and repeats don't matter.
-        pairs = np.unique(np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64), axis=0)
+        pairs = np.unique(np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64), axis=0)
         for at in range(0, len(pairs), 8192):
             low, size = pairs[at : at + 8192].T
             x64 = codes(np.frombuffer(b"".join(text[a : a + n] for a, n in zip(low.tolist(), size.tolist())), np.uint8))[1]
@@ -330,9 +337,7 @@ def _window_batches(b: pa.RecordBatch) -> Iterator[dict]:
             yield entries(code=code, doc=doc, sub=sub, low=np.repeat(low, count) + step, size=LENGTH, gram=0)
 
 
-def _with_spans(rows: DataFrame, told: DataFrame, how: str) -> DataFrame:
-    lists = told.groupBy("doc", "sub").agg(F.collect_list("spans").alias("spans"))
-    lists = lists.withColumnsRenamed({"doc": "t_doc", "sub": "t_sub"})
+def _with_spans(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     same = (F.col("doc") == F.col("t_doc")) & (F.col("sub") == F.col("t_sub"))
     # A merge join at every size: the lists grow with the input and are not broadcast.
     return rows.join(lists.hint("merge"), same, how).drop("t_doc", "t_sub")
@@ -351,9 +356,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     long = rows.select("doc", "sub", "data")
     told = written(_rounds(long, _segment_batches, "gram", True), "suffix-segments")
-    open_rows = _with_spans(long, told.where("not gone"), "inner")
+    open_rows = _with_spans(long, _spans(told, False), "inner")
     edges = written(_rounds(open_rows, _window_batches, "code", False), "suffix-windows")
-    gone = told.where("gone").unionAll(edges)
+    gone = _spans(told.unionAll(edges), True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -373,10 +378,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def _cut(data: bytes, spans: list[bytes] | None) -> tuple[int, int, list[dict], bytes]:
+def _cut(data: bytes, spans: bytes | None) -> tuple[int, int, list[dict], bytes]:
     if not spans:
         return len(data), 0, [], data
-    pairs = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
     depth = np.zeros(len(data) + 1, np.int64)
     np.add.at(depth, pairs[:, 0], 1)
     np.add.at(depth, pairs[:, 0] + pairs[:, 1], -1)
