@@ -25,6 +25,34 @@ def newest_rows(xref_entries: DataFrame) -> DataFrame:
     return xref_entries.withColumn("k", F.row_number().over(by)).where("k = 1").drop("k")
 
 
+def merged_trailer(trailers: DataFrame) -> DataFrame:
+    """One row per key of a file's trailer: the newest section that gives it."""
+    top = trailers.where("parent_path = '' and key not in ('Prev', 'XRefStm')")
+    value = F.min_by(F.struct("section", "kind", "i", "d", "name", "ref_obj", "ref_gen"), "section").alias("v")
+    return top.groupBy("doc_id", "key").agg(value).select("doc_id", "key", "v.*")
+
+
+def extents(index: DataFrame) -> DataFrame:
+    """In-use regular objects with the placed offsets before and after their own."""
+    by = Window.partitionBy("doc_id").orderBy("offset")
+    rows = index.where("kind = 'regular'")
+    return rows.select("doc_id", "obj", "offset", F.lag("offset").over(by).alias("before"), F.lead("offset").over(by).alias("after"))
+
+
+def stream_rows(data: DataFrame, w: tuple[int, int, int]) -> DataFrame:
+    """(doc_id, row, kind, two, three) of the fixed-width rows of a decoded
+    cross-reference stream ``decoded``, by expressions; a width of 0 in front means 1."""
+    a, b, c = w
+    size = a + b + c
+    rows = data.select("doc_id", "decoded", F.posexplode(F.sequence(F.lit(0), F.expr(f"octet_length(decoded) div {size} - 1"))).alias("row", "k"))
+
+    def number(at: int, n: int):
+        return F.conv(F.hex(F.expr(f"substring(decoded, k * {size} + {at + 1}, {n})")), 16, 10).cast("long") if n else F.lit(0).cast("long")
+
+    kind = number(0, a) if a else F.lit(1).cast("long")
+    return rows.select("doc_id", "row", kind.alias("kind"), number(a, b).alias("two"), number(a + b, c).alias("three"))
+
+
 def last_headers(headers: DataFrame) -> DataFrame:
     """One row per object: its last definition by place in the file."""
     last = F.max_by(F.struct("pos", "gen"), "pos").alias("last")

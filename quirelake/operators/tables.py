@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quirelake.functions.syntax import Name, Ref, Stream, Text, as_dictionary, kind_of
 from quirelake.operators import page_tree
-from quirelake.sources.reader import HEADER, Limits, PdfFile
+from quirelake.sources.reader import HEADER, Limits, PdfFile, _walk
 
 #: Column types of each relation.
 SCHEMAS = {
@@ -33,8 +33,9 @@ SCHEMAS = {
     "index": "obj long, kind string, offset long, gen long, objstm long, idx long, found_by_reader boolean",
     "members": "objstm long, idx int, obj long",
     "containers": "objstm long, fault string, listed int",
-    "objects": "obj long, gen int, source string, offset long, kind string, type_name string, subtype string, data_offset long, raw_length long, endobj_missing boolean, presence string, reachable boolean, visit int",
+    "objects": "obj long, gen int, source string, offset long, kind string, type_name string, subtype string, data_offset long, raw_length long, endobj_missing boolean, cut boolean, presence string, reachable boolean, visit int",
     "nodes": "holder long, ord int, path string, parent_path string, key string, elem int, depth int, kind string, i long, d double, b boolean, name string, bytes binary, is_hex boolean, ref_obj long, ref_gen int",
+    "trailers": "section int, ord int, path string, parent_path string, key string, kind string, i long, d double, name string, ref_obj long, ref_gen int",
     "streams": "obj long, filters array<string>, chain_end string, decoded binary, decoded_length long, left_encoded boolean, faults array<struct<code:string,severity:string,message:string>>",
     "pages": "page_index int, obj long, parent long, mediabox array<double>, has_resources boolean, path array<int>",
     "tree_faults": "seq int, rule_id string, severity string, obj long, page_index int, detail string",
@@ -162,6 +163,9 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits()) -> di
         out["objects"] = [_object_row(f, n, order) for n in sorted(f.objects)]
     if "nodes" in want:
         out["nodes"] = [node_row(*x) for x in f.nodes()] if f.open_error is None else []
+    if "trailers" in want:
+        keep = ("ord", "path", "parent_path", "key", "kind", "i", "d", "name", "ref_obj", "ref_gen")
+        out["trailers"] = [{"section": x.ordinal} | {k: row[k] for k in keep} for x in f.sections for row in (node_row(*n) for n in _walk(0, x.trailer))]
     if "streams" in want or "diagnostics" in want:
         rows = []
         for n in sorted(f.objects):
@@ -200,6 +204,7 @@ def _object_row(f: PdfFile, n: int, order: dict[int, int]) -> dict:
         "data_offset": stream.start - f.base if stream else None,
         "raw_length": stream.length if stream else None,
         "endobj_missing": fact["endobj_missing"],
+        "cut": fact.get("cut", False),
         "presence": fact["presence"],
         "reachable": n in order,
         "visit": order.get(n),

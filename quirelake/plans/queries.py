@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.operators import joins, page_tree, rules, shapes
+from quirelake.operators import access, joins, page_tree, rules, shapes, walks
 from quirelake.operators.tables import Tables, parse, tables_of
 from quirelake.plans import encoders
 from quirelake.sources import builder as B
@@ -726,3 +726,90 @@ def inherited_mediabox(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = t.nodes.where("path = '/Key'").selectExpr("doc_id", "holder AS obj", "i AS c_custkey")
     pages = t.pages.select("doc_id", "obj", F.get("mediabox", F.lit(2)).alias("width"))
     return pages.join(keys, ["doc_id", "obj"]).select("c_custkey", "width")
+
+
+# -- access and walks ----------------------------------------------------------------
+
+
+def typed(row: dict) -> bytes:
+    info = b"<< /Title %s /Key %d.0 /Balance %.2f /Segment %s /Even %s >>" % (
+        B.text_string(row["name"]), row["doc_id"], row["balance"], B.name(row["segment"]), b"true" if row["doc_id"] % 2 == 0 else b"false",
+    )
+    return B.build(B.page_bodies(1, info=info), trailer=b"/Info 5 0 R ")
+
+
+@query("typed_access", "SELECT c_custkey AS key, c_name AS title, round(c_acctbal, 2) AS balance, c_mktsegment AS segment, c_custkey % 2 = 0 AS even FROM customer")
+def typed_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(parse(files_of(customers(spark, sf_dir), typed), "nodes"))
+    picked = access.pick(
+        t.nodes.where("holder = 5"),
+        key=("/Key", "integer"), title=("/Title", "text"), balance=("/Balance", "number"), segment=("/Segment", "name"), even=("/Even", "boolean"),
+    )
+    return picked.select("key", "title", F.round("balance", 2).alias("balance"), "segment", "even")
+
+
+@query(
+    "merged_trailer",
+    "SELECT key, count(*) AS n, sum(CASE WHEN key = 'Info' OR key = 'Root' OR key = 'Size' THEN 0 END) AS section FROM customer, (VALUES ('Size'), ('Root'), ('Info')) v(key) GROUP BY 1",
+)
+def merged_trailer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(parse(files_of(customers(spark, sf_dir), updated), "trailers"))
+    return joins.merged_trailer(t.trailers).groupBy("key").agg(F.count("*").alias("n"), F.sum("section").alias("section"))
+
+
+def named(row: dict) -> bytes:
+    """A name tree of two leaves over the block's parts."""
+    parts = row["parts"]
+    half = len(parts) // 2
+    leaf = lambda some, first: b"<< /Names [%s] >>" % b" ".join(B.text_string("%09d" % p["p_partkey"]) + b" %d 0 R" % (10 + first + k) for k, p in enumerate(some))
+    bodies = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /Names << /Dests 3 0 R >> >>",
+        2: b"<< /Type /Pages /Kids [] /Count 0 >>",
+        3: b"<< /Kids [4 0 R 5 0 R 4 0 R] >>",
+        4: leaf(parts[:half], 0),
+        5: leaf(parts[half:], half),
+    }
+    return B.build(bodies | {10 + k: b"[%d]" % p["p_size"] for k, p in enumerate(parts)})
+
+
+@query(
+    "name_trees",
+    "SELECT printf('%09d', p_partkey) AS name, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS ord, 'array' AS kind FROM part",
+)
+def name_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.tree_entries(files_of(_parts(spark, sf_dir), named)).select("name", F.col("ord").cast("long").alias("ord"), "kind")
+
+
+@query("token_kinds", "SELECT kind, count(*) * k AS n FROM customer, (VALUES ('keyword', 2), ('name', 6), ('string', 1), ('real', 2), ('boolean', 0)) v(kind, k) WHERE k > 0 GROUP BY kind, k")
+def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = walks.tokens(files_of(customers(spark, sf_dir), typed)).where("obj = 5 and shown not in ('true', 'false')")
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("reference_presence", "SELECT presence, count(*) * k AS n FROM customer, (VALUES ('defined', 11), ('missing', 2)) v(presence, k) WHERE c_custkey % 8 = 1 GROUP BY presence, k")
+def reference_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = customers(spark, sf_dir).where("doc_id % 8 = 1")
+    t = tables_of(files_of(rows, _by_key(_object_damage)), "nodes", "index", "objects")
+    return access.presence(t.refs, t.index, t.objects).groupBy("presence").agg(F.count("*").alias("n"))
+
+
+@query("object_extents", "SELECT c_custkey AS doc_id, 5 AS n_objects, 1 AS n_first, 1 AS n_last FROM customer")
+def object_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(parse(files_of(customers(spark, sf_dir), typed), "index"))
+    rows = joins.extents(t.index)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_objects"), F.count_if(F.col("before").isNull()).alias("n_first"), F.count_if(F.col("after").isNull()).alias("n_last"))
+
+
+@query(
+    "xref_rows_by_sql",
+    "SELECT c_custkey AS doc_id, 7 AS n_rows, 1 AS n_free, 6 AS n_regular FROM customer",
+)
+def xref_rows_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(row: dict) -> bytes:
+        return B.build(customer_bodies(row), index="stream")
+
+    parsed = parse(files_of(customers(spark, sf_dir), build), "streams", "objects")
+    typed_ = F.get(F.filter("objects", lambda o: o["type_name"] == "XRef"), F.lit(0))["obj"]
+    decoded = parsed.withColumn("x", typed_).select("doc_id", F.get(F.filter("streams", lambda s: s["obj"] == F.col("x")), F.lit(0))["decoded"].alias("decoded"))
+    rows = joins.stream_rows(decoded, (1, 4, 2))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("kind") == 0).alias("n_free"), F.count_if(F.col("kind") == 1).alias("n_regular"))

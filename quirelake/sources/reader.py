@@ -45,6 +45,8 @@ class Limits:
     trailer_length: int = 64 << 10
     index_entries: int = 8_388_607
     filter_chain: int = 64
+    rebuild_passes: int = 4
+    object_stream_decodes: int = 4
     diagnostics: int = 1000
 
 
@@ -116,7 +118,8 @@ class PdfFile:
         self._loading: set[int] = set()
         self._offsets: list[int] | None = None
         self._headers: list[tuple[int, int, int]] | None = None
-        self._relocating = True
+        self._cut: set[int] = set()  # where objects begin that a bound cut short
+        self._decodes: dict[int, int] = {}
 
     # -- diagnostics ---------------------------------------------------------------
 
@@ -247,7 +250,10 @@ class PdfFile:
         found = self._section_at(s, self.base + offset) if 0 <= offset else False
         if not found and by != "startxref" and 0 <= offset:
             for place, clean in self._near_sections(self.base + offset):
-                if place - self.base in {x.offset for x in self.sections}:
+                known = next((x for x in self.sections if x.offset == place - self.base), None)
+                if known is not None:
+                    if known.named_by == "XRefStm":
+                        self.report("Warning", "xref.stream-passed-over", f"the stream near {offset} is a newer table's own", known.offset)
                     continue
                 found = self._section_at(s, place)
                 if found:
@@ -348,6 +354,8 @@ class PdfFile:
                     self._table_trailer(s, p, "")
                 break
         s.no_subsection = not subsections and s.state == "Read"
+        if p.stop < len(self.data) and (s.incomplete or s.trailer_fault) and p.pos >= p.stop - 20:
+            self.report("Warning", "limit.xref-section-length", "a section is longer than the bound", s.offset)
 
     def _subsection(self, s: Section, p: Parser, first: int, count: int) -> bool:
         for k in range(count):
@@ -374,7 +382,11 @@ class PdfFile:
         if p.data[at : at + 2] != b"<<":
             s.trailer_fault = fault or "malformed"
             return
+        whole, p.stop = p.stop, min(p.stop, at + self.limits.trailer_length)
         value = p.value()
+        if p.truncated and p.stop < whole:
+            self.report("Warning", "limit.trailer", "a trailer is longer than the bound", at - self.base)
+        p.stop = whole
         s.trailer = value if isinstance(value, dict) else {}
         told = {code for _, code, _, _ in self.diagnostics[before:]}
         s.trailer_fault = fault or ("malformed" if any(c.startswith("syntax.") for c in told) or p.truncated else "")
@@ -482,7 +494,8 @@ class PdfFile:
         if place == "Nearby":
             self.report("Repair", "xref.offset-adjusted", f"object {number} lies at {at - self.base}, not at {e.offset}", at - self.base)
         value, ended = self._parse_object(HEADER.match(self.data, at), number)
-        return value, fact | {"endobj_missing": not ended}
+        cut = at in self._cut
+        return value, fact | {"endobj_missing": not ended and not cut, "cut": cut}
 
     def _parse_object(self, m: re.Match, number: int | None) -> tuple[object, bool]:
         """The value after a header, and whether ``endobj`` follows it. Sets _end."""
@@ -490,6 +503,10 @@ class PdfFile:
         p = Parser(self.data, m.end(), stop, self.report if number is not None else _silent, self.base)
         back = p.skip()
         value = p.value()
+        if p.truncated and stop < len(self.data):
+            self._cut.add(m.start())
+            if number is not None:
+                self.report("Warning", "limit.object", f"object {number} is longer than the bound", m.start() - self.base)
         if isinstance(value, Keyword):
             if value == b"endobj":
                 self._end = p.pos
@@ -573,6 +590,10 @@ class PdfFile:
         """An object stream's header: members, decoded data, and a fault if any."""
         if number in self.members:
             return self.members[number]
+        self._decodes[number] = self._decodes.get(number, 0) + 1
+        if self._decodes[number] > self.limits.object_stream_decodes:
+            self.report("Warning", "limit.object-stream-decodes", f"object stream {number} was decoded often enough")
+            return {"numbers": [], "offsets": [], "data": b"", "first": 0, "fault": "limit"}
         out = {"numbers": [], "offsets": [], "data": b"", "first": 0, "fault": ""}
         e = self.index.get(number)
         value = self.get(number) if e is not None and e.kind == "regular" else None
@@ -663,6 +684,9 @@ class PdfFile:
     def _rebuild(self, why: str) -> None:
         if self.was_repaired:
             return
+        if self.limits.rebuild_passes < 1:
+            self.report("Warning", "limit.rebuild-reads", "the file may not be read again")
+            return
         self.was_repaired = True
         self.report("Repair", "xref.rebuilt", f"the index is rebuilt by scanning: {why}")
         scanned = self._scan()
