@@ -21,7 +21,8 @@ it lies; the dropped templates of a document come back to it by one join on its
 Edge cases: a null text stays null, an empty one empty; lines without a word are kept
 and count for nothing; a document of one line has no context and makes nothing recur;
 a line repeated in a document counts once; rows with one document id share what is
-dropped; an empty table gives an empty table; further columns are kept as they are.
+dropped; an empty table gives an empty table; further columns are kept as they are, but for
+``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -41,30 +42,39 @@ SOLID = 0.7
 MATCH = 0.9
 
 
-def template(line: Column) -> Column:
-    """The line with runs of digits as ``0`` and of white space as one blank."""
-    spaced = F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")
-    return F.trim(F.regexp_replace(spaced, "[0-9]+", "0"))
+def template_lines(text: str = "text") -> Column:
+    """The template of each line: runs of digits as ``0`` and of white space as one
+    blank. The text is generalised as a whole, then cut; single blanks are left alone."""
+    spaced = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09\\x0B-\\x0D]{2,}|[\\x09\\x0B-\\x0D]", " ")
+    return F.transform(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n", -1), lambda line: F.trim(line))
+
+
+def n_tokens(template: Column) -> Column:
+    return F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
 
 
 def templates(docs: DataFrame) -> DataFrame:
     """(template, h, context): each document's distinct templates, once each."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    own = docs.select(F.array_sort(F.array_distinct(F.transform(lines, template))).alias("own"))
-    own = own.select(F.filter("own", lambda x: x != "").alias("own")).where(F.size("own") > 1)
-    n = F.size("own")
-    ends = {"first": F.get("own", F.lit(0)), "second": F.get("own", F.lit(1)), "last": F.get("own", n - 1), "before": F.get("own", n - 2)}
-    row = own.select(F.explode("own").alias("template"), *(c.alias(k) for k, c in ends.items()))
-    least = F.when(F.col("template") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    most = F.when(F.col("template") == F.col("last"), F.col("before")).otherwise(F.col("last"))
-    return row.select("template", F.xxhash64("template").alias("h"), F.xxhash64(least, most).alias("context"))
-
-
-def leaf(text: Column) -> Column:
+    own = docs.select(F.array_remove(F.array_distinct(template_lines()), "").alias("own"))
+    ends = {"first": F.array_min("own"), "last": F.array_max("own")}
+    own = own.select("own", *(c.alias(k) for k, c in ends.items()))
+    rest = {"second": F.array_min(F.array_remove("own", F.col("first"))), "before": F.array_max(F.array_remove("own", F.col("last")))}
+    # Hashed before the explode: no row carries its document's lines along.
+    several = F.when(F.size("own") > 1, F.col("own")).alias("own")
+    own = own.select(several, *(F.xxhash64(c).alias(k) for k, c in (rest | {k: F.col(k) for k in ends}).items()))
+    # The outer form: the plain one would filter by the array's size first, and work the
+    # array out again for that.
+    row = own.select(F.explode_outer("own").alias("template"), "first", "second", "last", "before").where("template is not null")
+    row = row.withColumn("h", F.xxhash64("template"))
+    least = F.when(F.col("h") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    most = F.when(F.col("h") == F.col("last"), F.col("before")).otherwise(F.col("last"))
+    return row.select("template", "h", F.xxhash64(least, most).alias("context"))
+
+
+def leaf(template: Column) -> Column:
     """The tree's path to a template's leaf as one number; null below LEAF_TOKENS."""
-    tokens = F.split(text, " ")
-    path = F.xxhash64(F.size(tokens), *(F.get(tokens, F.lit(k)) for k in range(LEADING)))
-    return F.when(F.size(tokens) >= LEAF_TOKENS, path)
+    path = F.xxhash64(n_tokens(template), F.substring_index(template, " ", LEADING))
+    return F.when(n_tokens(template) >= LEAF_TOKENS, path)
 
 
 def _recurs(contexts: Column, docs: Column) -> Column:
@@ -73,33 +83,37 @@ def _recurs(contexts: Column, docs: Column) -> Column:
 
 def recurring(docs: DataFrame) -> DataFrame:
     """(h): the templates that recur, as they are or by their leaf's template."""
-    held = templates(docs).where(F.size(F.split("template", " ")) >= MIN_TOKENS)
+    held = templates(docs).where(n_tokens(F.col("template")) >= MIN_TOKENS)
     held = held.select("h", "context", leaf(F.col("template")).alias("leaf"))
-    counts = held.groupBy("h", "context").agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"))
-    counts = counts.groupBy("h").agg(F.first("leaf").alias("leaf"), F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    counts = written(counts, "line-templates")
-    same = counts.where(_recurs(F.col("contexts"), F.col("n"))).select("h")
-    rare = counts.where(~_recurs(F.col("contexts"), F.col("n")) & F.col("leaf").isNotNull())
-    leaves = rare.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("contexts").alias("contexts"), F.sum("n").alias("n"))
-    leaves = written(leaves.where((F.col("kinds") >= MIN_CONTEXTS) & _recurs(F.col("contexts"), F.col("n"))).select("leaf"), "line-leaves")
-    members = rare.join(leaves, "leaf", "left_semi").select("h", "leaf", "n")
+    pairs = held.groupBy("h", "context").agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"))
+    pairs = written(pairs, "line-templates")
+    counts = pairs.groupBy("h").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
+    same = written(counts.where(_recurs(F.col("contexts"), F.col("n"))).select("h"), "line-recurring")
+    rare = pairs.where("leaf is not null").join(same, "h", "left_anti")
+    # Pairs are at least as many as contexts, so this sieve loses no leaf.
+    some = rare.groupBy("leaf").agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).where(_recurs(F.col("pairs"), F.col("n")))
+    near = written(rare.join(some.select("leaf"), "leaf", "left_semi"), "line-leaves")
+    leaves = near.groupBy("leaf").agg(F.count_distinct("h").alias("kinds"), F.count_distinct("context").alias("contexts"), F.sum("n").alias("n"))
+    leaves = leaves.where((F.col("kinds") >= MIN_CONTEXTS) & _recurs(F.col("contexts"), F.col("n"))).select("leaf")
+    members = near.join(leaves, "leaf", "left_semi").groupBy("h").agg(F.first("leaf").alias("leaf"), F.sum("n").alias("n"))
     return written(same.unionAll(_generalised(docs, written(members, "line-members"))).distinct(), "line-recurring")
 
 
 def _generalised(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(h): the members of leaves that follow their leaf's template."""
-    texts = templates(docs).select("h", "template").join(members.select("h"), "h", "left_semi").groupBy("h").agg(F.first("template").alias("template"))
-    fields = written(
-        texts.join(members, "h").select("h", "leaf", "n", F.posexplode(F.split("template", " ")).alias("at", "token")), "line-fields"
-    )
-    size = members.groupBy("leaf").agg(F.sum("n").alias("total"))
-    votes = fields.groupBy("leaf", "at", "token").agg(F.sum("n").alias("votes"))
-    constant = votes.join(size, "leaf").where(F.col("votes") >= CONSTANT * F.col("total")).select("leaf", "at", "token")
-    width = fields.groupBy("leaf").agg((F.max("at") + 1).alias("width"))
-    solid = constant.groupBy("leaf").agg(F.count("*").alias("constants")).join(width, "leaf")
-    solid = solid.where(F.col("constants") >= SOLID * F.col("width")).select("leaf", "constants")
-    agreed = fields.join(constant, ["leaf", "at", "token"]).groupBy("leaf", "h").agg(F.count("*").alias("agreed"))
-    return agreed.join(solid, "leaf").where(F.col("agreed") >= MATCH * F.col("constants")).select("h")
+    lines = docs.select(F.explode_outer(F.array_distinct(template_lines())).alias("template")).select(F.xxhash64("template").alias("h"), "template")
+    texts = lines.join(members.select("h"), "h", "left_semi").groupBy("h").agg(F.first("template").alias("template"))
+    # The leading tokens are the leaf's path, the same in all its lines: the rest is told.
+    tokens = F.slice(F.split("template", " "), LEADING + 1, n_tokens(F.col("template"))).alias("tokens")
+    lines = written(texts.join(members, "h").select("h", "leaf", "n", tokens), "line-fields")
+    size = lines.groupBy("leaf").agg(F.sum("n").alias("total"), F.max(F.size("tokens") + LEADING).alias("width"))
+    votes = lines.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("votes"))
+    constant = votes.join(size, "leaf").where(F.col("votes") >= CONSTANT * F.col("total"))
+    solid = constant.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("constants"), F.first("width").alias("width"))
+    solid = solid.where(F.size("constants") + LEADING >= SOLID * F.col("width")).select("leaf", "constants")
+    # One row per line: its tokens against its leaf's template.
+    agreed = F.size(F.filter("constants", lambda c: F.get(F.col("tokens"), c["at"]) == c["token"])) + LEADING
+    return lines.join(solid, "leaf").where(agreed >= MATCH * (F.size("constants") + LEADING)).select("h")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -107,17 +121,22 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     ``n_dropped``."""
     gone = recurring(docs)
     lines = F.split("text", "\n", -1)
-    held = docs.select(F.col("doc_id").alias("gone_id"), F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(template(x))))).alias("h"))
-    dropped = written(held.join(gone, "h", "left_semi").groupBy("gone_id").agg(F.collect_set("h").alias("gone_h")), "line-dropped")
-    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    kept = F.when(
-        F.col("gone_h").isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col("gone_h"), F.xxhash64(template(x))))
-    ).otherwise(lines)
-    out = joined.withColumn("kept_lines", kept)
-    text = F.when(F.col("gone_h").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
+    held = docs.select(F.col("doc_id"), F.explode_outer(F.array_distinct(template_lines())).alias("template"))
+    held = held.select("doc_id", F.xxhash64("template").alias("h")).join(gone, "h", "left_semi")
+    dropped = held.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("h").alias("__gone_h"))
+    dropped = written(dropped, "line-dropped")
+    # A merge join at every size: the list grows with the input and is not broadcast.
+    joined = docs.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
+    touched = F.col("__gone_h").isNotNull()
+    # Lines and templates are zipped, so that neither is worked out again for every line.
+    both = F.arrays_zip(lines.alias("line"), template_lines().alias("template"))
+    left = F.filter(both, lambda x: ~F.array_contains(F.col("__gone_h"), F.xxhash64(x["template"])))
+    kept = F.transform(left, lambda x: x["line"])
+    out = joined.withColumn("__kept", F.when(touched, kept).otherwise(lines))
+    text = F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col("text"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n_kept = F.coalesce(F.size("kept_lines"), F.lit(0)).cast("long")
-    others = [F.col(c) for c in docs.columns if c != "text"]
+    n_kept = F.coalesce(F.size("__kept"), F.lit(0)).cast("long")
+    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return out.select(*others, text.alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 
@@ -142,8 +161,8 @@ WITH lines AS (
 ), marked AS (SELECT *, contexts >= {MIN_CONTEXTS} AND {SPREAD} * contexts >= n AS recurs, len(tokens) AS width FROM counts
 ), rare AS (SELECT * FROM marked WHERE NOT recurs AND width >= {LEAF_TOKENS}
 ), leaves AS (
-  SELECT width, tokens[1:{LEADING}] AS lead, sum(n) AS total FROM rare GROUP BY ALL
-  HAVING count(*) >= {MIN_CONTEXTS} AND sum(contexts) >= {MIN_CONTEXTS} AND {SPREAD} * sum(contexts) >= sum(n)
+  SELECT width, tokens[1:{LEADING}] AS lead, count(*) AS total FROM rare JOIN held USING (t) GROUP BY ALL
+  HAVING count(DISTINCT t) >= {MIN_CONTEXTS} AND count(DISTINCT (least, most)) >= {MIN_CONTEXTS} AND {SPREAD} * count(DISTINCT (least, most)) >= count(*)
 ), fields AS (
   SELECT t, width, lead, n, total, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
   FROM rare JOIN leaves USING (width) WHERE tokens[1:{LEADING}] = lead
