@@ -172,7 +172,7 @@ def rebuild_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _balance(t.parsed.join(again, "doc_id"), F.col("again"))
 
 
-@query("index_first_wins", "SELECT c_custkey AS doc_id, 6 AS n_objects, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 0 END AS section FROM customer")
+@query("index_first_wins", "SELECT c_custkey AS doc_id, CAST(6 AS BIGINT) AS n_objects, CAST(0 AS BIGINT) AS section FROM customer")
 def index_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables_of(files_of(customers(spark, sf_dir), updated), "xref_entries")
     rows = joins.newest_rows(t.xref_entries)
@@ -238,7 +238,7 @@ def declared_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy(F.col("structure.declared_version").alias("version")).agg(F.count("*").alias("n"))
 
 
-@query("header_by_sql", "SELECT '1.4' AS header_version, 0 AS header_pos, count(*) AS n FROM customer")
+@query("header_by_sql", "SELECT '1.4' AS header_version, CAST(0 AS BIGINT) AS header_pos, count(*) AS n FROM customer")
 def header_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelake.sources.files import header_by_sql as scan
 
@@ -371,7 +371,7 @@ def trapped(row: dict) -> bytes:
     return B.damaged(B.build(B.page_bodies(1, [trap])), "no-startxref")
 
 
-@query("attached_traps", "SELECT item_id AS doc_id, 4 AS n_objects, 1 AS root FROM benchmark")
+@query("attached_traps", "SELECT item_id AS doc_id, CAST(4 AS BIGINT) AS n_objects, CAST(1 AS BIGINT) AS root FROM benchmark")
 def attached_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").selectExpr("item_id AS doc_id", "text")
     t = Tables(parse(files_of(rows, trapped), "nodes", "index"))
@@ -397,7 +397,7 @@ def _file_damage(key: int, b: B.Bodies) -> bytes:
 def _expected(cases: dict[int, str], k: int, table_: str = "customer", key: str = "c_custkey") -> str:
     """(doc_id, rule_id, n) of rules that a key's remainder by k asks for."""
     rows = ", ".join(f"({r}, '{rule}', {n})" for r, found in cases.items() for rule, n in (x.split("*") for x in found.split()))
-    return f"SELECT {key} AS doc_id, rule_id, n FROM {table_} JOIN (VALUES {rows}) v(r, rule_id, n) ON {key} % {k} = r"
+    return f"SELECT {key} AS doc_id, rule_id, CAST(n AS BIGINT) AS n FROM {table_} JOIN (VALUES {rows}) v(r, rule_id, n) ON {key} % {k} = r"
 
 
 def _finding_query(build: Build, *only: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -634,7 +634,7 @@ def _sound(row: dict) -> bytes:
     return B.build({n: x for n, x in b.items() if n not in packed}, index="stream", packed=packed, trailer=b"/Info 5 0 R ")
 
 
-@query("sound_files", "SELECT count(*) AS n_files, 0 AS n_findings, 0 AS n_diagnostics FROM customer")
+@query("sound_files", "SELECT count(*) AS n_files, CAST(0 AS BIGINT) AS n_findings, CAST(0 AS BIGINT) AS n_diagnostics FROM customer")
 def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sound files earn no finding under the whole profile, and no diagnostic."""
     t = tables_of(files_of(customers(spark, sf_dir), _sound))
@@ -642,13 +642,13 @@ def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.structure.agg(F.count("*").alias("n_files")).join(n).join(t.diagnostics.agg(F.count("*").alias("n_diagnostics"))).select("n_files", "n_findings", "n_diagnostics")
 
 
-@query("dangling_references", "SELECT c_custkey AS doc_id, 2 AS n FROM customer WHERE c_custkey % 8 = 1")
+@query("dangling_references", "SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS n FROM customer WHERE c_custkey % 8 = 1")
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables_of(files_of(customers(spark, sf_dir), _by_key(_object_damage)), "nodes", "index")
     return joins.dangling(t.refs, t.index).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("reachable_objects", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 10 = 3 THEN 2 WHEN c_custkey % 10 = 9 THEN 6 ELSE 8 END AS n FROM customer")
+@query("reachable_objects", "SELECT c_custkey AS doc_id, CAST(CASE WHEN c_custkey % 10 = 3 THEN 2 WHEN c_custkey % 10 = 9 THEN 6 ELSE 8 END AS BIGINT) AS n FROM customer")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse(files_of(customers(spark, sf_dir), _by_key(_tree_damage)), "objects")
     return parsed.select("doc_id", F.size(F.filter("objects", lambda o: o["reachable"])).cast("long").alias("n"))
@@ -668,7 +668,7 @@ def report_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "findings_capped",
-    "SELECT c_custkey AS doc_id, 2 AS kept, 1 AS suppressed, 0 AS last_page FROM customer WHERE c_custkey % 10 IN (7, 8)"
+    "SELECT c_custkey AS doc_id, CAST(2 AS BIGINT) AS kept, CAST(1 AS BIGINT) AS suppressed, CAST(0 AS BIGINT) AS last_page FROM customer WHERE c_custkey % 10 IN (7, 8)"
     " UNION ALL SELECT c_custkey, 1, 0, -1 FROM customer WHERE c_custkey % 10 NOT IN (0, 7, 8)",
 )
 def findings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -750,7 +750,7 @@ def typed_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merged_trailer",
-    "SELECT key, count(*) AS n, sum(CASE WHEN key = 'Info' OR key = 'Root' OR key = 'Size' THEN 0 END) AS section FROM customer, (VALUES ('Size'), ('Root'), ('Info')) v(key) GROUP BY 1",
+    "SELECT key, count(*) AS n, CAST(0 AS BIGINT) AS section FROM customer, (VALUES ('Size'), ('Root'), ('Info')) v(key) GROUP BY 1",
 )
 def merged_trailer(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(parse(files_of(customers(spark, sf_dir), updated), "trailers"))
@@ -793,7 +793,7 @@ def reference_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.presence(t.refs, t.index, t.objects).groupBy("presence").agg(F.count("*").alias("n"))
 
 
-@query("object_extents", "SELECT c_custkey AS doc_id, 5 AS n_objects, 1 AS n_first, 1 AS n_last FROM customer")
+@query("object_extents", "SELECT c_custkey AS doc_id, CAST(5 AS BIGINT) AS n_objects, CAST(1 AS BIGINT) AS n_first, CAST(1 AS BIGINT) AS n_last FROM customer")
 def object_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(parse(files_of(customers(spark, sf_dir), typed), "index"))
     rows = joins.extents(t.index)
@@ -802,7 +802,7 @@ def object_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "xref_rows_by_sql",
-    "SELECT c_custkey AS doc_id, 7 AS n_rows, 1 AS n_free, 6 AS n_regular FROM customer",
+    "SELECT c_custkey AS doc_id, CAST(7 AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_free, CAST(6 AS BIGINT) AS n_regular FROM customer",
 )
 def xref_rows_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(row: dict) -> bytes:
