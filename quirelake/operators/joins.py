@@ -122,18 +122,25 @@ def dangling(refs: DataFrame, index: DataFrame) -> DataFrame:
     return refs.join(there, ["doc_id", "dst"], "left_anti")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in the session's checkpoint folder; without such a
+    folder, kept by the executors and worked out again where one is lost."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def reachable(refs: DataFrame, index: DataFrame, rounds: int = 1000) -> DataFrame:
     """(doc_id, obj) that references lead to from the trailer (holder 0): frontiers, each
-    joined with the edges and rid of what was seen; every round is checkpointed."""
+    joined with the edges and rid of what was seen; every round cuts its lineage."""
     there = index.where("kind <> 'free' and obj > 0").select("doc_id", "obj")
-    edges = refs.select("doc_id", "src", F.col("dst").alias("obj")).distinct().join(there, ["doc_id", "obj"], "left_semi").checkpoint()
-    seen = frontier = edges.where("src = 0").select("doc_id", "obj").distinct().checkpoint()
+    edges = refs.select("doc_id", "src", F.col("dst").alias("obj")).distinct().join(there, ["doc_id", "obj"], "left_semi")
+    edges = _kept(edges)
+    seen = frontier = _kept(edges.where("src = 0").select("doc_id", "obj").distinct())
     for _ in range(rounds):
         step = frontier.withColumnRenamed("obj", "src").join(edges, ["doc_id", "src"]).select("doc_id", "obj").distinct()
-        frontier = step.join(seen, ["doc_id", "obj"], "left_anti").checkpoint()
+        frontier = _kept(step.join(seen, ["doc_id", "obj"], "left_anti"))
         if not frontier.limit(1).count():
             return seen
-        seen = seen.unionAll(frontier).checkpoint()
+        seen = _kept(seen.unionAll(frontier))
     raise RuntimeError(f"more than {rounds} rounds")
 
 
