@@ -1,7 +1,9 @@
 """The page tree: pages in order with what they inherit, and the tree's faults.
 
-``walk`` goes through one file's tree as it is written; a tree is as deep as its file
-says and may loop, so this is sequential per file and parallel over files.
+``Walk`` goes through one file's tree as it is written; a tree is as deep as its file
+says and may loop, so this is sequential per file and parallel over files. A page is a
+row each time it is listed; a node listed again is counted again, but its pages are not
+rows again, as such trees may name more pages than anything could hold.
 ``pages_by_recursion`` is the same for sound trees as one recursive statement.
 """
 
@@ -59,6 +61,7 @@ class Walk:
         self.pages: list[tuple] = []
         self.faults: list[tuple] = []
         self.listed: set[int] = set()
+        self.counts: dict[int, int] = {}  # pages below each node that was walked
         self.whole = True
         root = (file.catalog() or {}).get("Pages")
         node = as_dictionary(file.resolve(root))
@@ -122,6 +125,9 @@ class Walk:
                 known = self.counts.get(own)
                 if known is not None:
                     frame["count"] += known
+                    if not self._is_node(d):  # a page is a row each time it is listed
+                        box = d.get("MediaBox", frame["box"])
+                        self.pages.append((len(self.pages), own, frame["number"], box_of(file, box), frame["resources"] or self._present(d, "Resources"), path))
                     continue
             if own is not None:
                 self.listed.add(own)
@@ -134,13 +140,9 @@ class Walk:
                 self._page(own, d, frame, path)
                 frame["count"] += 1
 
-    counts: dict[int, int] = {}
-
     def _enter(self, number: int | None, node: dict, inherited: tuple, path: tuple) -> dict:
-        if not path:
-            self.counts = {}
-            if number is not None:
-                self.listed.add(number)
+        if not path and number is not None:
+            self.listed.add(number)
         kids = self.file.resolve(node.get("Kids"))
         missing = not isinstance(kids, list)
         if missing and not self._dangling(node.get("Kids")):

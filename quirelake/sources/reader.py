@@ -13,7 +13,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from quirelake.functions import filters
-from quirelake.functions.syntax import MAX_LINKS, Keyword, Name, Parser, Ref, Stream, as_dictionary, as_integer, kind_of
+from quirelake.functions.syntax import MAX_LINKS, Keyword, Name, Parser, Ref, Stream, as_dictionary, as_integer
 
 _W = rb"[\x00\t\n\x0c\r ]"
 _R = rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]"
@@ -717,7 +717,6 @@ class PdfFile:
                 index[member] = Entry(member, "compressed", objstm=number, idx=k, found=True)
         if again:
             self.report("Information", "object.redefined", f"{again} objects are defined again later in the file")
-        spans = sorted((m.start(), m.end()) for m, _ in scanned)
         for m in re.finditer(rb"(?<!" + _R + rb")trailer(?!" + _R + rb")", self.data):
             if self._in_comment(m.start()):
                 continue
@@ -728,7 +727,6 @@ class PdfFile:
                     trailers.append((m.start(), value))
             else:
                 self.report("Warning", "syntax.unexpected-token", "a trailer is no dictionary", m.start() - self.base)
-        del spans
         self.trailer, old = {}, self.trailer
         for _, trailer in sorted(trailers, key=lambda t: -t[0]):
             for key, value in trailer.items():
@@ -795,7 +793,3 @@ def _walk(holder: int, value: object):
 
 def _silent(severity: str, code: str, message: str, position: int = -1) -> None:
     pass
-
-
-def describe(value: object) -> str:
-    return kind_of(value)

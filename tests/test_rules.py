@@ -81,6 +81,16 @@ def test_pages_by_recursion(spark, tables):
     assert sorted(map(tuple, by_sql)) == sorted(map(tuple, by_walk))
 
 
+def test_a_page_listed_twice_counts_twice(spark):
+    twice = B.build(bodies(n2=TREE.replace(b"[3 0 R", b"[5 0 R 3 0 R").replace(b"/Count 3", b"/Count 4")))
+    node = B.build({**bodies(n2=TREE.replace(b"[3 0 R", b"[30 0 R 30 0 R 3 0 R").replace(b"/Count 3", b"/Count 5")), 30: b"<< /Type /Pages /Parent 2 0 R /Count 1 /Kids [31 0 R] >>", 31: b"<< /Type /Page /Parent 30 0 R >>"})
+    t = tables_of(spark.createDataFrame([(1, twice), (2, node)], "doc_id long, content binary"))
+    rows = t.pages.where("doc_id = 1").orderBy("page_index").collect()
+    assert [r.obj for r in rows] == [5, 3, 5, 7] and [r.page_index for r in rows] == [0, 1, 2, 3]
+    found = sorted((r.doc_id, r.rule_id) for r in rules.findings(t, queries.TREE_RULES).collect())
+    assert found == [(1, "page-tree.node-repeated"), (2, "page-tree.node-repeated")]
+
+
 def test_strongly_connected(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 3, 4), (2, 5, 5), (2, 6, 7), (1, 8, 9), (1, 9, 8)], "doc_id long, a long, b long")
     found = sorted(map(tuple, joins.strongly_connected(edges).collect()))
