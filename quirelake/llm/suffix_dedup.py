@@ -45,9 +45,11 @@ from quirelake.llm.common import map_rows, written
 LENGTH = 100
 GRAM = 32
 
-#: Bytes worked on at a time, and entries at which a task's own family is sent off.
+#: Bytes worked on at a time, entries at which a task's own family is sent off, and
+#: entries sent at once.
 PIECE = 1 << 20
-FAMILY = 1_500_000
+FAMILY = 1_000_000
+SENT_AT_ONCE = 100_000
 
 _NULL_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 23) - 1)
@@ -220,8 +222,15 @@ def _dealt(parts: int, reps: dict[str, np.ndarray], lost: dict[str, np.ndarray],
         order = np.argsort(target, kind="stable")
         e, target = take(e, order), target[order]
         cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True])
-        rows = [{"part": int(target[a]), "gone": gone, "entries": _packed(take(e, slice(a, z)))} for a, z in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_pylist(rows, schema=SENT)
+        rows, held = [], 0
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows.append({"part": int(target[a]), "gone": gone, "entries": _packed(take(e, slice(a, z)))})
+            held += z - a
+            if held > SENT_AT_ONCE:
+                yield pa.RecordBatch.from_pylist(rows, schema=SENT)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=SENT)
 
 
 def _united(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -252,7 +261,7 @@ def _spans(told: DataFrame, gone: bool) -> DataFrame:
             yield pa.record_batch([pa.array(doc[own[:-1]]), pa.array(sub[own[:-1]]), pa.array(packed, pa.binary())], ["t_doc", "t_sub", "spans"])
 
     rows = told.where("gone" if gone else "not gone").select("part", "entries")
-    return map_rows(rows.repartition(_parts(told), "part"), gather, "t_doc long, t_sub long, spans binary")
+    return map_rows(rows.repartitionById(_parts(told), "part"), gather, "t_doc long, t_sub long, spans binary")
 
 
 def _parts(df: DataFrame) -> int:
@@ -288,7 +297,7 @@ def _rounds(rows: DataFrame, batches_of: Callable[[pa.RecordBatch], Iterator[dic
             kinds, back, counts = np.unique(reps["gram"], return_inverse=True, return_counts=True)
             yield from _dealt(parts, take(reps, counts[back] > 1), concat([]), "doc")
 
-    sent = map_rows(rows, own, "part int, gone boolean, entries binary").repartition(parts, "part")
+    sent = map_rows(rows, own, "part int, gone boolean, entries binary").repartitionById(parts, "part")
     return map_rows(sent, meet, "part int, gone boolean, entries binary")
 
 
