@@ -92,11 +92,16 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: The library's model without its normalising and cutting, which pieces have had.
+        self.of_pieces = Tokenizer(self.library.model)
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         latin = [c for c in range(0x250) if chr(c).lower() == chr(c) or len(chr(c).lower()) == 1]
         kinds = {k: "".join(f"\\u{c:04x}" for c in latin if unicodedata.category(chr(c))[0] == k) for k in "LN"}
         self.pieces = re.compile(LETTERS_FIRST.format(**kinds, S=SPACES))
@@ -120,7 +125,7 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            found = self.of_pieces.encode(" ".join(part), add_special_tokens=False)
             ids, owner = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
             if len(owner) and owner[-1] == len(part) - 1 and (np.diff(owner) >= 0).all():
