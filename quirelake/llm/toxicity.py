@@ -98,7 +98,8 @@ def bags(docs: DataFrame, labelled: DataFrame) -> list:
             yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["y", "words", "sizes"])
 
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(labelled), "id").select("y", "text")
-    return map_rows(rows, kernel, "y int, words binary, sizes binary").collect()
+    found = map_rows(rows, kernel, "y int, words binary, sizes binary").toArrow()
+    return [dict(zip(found.column_names, x)) for x in zip(*(c.to_pylist() for c in found.columns))]
 
 
 def fit(rows: list, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -107,20 +108,18 @@ def fit(rows: list, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     y = np.array([r["y"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return weights, 40.0 if len(y) and y[0] > 0 else -40.0
-    words = np.concatenate([np.frombuffer(r["words"], np.int32) for r in rows])
+    held = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        held[np.unique(np.frombuffer(r["words"], np.int32))] += 1
+    used = np.flatnonzero(held >= LEAST_DOCS)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    column = place[np.concatenate([np.frombuffer(r["words"], np.int32) for r in rows])]
     sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])
     per_doc = np.array([len(r["sizes"]) // 4 for r in rows])
     n, bag_starts = len(sizes), np.cumsum(per_doc) - per_doc
-    sentence = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    doc = np.repeat(np.arange(len(y)), per_doc)[sentence]
-    used, held = np.unique(np.unique(doc << BITS | words) & ((1 << BITS) - 1), return_counts=True)
-    used = used[held >= LEAST_DOCS]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    column = place[words]
-    counted = column >= 0
-    column, sentence = column[counted], sentence[counted]
-    del words, doc, counted
+    sentence = np.repeat(np.arange(n, dtype=np.int32), sizes)[column >= 0]
+    column = column[column >= 0]
     w, rate = np.zeros(len(used)), y.mean()
     bias = np.log(rate / per_doc.mean())
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
