@@ -129,7 +129,7 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits()) -> di
     """The wanted relations of one file."""
     f = PdfFile(data, limits).open()
     out: dict = {}
-    if f.open_error is None and want & {"objects", "nodes", "streams", "pages", "tree_faults", "diagnostics", "containers", "members"}:
+    if f.open_error is None and want & {"objects", "nodes", "streams", "diagnostics", "containers", "members"}:
         f.load_all()
     walk = page_tree.Walk(f) if want & {"pages", "tree_faults", "structure"} and f.open_error is None else None
     if "pages" in want:
