@@ -226,45 +226,117 @@ def near_duplicates(
     return marked.join(grouped, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def word_hashes(text: str, seed: int) -> np.ndarray:
-    """Hashes of the text's distinct lower-cased words."""
-    words = dict.fromkeys(text.encode("utf-8", "surrogatepass").lower().split())
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w, seed) for w in words], np.uint64)
+# -- near copies, verified -----------------------------------------------------
 
+#: Near copies share 4/5 of their shingles of so many words.
+COPY_WORDS = 5
 
-#: Seeds of the fingerprints that near copies are found by; one in common is enough.
-WORD_SEEDS = (42, 7, 11)
+#: Bands of the min-hashes and min-hashes in each: two sets with a similarity of 0.8
+#: have a band in common with a probability of 1 - (1 - 0.8^6)^32 = 0.99994.
+BANDS, BAND_ROWS = 32, 6
 
+#: Odd factors, each of which orders the hashes in another way.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def near_duplicates_by_words(docs: DataFrame, seeds: tuple[int, ...] = WORD_SEEDS, most: int = 3) -> DataFrame:
-    """(doc_id, component_id): near copies by fingerprints of distinct words.
 
-    One replaced word changes several shingles but two words at most, so texts that
-    share 0.8 of their five-word shingles differ in few bits of these fingerprints, and
-    texts of different words in many. Documents are linked if any of their fingerprints,
-    one for each seed, differ in ``most`` bits or fewer."""
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, ascending."""
+    return np.unique(shingle_hashes(text, COPY_WORDS))
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bands_of(shingles: np.ndarray) -> list[int]:
+    """A signed key for each band of a set's min-hashes; none for the empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, np.multiply.outer(FACTORS, shingles[at : at + 512]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def copy_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that connect the sets with a Jaccard similarity of 4/5 or more,
+    counted exactly; each set is found once, so they are fewer than the sets."""
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    there = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            f = frontier.pop()
+            own = flat[start[f] : start[f] + size[f]]
+            there[own] = True
+            fits = (5 * size[left] >= 4 * size[f]) & (5 * size[f] >= 4 * size[left])
+            common = np.array([np.count_nonzero(there[flat[start[x] : start[x] + size[x]]]) for x in left[fits]], np.int64)
+            there[own] = False
+            close = np.zeros(len(left), bool)
+            close[fits] = 9 * common >= 4 * (size[f] + size[left[fits]])
+            found, left = left[close], left[~close]
+            out += [(int(f), int(x)) for x in found]
+            frontier.extend(found)
+    return out
+
+
+def copy_groups(classes: DataFrame) -> DataFrame:
+    """(node, root): the classes that bands chain together, more than one a root. No
+    two classes of different roots have a band in common."""
+    keys = classes.select("rep", F.explode("bands").alias("band"))
+    least = keys.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
+    roots = components(keys.join(least, "band").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    return written(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "copy-groups")
+
+
+def near_duplicates_by_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): near copies by five-word shingles.
+
+    Documents are linked if the sets of their whole texts' shingles have a Jaccard
+    similarity of 0.8 or more. Candidates have a band of min-hashes in common; all that
+    bands chain together is one group, and its sets are compared exactly. Documents of
+    one set are one class before that, so copies never meet in a task."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_set(t) for t in texts_of(b)]
+            codes = [xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets]
+            bands = pa.array([bands_of(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column("id"), pa.array(codes, pa.binary()), bands], ["id", "code", "bands"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = texts_of(b)
-            fps = [np.array([fingerprint_of(word_hashes(t, s)) for t in texts], np.uint64).view(np.int64) for s in seeds]
-            yield pa.record_batch([b.column("id"), *map(pa.array, fps)], ["id", *names])
+            sets = pa.array([shingle_set(t).tobytes() for t in texts_of(b)], pa.binary())
+            yield pa.record_batch([b.column("root"), b.column("id"), sets], ["root", "id", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, ids, sets = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = [(ids[a], ids[b]) for a, b in copy_links(sets)] if len(sets) > 1 else []
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
+
+        for b in batches:
+            for r, i, x in zip(b.column("root").to_pylist(), b.column("id").to_pylist(), b.column("shingles")):
+                if r != root:
+                    yield from out()
+                    root, ids, sets = r, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(x.as_py(), np.uint64))
+        yield from out()
 
-    names = [f"fp{k}" for k in range(len(seeds))]
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    marked = written(map_rows(rows, kernel, "id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    classes = written(marked.groupBy(*names).agg(F.min("id").alias("rep")), "fingerprint-classes")
-    links = None
-    for name in names:
-        one = written(classes.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("least")), "fingerprint-classes")
-        side = lambda end, to: one.select(F.col("fp").alias(end), F.col("least").alias(to))  # noqa: B023,E731
-        near = links_of(one, most).join(side("fp_u", "u"), "fp_u").join(side("fp_v", "v"), "fp_v").select("u", "v")
-        same = classes.join(one, classes[name] == one.fp).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
-        links = near.unionAll(same) if links is None else links.unionAll(near).unionAll(same)
-    roots = components(links)
-    grouped = classes.join(roots, classes.rep == roots.node, "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(grouped, names).select(F.col("id").alias("doc_id"), "component_id")
+    marked = written(map_rows(rows, mark, "id long, code binary, bands array<long>"), "copy-marks")
+    classes = written(marked.groupBy("code").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "copy-classes")
+    # A merge join at every size: the groups grow with the input and are not broadcast.
+    texts = rows.join(copy_groups(classes).hint("merge"), F.col("id") == F.col("node")).select("root", "id", "text")
+    sets = map_rows(texts, cut, "root long, id long, shingles binary")
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = sets.repartition(parts, "root").sortWithinPartitions("root")
+    roots = components(map_rows(dealt, verify, "u long, v long"))
+    grouped = classes.join(roots, classes.rep == roots.node, "left").select("code", F.coalesce("root", "rep").alias("component_id"))
+    return marked.select("id", "code").join(grouped, "code").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def hex_of(fp: str):

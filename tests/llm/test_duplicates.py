@@ -168,6 +168,35 @@ def test_near_copies_by_words(spark):
     assert simhash.near_duplicates_by_words(data.documents(spark)).count() == len(data.rows())
 
 
+def copies_near_the_threshold(seed: int) -> list[tuple[int, str]]:
+    """Texts of one to nine changed words, on both sides of 0.8, and word bags shuffled."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([3, 30, 100, 300]))]
+        out.append(" ".join(base))
+        for _ in range(3):
+            words = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 25))):
+                words[rng.randrange(len(words))] = "other"
+            out.append(" ".join(words))
+        rng.shuffle(base)
+        out.append(" ".join(base))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_near_copies_equal_all_pairs_of_shingle_sets(spark):
+    texts = copies_near_the_threshold(12)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts)}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    pairs = [p for p, s in alike.items() if s >= 0.8]
+    assert sum(0.8 <= s < 0.87 for s in alike.values()) > 10 and sum(0.7 < s < 0.8 for s in alike.values()) > 10
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_words(df).collect()}
+    assert found == roots_by_hand(pairs, sets)
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(5, 5), (3, 4), (200, 201), (201, 202), (199, 202)]
     links = spark.createDataFrame(pairs, "u long, v long")
