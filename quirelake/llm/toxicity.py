@@ -5,9 +5,10 @@ logistic function of its hashed words; a document's is the noisy-or of its sente
 ``1 - prod(1 - p)``. The weights are fitted to document labels through the noisy-or, so
 they find out which sentences of a toxic document made it so; ``spans`` names them.
 
-The fit uses a bounded sample of the labelled rows (``SAMPLE_ROWS``, and of those the
-texts of at most ``SAMPLE_WORDS`` features), chosen by a hash of the id. Scores are
-computed on every whole text.
+The fit uses a bounded sample of the labelled rows (``SAMPLE_ROWS``), chosen by a hash
+of the id, and of those the whole texts. Scores are computed on every whole text, of the
+probabilities above that of a sentence without evidence: such a sentence adds nothing,
+however many a text has.
 
 Edge cases: a null or empty text has no sentence, and so the score 0; without any
 labelled row, or with labels of one kind only, every score is 0 or 1 as the labels
@@ -31,9 +32,11 @@ from quirelake.llm.common import map_rows, slices, texts_of
 #: Bits of the hashed vocabulary.
 BITS = 18
 
-#: Labelled rows that a fit uses, about; and features of such a row, at most.
+#: Labelled rows that a fit uses, about.
 SAMPLE_ROWS = 6_000
-SAMPLE_WORDS = 8_000
+
+#: The bias, or its negative, where all labels are of one kind.
+SURE = 40.0
 
 #: Passes over the sample; the weight of the squared weights; a word counts only if so
 #: many of the sample's documents hold it.
@@ -91,7 +94,7 @@ def bags(docs: DataFrame, labelled: DataFrame) -> list:
             ys, words, sizes = [], [], []
             for y, text in zip(b.column("y").to_pylist(), texts_of(b)):
                 own = [slots.of(text[s:e]) for s, e in sentences(text)]
-                if 0 < sum(map(len, own)) <= SAMPLE_WORDS:
+                if any(own):
                     ys.append(y)
                     words.append(np.array([x for o in own for x in o], np.int32).tobytes())
                     sizes.append(np.fromiter(map(len, own), np.int32, len(own)).tobytes())
@@ -107,7 +110,7 @@ def fit(rows: list, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     weights = np.zeros(1 << BITS, np.float32)
     y = np.array([r["y"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
-        return weights, 40.0 if len(y) and y[0] > 0 else -40.0
+        return weights, SURE if len(y) and y[0] > 0 else -SURE
     held = np.zeros(1 << BITS, np.int32)
     for r in rows:
         held[np.unique(np.frombuffer(r["words"], np.int32))] += 1
@@ -162,7 +165,10 @@ def score_of(text: str, weights: np.ndarray, bias: float, slots: Slots) -> tuple
     sizes = np.fromiter(map(len, own), np.int64, len(own))
     words = np.fromiter((x for o in own for x in o), np.int64, int(sizes.sum()))
     z = np.add.reduceat(weights[words].astype(np.float64), np.cumsum(sizes) - sizes) + bias
-    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    p = 1 / (1 + np.exp(-np.clip(z, -SURE, SURE)))
+    if bias < SURE:
+        none = 1 / (1 + np.exp(-np.clip(bias, -SURE, SURE)))
+        p = np.maximum(p - none, 0) / (1 - none)  # what its words add
     score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
     return score, [{"start": at[k][0], "stop": at[k][1], "p": float(p[k])} for k in np.flatnonzero(p >= 0.5)]
 

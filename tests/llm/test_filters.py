@@ -66,6 +66,27 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(data.empty(spark), model).count() == 0
 
 
+def test_long_clean_texts_are_kept(spark):
+    docs, labels, _ = toxic_corpus()
+    rng = random.Random(9)
+    clean = " ".join(data.sentence(rng, 10) for _ in range(6000))
+    mixed = clean + f" The {BAD[0]} of {BAD[1]} is {BAD[2]}."
+    long = [(1000, clean), (1001, mixed), (1002, "Nothing known. " * 40_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = spark.createDataFrame(long, "doc_id long, text string")
+    assert {r.doc_id for r in toxicity.keep_below(found, model).collect()} == {1000, 1002}
+    scores = {r.doc_id: r.score for r in toxicity.score(found, model).collect()}
+    assert scores[1002] == 0 and scores[1001] >= 0.5
+
+
+def test_fit_reads_long_texts_whole(spark):
+    rng = random.Random(10)
+    d = spark.createDataFrame([(1, " ".join(f"w{rng.randint(0, 10**6)}x." for _ in range(9000)))], "doc_id long, text string")
+    (row,) = toxicity.bags(d, spark.createDataFrame([(1, 0)], "id long, y int"))
+    assert len(row["sizes"]) // 4 == 9000
+
+
 # -- op5 ------------------------------------------------------------------------
 
 
