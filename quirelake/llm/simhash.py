@@ -9,12 +9,15 @@ is filed under each pair of segments and each pair of nearby codeword indices (a
 3 x 36 keys of 26 bits), and fingerprints under one key are verified by their distance.
 
 Documents with one fingerprint are one class before any key is made, so copies never
-meet in a task. Under a key, links that only close a circle are left out: every pair of
-linked fingerprints ends up connected, but a dense group does not become all its pairs.
+meet in a task. Under a key each fingerprint is linked to the least of its connected
+group: every pair of linked fingerprints ends up connected, and a dense group becomes as
+many rows as it has members. Long runs of a key compare only what agrees in a part.
 
 Edge cases: a null or empty text, or one of white space alone, has fingerprint zero
 and is linked like any other; fewer words than a shingle has make one shingle; repeated
-rows have one class; an empty table gives an empty result; other columns are ignored.
+rows have one class; a null id is linked like any other and never names a component, which
+is null only if no row of it has an id; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +44,11 @@ GENERATOR = 0b101011100011
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
-#: Fingerprints of a key that are still compared as all their pairs.
+#: Fingerprints of a key that are still compared as all their pairs at once, and beyond
+#: which only those are that have an equal part of so many bits of their two segments.
 SMALL_RUN = 5
+LONG_RUN = 256
+PART = 15
 
 
 # -- fingerprints --------------------------------------------------------------
@@ -131,37 +137,61 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect what differs in ``most`` bits or fewer, each fingerprint
-    found once."""
+    """For distinct fingerprints, ascending, the groups that differences of ``most`` bits
+    or fewer connect: (least of the group, other member), one link a member."""
     left, out = fps.copy(), []
     while len(left):
-        frontier, left = [left[0]], left[1:]
+        root, frontier, left = int(left[0]), [left[0]], left[1:]
         while frontier and len(left):
-            f = frontier.pop()
-            close = np.bitwise_count(left ^ f) <= most
+            close = np.bitwise_count(left ^ frontier.pop()) <= most
             if close.any():
-                found = left[close]
-                left = left[~close]
-                out += [(int(f), int(x)) for x in found]
+                found, left = left[close], left[~close]
+                out += [(root, x) for x in found.tolist()]
                 frontier.extend(found)
     return out
 
 
+def long_run_links(fps: np.ndarray, tag: int, most: int) -> list[tuple[int, int]]:
+    """Links of a long run: what meets under a pair of segments differs in two bits of
+    them at most, so one of three parts of the pair is equal, and only fingerprints with
+    an equal part are compared. Unlike fingerprints that fill a key cost no square."""
+    (a, na), (b, nb) = (SEGMENTS[k] for k in tuple(combinations(range(3), 2))[tag])
+    mask = lambda n: np.uint64((1 << n) - 1)
+    pair = (fps >> np.uint64(a) & mask(na)) | (fps >> np.uint64(b) & mask(nb)) << np.uint64(na)
+    out = set()
+    for at in range(0, na + nb, PART):
+        part = pair >> np.uint64(at) & mask(PART)
+        order = np.argsort(part, kind="stable")  # keeps the fingerprints ascending in a part
+        cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if e - s > 1:
+                out.update(tree_links(fps[order[s:e]], most))
+    return list(out)
+
+
 def run_links(keys: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links inside the runs of equal keys; the keys are sorted."""
+    """Links inside the runs of equal keys, fewer than the members; the keys are sorted."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[starts, len(keys)])
-    small = np.repeat(size <= SMALL_RUN, size)
+    run = np.repeat(np.arange(len(starts)), size)
+    small = (size <= SMALL_RUN)[run]
+    hit = np.zeros(len(starts), np.int64)
+    single: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for d in range(1, min(SMALL_RUN, len(keys))):
+        same = np.flatnonzero((keys[d:] == keys[:-d]) & small[d:])
+        close = same[np.bitwise_count(fps[same] ^ fps[same + d]) <= most]
+        hit += np.bincount(run[close], minlength=len(starts))
+        single.append((run[close], fps[close], fps[close + d]))
     out: list[tuple[int, int]] = []
-    for d in range(1, SMALL_RUN):
-        if d >= len(keys):
-            break
-        same = (keys[d:] == keys[:-d]) & small[d:]
-        a, b = fps[:-d][same], fps[d:][same]
-        close = np.bitwise_count(a ^ b) <= most
-        out += zip(a[close].tolist(), b[close].tolist())
-    for s, n in zip(starts[size > SMALL_RUN], size[size > SMALL_RUN]):
-        out += tree_links(np.unique(fps[s : s + n]), most)
+    for r, a, b in single:
+        alone = hit[r] == 1
+        out += zip(a[alone].tolist(), b[alone].tolist())
+    for k in np.flatnonzero((hit > 1) | (size > SMALL_RUN)).tolist():
+        own = np.unique(fps[starts[k] : starts[k] + size[k]])
+        if len(own) <= LONG_RUN:
+            out += tree_links(own, most)
+        else:
+            out += long_run_links(own, int(keys[starts[k]]) >> 24, most)
     return out
 
 
@@ -218,127 +248,13 @@ def near_duplicates(
     """(id, fp LONG, component_id): every row with the smallest id that links reach."""
     marked = written(fingerprints(docs, width, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-classes")
-    links = links_of(classes, most)
-    side = lambda end, to: classes.select(F.col("fp").alias(end), F.col("rep").alias(to))
-    named = links.join(side("fp_u", "u"), "fp_u").join(side("fp_v", "v"), "fp_v").select("u", "v")
-    roots = components(named)
-    grouped = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(links_of(classes, most).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    grouped = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(grouped, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-# -- near copies, verified -----------------------------------------------------
-
-#: Near copies share 4/5 of their shingles of so many words.
-COPY_WORDS = 5
-
-#: Bands of the min-hashes and min-hashes in each: two sets with a similarity of 0.8
-#: have a band in common with a probability of 1 - (1 - 0.8^6)^32 = 0.99994.
-BANDS, BAND_ROWS = 32, 6
-
-#: Odd factors, each of which orders the hashes in another way.
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct shingle hashes of a whole text, ascending."""
-    return np.unique(shingle_hashes(text, COPY_WORDS))
-
-
-def bands_of(shingles: np.ndarray) -> list[int]:
-    """A signed key for each band of a set's min-hashes; none for the empty set."""
-    if not len(shingles):
-        return []
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        least = np.minimum(least, np.multiply.outer(FACTORS, shingles[at : at + 512]).min(axis=1))
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
-
-
-def copy_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (positions) that connect the sets with a Jaccard similarity of 4/5 or more,
-    counted exactly; each set is found once, so they are fewer than the sets."""
-    size = np.array([len(x) for x in sets])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.cumsum(size) - size
-    there = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
-    left, out = np.arange(len(sets)), []
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            f = frontier.pop()
-            own = flat[start[f] : start[f] + size[f]]
-            there[own] = True
-            fits = (5 * size[left] >= 4 * size[f]) & (5 * size[f] >= 4 * size[left])
-            common = np.array([np.count_nonzero(there[flat[start[x] : start[x] + size[x]]]) for x in left[fits]], np.int64)
-            there[own] = False
-            close = np.zeros(len(left), bool)
-            close[fits] = 9 * common >= 4 * (size[f] + size[left[fits]])
-            found, left = left[close], left[~close]
-            out += [(int(f), int(x)) for x in found]
-            frontier.extend(found)
-    return out
-
-
-def copy_groups(classes: DataFrame) -> DataFrame:
-    """(node, root): the classes that bands chain together, more than one a root. No
-    two classes of different roots have a band in common."""
-    keys = classes.select("rep", F.explode("bands").alias("band"))
-    least = keys.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    roots = components(keys.join(least, "band").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")))
-    return written(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "copy-groups")
-
-
-def near_duplicates_by_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): near copies by five-word shingles.
-
-    Documents are linked if the sets of their whole texts' shingles have a Jaccard
-    similarity of 0.8 or more. Candidates have a band of min-hashes in common; all that
-    bands chain together is one group, and its sets are compared exactly. Documents of
-    one set are one class before that, so copies never meet in a task."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingle_set(t) for t in texts_of(b)]
-            codes = [xxhash.xxh128_digest(x.tobytes(), SEED) for x in sets]
-            bands = pa.array([bands_of(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column("id"), pa.array(codes, pa.binary()), bands], ["id", "code", "bands"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = pa.array([shingle_set(t).tobytes() for t in texts_of(b)], pa.binary())
-            yield pa.record_batch([b.column("root"), b.column("id"), sets], ["root", "id", "shingles"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ids, sets = None, [], []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            found = [(ids[a], ids[b]) for a, b in copy_links(sets)] if len(sets) > 1 else []
-            if found:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], ["u", "v"])
-
-        for b in batches:
-            for r, i, x in zip(b.column("root").to_pylist(), b.column("id").to_pylist(), b.column("shingles")):
-                if r != root:
-                    yield from out()
-                    root, ids, sets = r, [], []
-                ids.append(i)
-                sets.append(np.frombuffer(x.as_py(), np.uint64))
-        yield from out()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    marked = written(map_rows(rows, mark, "id long, code binary, bands array<long>"), "copy-marks")
-    classes = written(marked.groupBy("code").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "copy-classes")
-    # A merge join at every size: the groups grow with the input and are not broadcast.
-    texts = rows.join(copy_groups(classes).hint("merge"), F.col("id") == F.col("node")).select("root", "id", "text")
-    sets = map_rows(texts, cut, "root long, id long, shingles binary")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = sets.repartition(parts, "root").sortWithinPartitions("root")
-    roots = components(map_rows(dealt, verify, "u long, v long"))
-    grouped = classes.join(roots, classes.rep == roots.node, "left").select("code", F.coalesce("root", "rep").alias("component_id"))
-    return marked.select("id", "code").join(grouped, "code").select(F.col("id").alias("doc_id"), "component_id")
-
-
 def hex_of(fp: str):
     """16 lowercase hex digits of a LONG column."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from quirelake.llm import components, line_dedup, simhash, suffix_dedup
+from quirelake.llm import components, line_dedup, near_copies as copies, simhash, suffix_dedup
 from tests.llm import data
 
 
@@ -157,15 +158,48 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.near_duplicates(data.empty(spark)).count() == 0
 
 
+def groups_of(df):
+    """{doc_id: least doc_id of its group} by the near-copy operator."""
+    rows = copies.near_copies(df).collect()
+    least = {}
+    for r in rows:
+        least[r["__copy_group"]] = min(least.get(r["__copy_group"], r.doc_id), r.doc_id)
+    assert {r.doc_id for r in rows if r["__copy_kept"]} == set(least.values())
+    return {r.doc_id: least[r["__copy_group"]] for r in rows}
+
+
 def test_near_copies_by_words(spark):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
     changed = [w if k not in (40, 90) else "other" for k, w in enumerate(base)]
     others = [[f"w{rng.randint(0, 10**6)}" for _ in range(150)] for _ in range(5)]
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([base, changed, *others, base])], "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_words(df).collect()}
-    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 0}
-    assert simhash.near_duplicates_by_words(data.documents(spark)).count() == len(data.rows())
+    assert groups_of(df) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 0}
+
+
+def test_near_copies_are_told_apart_by_row(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, c), (3, None), (4, ""), (5, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__copy_row", F.lit("clash"))
+    kept = sorted(((r.doc_id, r.text) for r in copies.keep_first(df).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (None, c), (3, None)], key=str)
+    found = copies.keep_first(data.documents(spark))
+    assert found.columns == data.documents(spark).columns
+    # Two copies, and of three texts without a word two, go.
+    assert found.count() == len(data.rows()) - 4
+    assert copies.keep_first(data.empty(spark)).count() == 0
+
+
+def test_large_bands_are_compared_in_blocks(spark, monkeypatch):
+    """Groups that only a follower connects, in bands above the block size."""
+    monkeypatch.setattr(copies, "BLOCK", 4)
+    monkeypatch.setattr(copies, "bands_of", lambda x: [7] if len(x) else [])
+    texts = copies_near_the_threshold(5)[:120]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert groups_of(df) == roots_by_hand(pairs, sets) and len(pairs) > 10
 
 
 def copies_near_the_threshold(seed: int) -> list[tuple[int, str]]:
@@ -193,8 +227,25 @@ def test_near_copies_equal_all_pairs_of_shingle_sets(spark):
     pairs = [p for p, s in alike.items() if s >= 0.8]
     assert sum(0.8 <= s < 0.87 for s in alike.values()) > 10 and sum(0.7 < s < 0.8 for s in alike.values()) > 10
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    found = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_words(df).collect()}
-    assert found == roots_by_hand(pairs, sets)
+    assert groups_of(df) == roots_by_hand(pairs, sets)
+
+
+def test_long_runs_lose_no_link():
+    """Two segments in one key differ in two bits at most: linked in a long run too."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flip = lambda x, n: x ^ np.uint64(sum(1 << int(k) for k in rng.choice(43, n, replace=False)))
+    fps = np.unique(np.array([flip(x, n) for x in base for n in (0, 1, 2, 2)], np.uint64))
+    links = simhash.long_run_links(fps, 0, 3)
+    pairs = [(int(a), int(b)) for a in fps for b in fps if int((a ^ b) & np.uint64((1 << 43) - 1)).bit_count() <= 2 and int(a ^ b).bit_count() <= 3]
+    got, want = roots_by_hand(links, fps.tolist()), roots_by_hand(pairs, fps.tolist())
+    assert all(got[a] == got[b] for a in want for b in [want[a]])
+
+
+def test_fingerprint_classes_without_ids(spark):
+    df = spark.createDataFrame([(None, "one two three"), (None, "one two three"), (4, "one two three"), (None, "x")], "doc_id long, text string")
+    found = simhash.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("4", "4"), ("None", "4"), ("None", "4"), ("None", "None")]
 
 
 def test_components_of_chains_and_stars(spark):
