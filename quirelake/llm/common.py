@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of this machine is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset in a local
+    session, as in tests, a folder of this machine is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quirelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

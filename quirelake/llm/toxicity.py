@@ -5,15 +5,16 @@ logistic function of its hashed words; a document's is the noisy-or of its sente
 ``1 - prod(1 - p)``. The weights are fitted to document labels through the noisy-or, so
 they find out which sentences of a toxic document made it so; ``spans`` names them.
 
-The fit uses a bounded sample of the labelled rows (``SAMPLE_ROWS``), chosen by a hash
-of the id, and of those the whole texts. Scores are computed on every whole text, of the
+The fit uses SAMPLE_ROWS labelled ids at most, chosen by a hash of the id, and of those
+the whole texts. Scores are computed on every whole text, of the
 probabilities above that of a sentence without evidence: such a sentence adds nothing,
 however many a text has.
 
 Edge cases: a null or empty text has no sentence, and so the score 0; without any
 labelled row, or with labels of one kind only, every score is 0 or 1 as the labels
-say (0 if there are none); rows whose label is null are passed over; repeated labels
-and repeated documents count as often as they occur; other columns are ignored.
+say (0 if there are none); rows whose label or id is null are not learned from; an id
+labelled or given several times is learned from once; every row is scored by its own text;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_rows, slices, texts_of
+from quirelake.llm.common import map_rows, slices, texts_of, written
 
 #: Bits of the hashed vocabulary.
 BITS = 18
 
-#: Labelled rows that a fit uses, about.
+#: Labelled ids that a fit uses, at most.
 SAMPLE_ROWS = 6_000
 
 #: The bias, or its negative, where all labels are of one kind.
@@ -76,17 +77,17 @@ class Slots(dict):
 
 
 def sample(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` of the labelled rows, by a hash of the id: (id, y)."""
+    """At most ``rows`` of the labelled ids, the least by a hash: (id, y). An id that is
+    labelled more than once counts once, with its greatest label."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    n = known.count()
-    share = min(1.0, rows / max(n, 1))
-    picked = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
-    return known.where(picked).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+    ids = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    return ids.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(rows)
 
 
 def bags(docs: DataFrame, labelled: DataFrame) -> list:
     """The sample's sentences as slots. ``labelled`` is bounded, so it is broadcast and
-    ``docs`` is not shuffled."""
+    ``docs`` is not shuffled; of rows with one id the text least in order of bytes counts,
+    so what comes to the driver is bounded by the ids."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
@@ -100,7 +101,8 @@ def bags(docs: DataFrame, labelled: DataFrame) -> list:
                     sizes.append(np.fromiter(map(len, own), np.int32, len(own)).tobytes())
             yield pa.record_batch([pa.array(ys, pa.int32()), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["y", "words", "sizes"])
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(labelled), "id").select("y", "text")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(written(labelled, "toxic-sample")), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
     found = map_rows(rows, kernel, "y int, words binary, sizes binary").toArrow()
     return [dict(zip(found.column_names, x)) for x in zip(*(c.to_pylist() for c in found.columns))]
 

@@ -1,5 +1,6 @@
 """op4, op5, op6, op9, op10 and the pipeline's stages."""
 
+import itertools
 import random
 import zlib
 
@@ -171,7 +172,7 @@ def leaks_by_hand(docs, items):
         for k, item in items:
             it = (item or "").lower().split()
             width = min(len(it), 13)
-            if len(it) < 6:
+            if not it:
                 continue
             for shift in range(-len(it), len(ws) + 1):
                 same = [0 <= shift + j < len(ws) and ws[shift + j] == it[j] for j in range(len(it))]
@@ -182,12 +183,12 @@ def leaks_by_hand(docs, items):
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(5)
-    items = [(k, " ".join(rng.choice(data.WORDS) + str(rng.randint(0, 30)) for _ in range(rng.randint(5, 30)))) for k in range(12)] + [(12, None), (13, ""), (14, "a b c")]
+    items = [(k, " ".join(rng.choice(data.WORDS) + str(rng.randint(0, 30)) for _ in range(2 * k + 1))) for k in range(15)] + [(15, None), (16, ""), (17, "a b c")]
     docs = []
-    for i in range(60):
+    for i in range(120):
         words = [rng.choice(data.WORDS) + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 60))]
-        if i % 3:
-            leak = (items[rng.randrange(12)][1]).split()
+        if i % 4:
+            leak = (items[i % 15][1]).split()
             for _ in range(rng.randint(0, 4)):
                 leak[rng.randrange(len(leak))] = "changed"
             at = rng.randint(0, len(words))
@@ -195,10 +196,22 @@ def test_leaks_equal_brute_force(spark):
         docs.append((i, " ".join(words).upper() if i % 5 == 0 else "\n".join(words)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit(1))
     want = leaks_by_hand(docs, items)
-    found = {(r.doc_id, r.item_id) for r in decontamination.verified(d, b).collect()}
-    assert found <= want and len(want) > 15
-    # A seed of six words must survive; four changed words can break them all.
-    assert len(found) >= 0.95 * len(want)
+    keyed = decontamination.with_key(d, "doc_id")
+    found = {(r.key.id, r.item_id) for r in decontamination.verified(keyed, b).collect()}
+    assert found == want and len(want) > 50
+    assert {len(items[k][1].split()) for _, k in want} >= {1, 3, 5, 7, 9, 11, 13, 15}
+
+
+def test_every_tolerated_change_leaves_a_seed():
+    for n in range(1, 14):
+        lost = n - decontamination.needed_of(n)
+        if n < decontamination.WINDOW:
+            places = [set(range(a, a + k)) for a, k in decontamination.parts_of(n)]
+            assert sum(map(len, places)) == n and all(places)
+        else:
+            places = [{at + k for k in m} for m in decontamination.MASKS for at in range(n - m[-1])]
+        for gone in itertools.combinations(range(n), lost):
+            assert any(not p & set(gone) for p in places), (n, gone)
 
 
 @pytest.mark.parametrize("rows", [500_000, 0])

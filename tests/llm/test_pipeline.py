@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -58,6 +59,31 @@ def test_every_stage_keeps_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_stages_of_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, shared and null ids,
+    clashing columns."""
+    planted(tmp_path, spark)
+    docs = data.documents(spark).withColumn("doc_id", F.col("doc_id") + 100)  # labelled as clean
+    extra = spark.createDataFrame([(None, None, None, None, None), (102, "an unlike text under an id that is taken", None, "s", 1), (None, "a text without an id", "en", None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    awkward = docs.unionByName(extra, allowMissingColumns=True)
+    n = awkward.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, awkward, str(tmp_path)).collect()
+        # Near copies: the copy, its repetition, and all but one of four texts without a word.
+        assert len(found) == (n - 5 if name == "near_copies" else n), name
+        assert {r.text for r in found} >= {"a text without an id", "an unlike text under an id that is taken", "é"}
+    tokens = corpus_pipeline.tokenise(spark, awkward, str(tmp_path))
+    assert tokens.count() == n
+
+
+def test_shared_ids_are_judged_by_text(spark, tmp_path):
+    docs, _, leaked, _ = planted(tmp_path, spark)
+    rows = [(1, docs[leaked[0]]), (1, "nothing of the kind stands here at all"), (None, docs[leaked[1]]), (None, "nor here")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
+    assert sorted(r.text for r in found) == ["nor here", "nothing of the kind stands here at all"]
+
+
 def test_entry_offers_the_queries():
     import __spark_entry__
 
