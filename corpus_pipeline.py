@@ -2,6 +2,13 @@
 
 Every stage takes what its predecessor kept, as reread from Parquet, and returns the
 columns of ``documents`` (the last one tokens). ``run`` applies them in order.
+
+Edge cases, in every stage: rows are judged one by one by their text, never by their id,
+so repeated rows, rows that share an id and rows without one are told apart; a null text
+is treated as an empty one and passes through as null (its ``n_chars`` is 0 after line
+dedup); texts without a word are near copies of each other, of which one stays; very long
+texts are read whole; an empty table gives an empty table; further columns are left behind
+by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,8 +17,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, decontamination, line_dedup, simhash, toxicity
+from quirelake.llm import bpe, decontamination, line_dedup, near_copies, toxicity
 from quirelake.llm.common import table, written
+from quirelake.sources.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,21 +33,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur over documents go; every document stays."""
     shorter = line_dedup.line_dedup(docs.select(COLUMNS))
-    return shorter.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return shorter.withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
-    found = simhash.near_duplicates_by_words(docs)
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
+    return near_copies.keep_first(docs.select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontamination.verified(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(found.select("doc_id").distinct(), "contaminated")
-    return docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
+    return decontamination.keep_clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
