@@ -1,28 +1,36 @@
 """Line deduplication by a log-template tree of fixed depth, in DataFrame operations.
 
 A line's first template generalises its numbers: every run of digits becomes ``0`` and
-white space one blank. The tree's path is the token count and the first LEADING tokens;
-the lines of a leaf are compared position by position, and where CONSTANT of them agree
-the token belongs to the leaf's template, elsewhere the field is variable. A leaf whose
-constant share is at least SOLID has a template, and lines that agree with MATCH of its
-constant fields follow it.
-
-A template recurs if it stands in MIN_CONTEXTS documents of different context or more,
-and in so many that they are a SPREAD-th of the documents that hold it, and if it has
-MIN_TOKENS tokens or more: shorter lines say too little. The context of
-a line is the first and the last, in order of bytes, of its document's other lines:
-copies of one document share it, documents that quote the same passage don't. Lines of
-recurring templates are dropped from every document; the rest of the text stays.
-
-The main path is DataFrame operations only. Lines are hashed before they are shuffled;
-counts are partial sums, so a line that a third of the documents hold is added up where
-it lies; the dropped templates of a document come back to it by one join on its id.
-
-Edge cases: a null text stays null, an empty one empty; lines without a word are kept
-and count for nothing; a document of one line has no context and makes nothing recur;
-a line repeated in a document counts once; rows with one document id share what is
-dropped; an empty table gives an empty table; further columns are kept as they are, but for
-``n_lines`` and ``n_dropped``, which are replaced.
+white space one blank. The tree's path is the token count and the leading tokens (LEADING,
+of short lines SHORT_LEADING). In a leaf, a token is constant at its place if lines of so
+much weight have it there as makes a line recur; every other field is variable. Lines of
+one leaf with the same constants follow one template, so a leaf has as many templates as
+its lines show, however many unlike lines share it; a template needs a share of constants
+of SOLID (short lines SHORT_SOLID). As a frequent value of a variable field looks constant,
+a line may also follow a template without its FREQUENT rarest constants or fewer.
+
+A template recurs if the weights of the documents that hold it come to MIN_WEIGHT: three
+unlike documents. Lines of fewer than MIN_TOKENS tokens say too little and stay. A document
+weighs 1/n, where n documents look like it: of the ORDERS min-hashes of its lines, RANK are
+each shared by n documents or more. So a group of copies, or of copies with a changed line,
+counts about once however large it is, and a copied document takes nothing from the others
+that quote a passage. Where many documents share headers and footers, those recur first;
+then documents are weighed anew without them.
+
+Lines of recurring templates are dropped from every document; the rest of the text stays.
+Left alone: variable fields in lines under five tokens or among the leading tokens, lines
+in which more than the stated share varies, and passages that are only part of a line.
+
+The main path is DataFrame operations only. Every text is cut and generalised once; lines
+are numbers from there. Sums are partial, so a line, a leaf or a min-hash that a third of
+the documents have is added up where it lies. What a document loses comes back to it as
+places, by one join on its row, and is cut out in one pass over its lines.
+
+Edge cases: a null text stays null, an empty one empty; lines without a word are kept and
+count for nothing; a line repeated in a document counts once and goes at every place; rows
+are told apart by their place, so repeated rows and shared or null ids are no matter; an
+empty table gives an empty table; further columns are kept as they are, but for
+``n_lines``, ``n_dropped`` and those named ``__line_...``, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,20 +40,34 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import written
 
-MIN_CONTEXTS = 4
-SPREAD = 2
+#: A document's whole weight, and what recurring takes: rounding and the near copies of a
+#: group make their sum differ a little from a count.
+WHOLE = 1_000_000
+MIN_WEIGHT = 2_500_000
+
 MIN_TOKENS = 3
-LEADING = 3
 LEAF_TOKENS = 8
-CONSTANT = 0.8
-SOLID = 0.7
-MATCH = 0.9
+LEADING, SOLID = 3, 0.7
+SHORT_TOKENS = 5
+SHORT_LEADING, SHORT_SOLID = 2, 0.8
+
+#: Constants that may be values of variable fields.
+FREQUENT = 2
+
+#: Min-hashes of a document: orders of its lines by their digests from another digit; and
+#: how many of them copies share at least. A copy with one line of three changed shares
+#: fewer once in 10,000 times.
+ORDERS = 16
+RANK = 4
 
+#: How often documents are weighed, each time without the lines found before.
+ROUNDS = 2
 
-def template_lines(text: str = "text") -> Column:
-    """The template of each line: runs of digits as ``0`` and of white space as one
+
+def templates(lines: Column) -> Column:
+    """The template of each line of a text: runs of digits as ``0`` and of white space as one
     blank. The text is generalised as a whole, then cut; single blanks are left alone."""
-    spaced = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09\\x0B-\\x0D]{2,}|[\\x09\\x0B-\\x0D]", " ")
+    spaced = F.regexp_replace(lines, "[\\x20\\x09\\x0B-\\x0D]{2,}|[\\x09\\x0B-\\x0D]", " ")
     return F.transform(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n", -1), lambda line: F.trim(line))
 
 
@@ -53,92 +75,155 @@ def n_tokens(template: Column) -> Column:
     return F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """(template, h, context): each document's distinct templates, once each."""
-    own = docs.select(F.array_remove(F.array_distinct(template_lines()), "").alias("own"))
-    ends = {"first": F.array_min("own"), "last": F.array_max("own")}
-    own = own.select("own", *(c.alias(k) for k, c in ends.items()))
-    rest = {"second": F.array_min(F.array_remove("own", F.col("first"))), "before": F.array_max(F.array_remove("own", F.col("last")))}
-    # Hashed before the explode: no row carries its document's lines along.
-    several = F.when(F.size("own") > 1, F.col("own")).alias("own")
-    own = own.select(several, *(F.xxhash64(c).alias(k) for k, c in (rest | {k: F.col(k) for k in ends}).items()))
-    # The outer form: the plain one would filter by the array's size first, and work the
-    # array out again for that.
-    row = own.select(F.explode_outer("own").alias("template"), "first", "second", "last", "before").where("template is not null")
-    row = row.withColumn("h", F.xxhash64("template"))
-    least = F.when(F.col("h") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    most = F.when(F.col("h") == F.col("last"), F.col("before")).otherwise(F.col("last"))
-    return row.select("template", "h", F.xxhash64(least, most).alias("context"))
-
-
-def leaf(template: Column) -> Column:
-    """The tree's path to a template's leaf as one number; null below LEAF_TOKENS."""
-    path = F.xxhash64(n_tokens(template), F.substring_index(template, " ", LEADING))
-    return F.when(n_tokens(template) >= LEAF_TOKENS, path)
-
-
-def _recurs(contexts: Column, docs: Column) -> Column:
-    return (contexts >= MIN_CONTEXTS) & (SPREAD * contexts >= docs)
-
-
-def recurring(docs: DataFrame) -> DataFrame:
-    """(h): the templates that recur, as they are or by their leaf's template."""
-    held = templates(docs).where(n_tokens(F.col("template")) >= MIN_TOKENS)
-    held = held.select("h", "context", leaf(F.col("template")).alias("leaf"))
-    pairs = held.groupBy("h", "context").agg(F.count("*").alias("n"), F.first("leaf").alias("leaf"))
-    pairs = written(pairs, "line-templates")
-    counts = pairs.groupBy("h").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    same = written(counts.where(_recurs(F.col("contexts"), F.col("n"))).select("h"), "line-recurring")
-    rare = pairs.where("leaf is not null").join(same, "h", "left_anti")
-    # Pairs are at least as many as contexts, so this sieve loses no leaf.
-    some = rare.groupBy("leaf").agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).where(_recurs(F.col("pairs"), F.col("n")))
-    near = written(rare.join(some.select("leaf"), "leaf", "left_semi"), "line-leaves")
-    leaves = near.groupBy("leaf").agg(F.count_distinct("h").alias("kinds"), F.count_distinct("context").alias("contexts"), F.sum("n").alias("n"))
-    leaves = leaves.where((F.col("kinds") >= MIN_CONTEXTS) & _recurs(F.col("contexts"), F.col("n"))).select("leaf")
-    members = near.join(leaves, "leaf", "left_semi").groupBy("h").agg(F.first("leaf").alias("leaf"), F.sum("n").alias("n"))
-    return written(same.unionAll(_generalised(docs, written(members, "line-members"))).distinct(), "line-recurring")
-
-
-def _generalised(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(h): the members of leaves that follow their leaf's template."""
-    lines = docs.select(F.explode_outer(F.array_distinct(template_lines())).alias("template")).select(F.xxhash64("template").alias("h"), "template")
-    texts = lines.join(members.select("h"), "h", "left_semi").groupBy("h").agg(F.first("template").alias("template"))
+def _leading(n: Column) -> Column:
+    return F.when(n >= LEAF_TOKENS, F.lit(LEADING)).otherwise(F.lit(SHORT_LEADING))
+
+
+def _line(template: Column) -> Column:
+    """What stands for a distinct line: its code, tokens, leaf and digest."""
+    n = n_tokens(template)
+    path = F.when(n >= LEAF_TOKENS, F.substring_index(template, " ", LEADING)).otherwise(F.substring_index(template, " ", SHORT_LEADING))
+    leaf = F.when(n >= SHORT_TOKENS, F.xxhash64(n, path))
+    return F.struct(F.xxhash64(template).alias("h"), n.alias("n"), leaf.alias("leaf"), F.md5(template).alias("digest"))
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__line_row``, ``__line_h`` (a code for every line, in order) and
+    ``__line_own`` (the distinct lines with a word)."""
+    cols = [c for c in docs.columns if not c.startswith("__line_")]
+    rows = docs.select(*cols, F.monotonically_increasing_id().alias("__line_row"), templates(F.coalesce("text", F.lit(""))).alias("__line_t"))
+    own = F.transform(F.array_remove(F.array_distinct("__line_t"), ""), _line)
+    return written(rows.select(*cols, "__line_row", F.transform("__line_t", lambda t: F.xxhash64(t)).alias("__line_h"), own.alias("__line_own")), "line-cut")
+
+
+def weights(lines: DataFrame) -> DataFrame:
+    """(sig, weight): how much a document with the min-hashes ``sig``, ``least`` counts for."""
+    kinds = written(lines.groupBy("sig").agg(F.count("*").alias("n"), F.first("least").alias("least")), "line-kinds")
+    each = kinds.select("sig", "n", F.posexplode("least").alias("j", "least"))
+    shared = each.groupBy("j", "least").agg(F.sum("n").alias("alike"))
+    most = each.join(shared, ["j", "least"]).groupBy("sig").agg(F.sort_array(F.collect_list("alike"), asc=False)[RANK - 1].alias("alike"))
+    return written(most.select("sig", F.expr(f"{WHOLE} div alike").alias("weight")), "line-weights")
+
+
+def min_hashes(own: Column) -> Column:
+    """The min-hashes of the distinct lines ``own``."""
+    doubled = F.transform(own, lambda x: F.concat(x["digest"], x["digest"]))
+    return F.array(*(_least(doubled, 2 * j + 1) for j in range(ORDERS)))
+
+
+def _least(digests: Column, first: int) -> Column:
+    return F.xxhash64(F.array_min(F.transform(digests, lambda d: F.substring(d, first, 16))))
+
+
+def recurring(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h): the lines that recur, as they are or by their template. ``lines`` has a row for
+    each document (own), ``texts`` its line codes and text."""
+    signed = lines.where(F.size("own") > 0).select("own", min_hashes(F.col("own")).alias("least"))
+    signed = written(signed.withColumn("sig", F.xxhash64("least")), "line-signed")
+    held = signed.join(weights(signed), "sig").select("weight", F.explode("own").alias("x")).where(F.col("x.n") >= MIN_TOKENS)
+    sums = held.groupBy(F.col("x.h").alias("h")).agg(F.sum("weight").alias("weight"), F.first("x.n").alias("n"), F.first("x.leaf").alias("leaf"))
+    sums = written(sums, "line-sums")
+    recurs = F.col("weight") >= MIN_WEIGHT
+    rare = sums.where(~recurs & F.col("leaf").isNotNull())
+    some = rare.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("weight").alias("total")).where(f"kinds > 1 and total >= {MIN_WEIGHT}")
+    members = written(rare.join(some.select("leaf"), "leaf", "left_semi"), "line-members")
+    return written(sums.where(recurs).select("h").unionAll(_generalised(texts, members)), "line-recurring")
+
+
+def _generalised(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(h): the members of leaves that follow a recurring template."""
+    zipped = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.col("__line_h").alias("h"))
+    lines = texts.where(F.col("text").isNotNull()).select(F.explode(zipped).alias("x")).select("x.h", "x.line")
+    lines = lines.join(members.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    tokens = F.split(templates(F.col("line"))[0], " ")
     # The leading tokens are the leaf's path, the same in all its lines: the rest is told.
-    tokens = F.slice(F.split("template", " "), LEADING + 1, n_tokens(F.col("template"))).alias("tokens")
-    lines = written(texts.join(members, "h").select("h", "leaf", "n", tokens), "line-fields")
-    size = lines.groupBy("leaf").agg(F.sum("n").alias("total"), F.max(F.size("tokens") + LEADING).alias("width"))
-    votes = lines.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("votes"))
-    constant = votes.join(size, "leaf").where(F.col("votes") >= CONSTANT * F.col("total"))
-    solid = constant.groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("constants"), F.first("width").alias("width"))
-    solid = solid.where(F.size("constants") + LEADING >= SOLID * F.col("width")).select("leaf", "constants")
-    # One row per line: its tokens against its leaf's template.
-    agreed = F.size(F.filter("constants", lambda c: F.get(F.col("tokens"), c["at"]) == c["token"])) + LEADING
-    return lines.join(solid, "leaf").where(agreed >= MATCH * (F.size("constants") + LEADING)).select("h")
+    rest = F.slice(tokens, _leading(F.col("n")) + 1, F.col("n")).alias("tokens")
+    lines = written(lines.join(members, "h").select("h", "leaf", "n", "weight", rest), "line-fields")
+    fields = lines.select("h", "leaf", "n", "weight", F.posexplode("tokens").alias("at", "token"))
+    constant = fields.groupBy("leaf", "at", "token").agg(F.sum("weight").alias("total"), F.first("n").alias("n"))
+    constant = constant.where(F.col("total") >= MIN_WEIGHT).select("leaf", "at", "token", "total")
+    solid = F.when(F.col("n") >= LEAF_TOKENS, F.lit(SOLID)).otherwise(F.lit(SHORT_SOLID))
+    told = fields.join(constant, ["leaf", "at", "token"]).groupBy("h", "leaf", "n", "weight")
+    told = told.agg(F.sort_array(F.collect_list(F.struct("total", "at", "token"))).alias("rarest"))
+    told = told.select("*", F.explode(F.sequence(F.lit(0), F.lit(FREQUENT))).alias("k"))
+    told = told.where(F.size("rarest") - F.col("k") + _leading(F.col("n")) >= solid * F.col("n"))
+    constants = F.sort_array(F.transform(F.slice("rarest", F.col("k") + 1, F.size("rarest")), lambda x: F.struct(x["at"], x["token"])))
+    told = written(told.select("h", "weight", F.xxhash64("leaf", constants).alias("template")), "line-told")
+    found = told.groupBy("template").agg(F.sum("weight").alias("total")).where(F.col("total") >= MIN_WEIGHT)
+    return told.join(found.select("template"), "template", "left_semi").select("h").distinct()
+
+
+def _left(items: Column, gone: Column) -> Column:
+    """``items`` without those at the places ``gone`` (ascending, from 0): between two such
+    places stands a run of items that stay."""
+    after = F.concat(F.array(F.lit(-1)), gone)
+    before = F.concat(gone, F.array(F.size(items)))
+    return F.flatten(F.transform(F.arrays_zip(after.alias("a"), before.alias("z")), lambda x: F.slice(items, x["a"] + 2, x["z"] - x["a"] - 1)))
+
+
+def _with_places(rows: DataFrame, codes: str, gone: DataFrame, label: str) -> DataFrame:
+    """``rows`` with ``__line_at``: where in ``codes`` the codes ``gone`` stand, or null."""
+    places = rows.select("__line_row", F.posexplode(codes).alias("at", "h")).join(gone, "h", "left_semi")
+    places = places.groupBy(F.col("__line_row").alias("__line_gone")).agg(F.sort_array(F.collect_list("at")).alias("__line_at"))
+    # A merge join at every size: the list grows with the input and is not broadcast.
+    return rows.join(written(places, label).hint("merge"), F.col("__line_row") == F.col("__line_gone"), "left")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped, and ``n_lines`` and
     ``n_dropped``."""
-    gone = recurring(docs)
+    rows = cut(docs)
+    texts = rows.select("text", "__line_h")
+    gone = recurring(texts, rows.select(F.col("__line_own").alias("own")))
+    for _ in range(ROUNDS - 1):
+        own = F.col("__line_own")
+        left = _with_places(rows.select("__line_row", own), "__line_own.h", gone, "line-held")
+        left = left.select(F.when(F.col("__line_at").isNull(), own).otherwise(_left(own, F.col("__line_at"))).alias("own"))
+        gone = written(gone.unionAll(recurring(texts, left)).distinct(), "line-recurring")
+    joined = _with_places(rows.drop("__line_own"), "__line_h", gone, "line-places")
     lines = F.split("text", "\n", -1)
-    held = docs.select(F.col("doc_id"), F.explode_outer(F.array_distinct(template_lines())).alias("template"))
-    held = held.select("doc_id", F.xxhash64("template").alias("h")).join(gone, "h", "left_semi")
-    dropped = held.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("h").alias("__gone_h"))
-    dropped = written(dropped, "line-dropped")
-    # A merge join at every size: the list grows with the input and is not broadcast.
-    joined = docs.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
-    touched = F.col("__gone_h").isNotNull()
-    # Lines and templates are zipped, so that neither is worked out again for every line.
-    both = F.arrays_zip(lines.alias("line"), template_lines().alias("template"))
-    left = F.filter(both, lambda x: ~F.array_contains(F.col("__gone_h"), F.xxhash64(x["template"])))
-    kept = F.transform(left, lambda x: x["line"])
-    out = joined.withColumn("__kept", F.when(touched, kept).otherwise(lines))
-    text = F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col("text"))
+    touched = F.col("__line_at").isNotNull() & F.col("text").isNotNull()
+    text = F.when(touched, F.array_join(_left(lines, F.col("__line_at")), "\n")).otherwise(F.col("text"))
+    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped") and not c.startswith("__line_")]
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    n_kept = F.coalesce(F.size("__kept"), F.lit(0)).cast("long")
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return out.select(*others, text.alias("text"), n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
-
+    n_dropped = F.when(touched, F.size("__line_at")).otherwise(F.lit(0)).cast("long")
+    return joined.select(*others, text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
+# -- the same in SQL ---------------------------------------------------------------
+
+_LEAD = f"CASE WHEN n >= {LEAF_TOKENS} THEN {LEADING} ELSE {SHORT_LEADING} END"
+_SOLID = f"CASE WHEN n >= {LEAF_TOKENS} THEN {SOLID} ELSE {SHORT_SOLID} END"
+
+
+def _round_sql(k: int) -> str:
+    """What recurs among ``own_k``: ``gone_k`` (t)."""
+    mins = ", ".join(f"min(substr(d || d, {2 * j + 1}, 16))" for j in range(ORDERS))
+    return f"""
+least_{k} AS (
+  SELECT doc_id, unnest(range({ORDERS})) AS j, unnest([{mins}]) AS v FROM own_{k} GROUP BY doc_id
+), alike_{k} AS (SELECT doc_id, count(*) OVER (PARTITION BY j, v) AS alike FROM least_{k}
+), weight_{k} AS (SELECT doc_id, {WHOLE} // list_reverse_sort(list(alike))[{RANK}] AS w FROM alike_{k} GROUP BY doc_id
+), sums_{k} AS (SELECT t, n, sum(w) AS weight FROM own_{k} JOIN weight_{k} USING (doc_id) WHERE n >= {MIN_TOKENS} GROUP BY t, n
+), rare_{k} AS (
+  SELECT t, n, weight, string_split(t, ' ') AS tokens, {_LEAD} AS lead FROM sums_{k} WHERE weight < {MIN_WEIGHT} AND n >= {SHORT_TOKENS}
+), fields_{k} AS (
+  SELECT t, n, weight, lead, tokens[1:lead] AS path, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM rare_{k}
+), constant_{k} AS (
+  SELECT n, path, pos, token, sum(weight) AS total FROM fields_{k} WHERE pos > lead GROUP BY n, path, pos, token HAVING sum(weight) >= {MIN_WEIGHT}
+), ranked_{k} AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY total, pos) AS rarity, count(*) OVER (PARTITION BY t) AS constants FROM fields_{k} JOIN constant_{k} USING (n, path, pos, token)
+), told_{k} AS (
+  SELECT t, n, weight, path, list(pos || ' ' || token ORDER BY pos) AS kept
+  FROM ranked_{k} JOIN (SELECT unnest(range({FREQUENT + 1})) AS k) ON rarity > k
+  WHERE constants - k + lead >= {_SOLID} * n GROUP BY t, n, weight, path, k
+), follow_{k} AS (SELECT t FROM told_{k} QUALIFY sum(weight) OVER (PARTITION BY n, path, kept) >= {MIN_WEIGHT}
+), gone_{k} AS (SELECT t FROM sums_{k} WHERE weight >= {MIN_WEIGHT} UNION SELECT t FROM follow_{k})"""
+
+
+_ROUNDS_SQL = ", ".join(
+    (f"own_{k} AS (SELECT * FROM own_{k - 1} WHERE t NOT IN (SELECT t FROM gone_{k - 1})), " if k > 1 else "") + _round_sql(k) for k in range(1, ROUNDS + 1)
+)
 
 #: The same rows, told in DuckDB's SQL: strings instead of hashes.
 ORACLE = f"""
@@ -147,32 +232,9 @@ WITH lines AS (
 ), told AS (
   SELECT doc_id, pos, line,
     trim(regexp_replace(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS t FROM lines
-), own AS (SELECT DISTINCT doc_id, t FROM told WHERE t <> ''
-), placed AS (
-  SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM own
-), ends AS (
-  SELECT doc_id, max(t) FILTER (WHERE k = 1) AS first_t, max(t) FILTER (WHERE k = 2) AS second_t, max(t) FILTER (WHERE k = n) AS last_t,
-    max(t) FILTER (WHERE k = n - 1) AS before_t FROM placed WHERE n > 1 GROUP BY doc_id
-), held AS (
-  SELECT t, CASE WHEN t = first_t THEN second_t ELSE first_t END AS least, CASE WHEN t = last_t THEN before_t ELSE last_t END AS most
-  FROM own JOIN ends USING (doc_id) WHERE len(string_split(t, ' ')) >= {MIN_TOKENS}
-), counts AS (
-  SELECT t, count(DISTINCT (least, most)) AS contexts, count(*) AS n, string_split(t, ' ') AS tokens FROM held GROUP BY t
-), marked AS (SELECT *, contexts >= {MIN_CONTEXTS} AND {SPREAD} * contexts >= n AS recurs, len(tokens) AS width FROM counts
-), rare AS (SELECT * FROM marked WHERE NOT recurs AND width >= {LEAF_TOKENS}
-), leaves AS (
-  SELECT width, tokens[1:{LEADING}] AS lead, count(*) AS total FROM rare JOIN held USING (t) GROUP BY ALL
-  HAVING count(DISTINCT t) >= {MIN_CONTEXTS} AND count(DISTINCT (least, most)) >= {MIN_CONTEXTS} AND {SPREAD} * count(DISTINCT (least, most)) >= count(*)
-), fields AS (
-  SELECT t, width, lead, n, total, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
-  FROM rare JOIN leaves USING (width) WHERE tokens[1:{LEADING}] = lead
-), constant AS (
-  SELECT width, lead, pos, token FROM fields GROUP BY width, lead, pos, token, total HAVING sum(n) >= {CONSTANT} * total
-), solid AS (
-  SELECT width, lead, count(*) AS constants FROM constant GROUP BY ALL HAVING count(*) >= {SOLID} * width
-), agreed AS (
-  SELECT t, any_value(constants) AS constants, count(*) AS agreed FROM fields JOIN constant USING (width, lead, pos, token) JOIN solid USING (width, lead) GROUP BY t
-), gone AS (SELECT t FROM marked WHERE recurs UNION SELECT t FROM agreed WHERE agreed >= {MATCH} * constants
+), own_1 AS (SELECT DISTINCT doc_id, t, len(string_split(t, ' ')) AS n, md5(t) AS d FROM told WHERE t <> ''
+), {_ROUNDS_SQL}
+, gone AS ({" UNION ".join(f"SELECT t FROM gone_{k}" for k in range(1, ROUNDS + 1))}
 ), kept AS (SELECT *, t IN (SELECT t FROM gone) AS dropped FROM told
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,

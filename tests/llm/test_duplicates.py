@@ -262,6 +262,7 @@ def test_components_of_chains_and_stars(spark):
 
 def lines_table(spark):
     rng = random.Random(6)
+    passage = data.sentence(rng, 60)
     docs = []
     for i in range(40):
         lines = [data.sentence(rng, 12) for _ in range(4)]
@@ -269,19 +270,39 @@ def lines_table(spark):
             lines.insert(2, "Licensed under the terms of version 3 of the agreement.")
         if i < 10:
             lines.insert(1, f"Posted by user {rng.choice(data.WORDS)} on the public board at {i} hours today.")
+            # The same leaf, another template.
+            lines.insert(0, f"Posted by user {rng.choice(data.WORDS)} of our friends from {rng.choice(data.WORDS)} the day before.")
+        if 10 <= i < 16:
+            lines.append(f"Sent by {rng.choice(data.WORDS)}{i} from here")
         if 20 <= i < 30:
             lines.append("Thanks.")
+        if 30 <= i < 35:
+            lines.append(passage)
         docs.append((i, "\n".join(lines)))
-    copy = "\n".join(data.sentence(rng, 12) for _ in range(5))
-    docs += [(100 + k, copy) for k in range(20)]
-    return docs, spark.createDataFrame(docs, "doc_id long, text string")
+    # Copies of one text, copies with a changed line, and copies of one that quotes.
+    copy = [data.sentence(rng, 12) for _ in range(5)]
+    docs += [(100 + k, "\n".join(copy)) for k in range(20)]
+    other = [data.sentence(rng, 12) for _ in range(8)]
+    for k in range(20):
+        changed = list(other)
+        changed[k % 8] = data.sentence(rng, 12)
+        docs.append((200 + k, "\n".join(changed)))
+    docs += [(300 + k, docs[0][1]) for k in range(60)]
+    # Heads and feet that stand first and last in every order, and a passage between.
+    for k in range(60):
+        lines = [data.sentence(rng, 10) for _ in range(3)]
+        if k < 8:
+            lines.append("A notice that stands between the two and that eight have.")
+        docs.append((400 + k, "\n".join(["0000 the head of them all", *lines, "~~~~ the foot of them all"])))
+    return docs, spark.createDataFrame(docs, "doc_id long, text string"), passage
 
 
 def test_recurring_lines_go_and_the_rest_stays(spark):
-    docs, df = lines_table(spark)
+    docs, df, passage = lines_table(spark)
     found = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    starts = ("Licensed under", "Posted by", "Sent by", "0000 the head", "~~~~ the foot", "A notice that", passage)
     for i, t in docs:
-        want = [x for x in t.split("\n") if not x.startswith(("Licensed under", "Posted by"))]
+        want = [x for x in t.split("\n") if not x.startswith(starts)]
         assert found[i].text == "\n".join(want), i
         assert found[i].n_dropped == t.count("\n") + 1 - len(want)
 
@@ -289,7 +310,7 @@ def test_recurring_lines_go_and_the_rest_stays(spark):
 def test_line_dedup_equals_its_sql(spark):
     import duckdb
 
-    docs, df = lines_table(spark)
+    _, df, _ = lines_table(spark)
     documents = df.toPandas()  # noqa: F841
     want = duckdb.sql(line_dedup.ORACLE).df().set_index("doc_id").n_dropped.to_dict()
     assert {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(df).collect()} == want
@@ -303,3 +324,14 @@ def test_line_dedup_of_awkward_rows(spark):
     assert len(by) == len({r[0] for r in data.rows()})
     assert by[30].text is None and by[31].text == "" and by[32].text == " \t\n \n" and by[32].n_lines == 3
     assert found.count() == len(data.rows()) and line_dedup.line_dedup(data.empty(spark)).count() == 0
+
+
+def test_line_dedup_tells_rows_apart(spark):
+    """Rows that share an id, or have none, lose their own lines only; long texts at once."""
+    rng = random.Random(3)
+    line = "This very line stands in all of them."
+    rows = [(None, data.sentence(rng, 9) + "\n" + line), (1, data.sentence(rng, 9)), *((1, line + "\n" + data.paragraph(rng)) for _ in range(6)), (2, "\n".join([line] * 30_000 + ["The end of it."]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__line_row", F.lit("clash"))
+    found = line_dedup.line_dedup(df).collect()
+    assert sorted(r.text for r in found) == sorted(t.replace(line + "\n", "").replace("\n" + line, "") for _, t in rows)
+    assert sum(r.n_dropped for r in found) == 30_007
