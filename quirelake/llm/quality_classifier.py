@@ -2,17 +2,19 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on each text. How often each
 pattern of votes occurs is counted over all documents (3 to the power of the number of
-labellers at most), and expectation-maximisation on those counts estimates the share of
-good texts and each labeller's accuracy for either kind. A pattern's posterior is the
-label of its documents, from which a logistic scorer on hashed features is trained; it
-sees the words and their shapes, not the votes.
+labellers at most). Expectation-maximisation on those counts estimates, for good texts and
+for each of as many kinds of bad texts as there are labellers, their share and each
+labeller's accuracy; bad texts have kinds, as what makes one bad seldom meets in another.
+A pattern's posterior of "good" is the label of its documents, from which a logistic scorer
+on hashed features is trained; it sees the words and their shapes, not the votes.
 
-The EM counts every document. The scorer is fitted on a bounded sample of
-``SAMPLE_ROWS`` documents, chosen by a hash of the id, with whole texts' features.
+Every text is read once, for its votes and its features. The EM counts every document. The
+scorer is fitted on SAMPLE_ROWS documents at most, chosen by a hash of id and features; of
+each of them all features count.
 
 Edge cases: a null or empty text draws the vote of the length labeller alone and gets a
 score like any other; an empty table gives an empty result; repeated rows count as
-often as they occur; other columns are ignored.
+often as they occur; null and shared ids are no matter; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +30,12 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import map_rows, slices, texts_of, written
 
-#: Bits of the hashed features, documents of a fit (about), features of a document in
-#: a fit (longer ones are not chosen), passes.
+#: Bits of the hashed features, documents of a fit (at most), passes, rounds.
 BITS = 16
-SAMPLE_ROWS = 10_000
-SAMPLE_FEATURES = 6_000
+SAMPLE_ROWS = 8_000
 EPOCHS = 40
 EM_ROUNDS = 60
 
-#: A labeller condemns so few good texts at most (1 minus this); else EM, whose kinds of
-#: bad text seldom meet in one text, would count a rarer kind among the good.
-TRUST = 0.99
-
 #: Frequent function words of the four languages.
 COMMON = frozenset(
     "the of and to in a is that it for on was with as be by this are at from or an not but which he they have"
@@ -98,24 +94,30 @@ def pattern_of(votes: tuple[int, ...]) -> int:
 def expectation_maximisation(counts: dict[int, int], rounds: int = EM_ROUNDS) -> dict:
     """Posterior of "good" by pattern, the share of good texts, and by labeller the
     chance that a vote it gives is "good", for bad and for good texts. A vote not given
-    says nothing."""
+    says nothing. Class 0 is good and begins with the texts that no labeller condemns;
+    class j begins with those that labeller j condemns."""
     k = len(LABELLERS)
     codes = np.array(sorted(counts), np.int64)
     if not len(codes):
         return {"posterior": {}, "share": 0.5, "votes": np.full((k, 2), 0.5)}
     n = np.array([counts[c] for c in codes.tolist()], float)
     votes = np.stack([codes // 3 ** (k - 1 - j) % 3 - 1 for j in range(k)], axis=1)
-    good = 1 / (1 + np.exp(-votes.sum(axis=1).astype(float)))
-    share, table = 0.5, np.full((k, 2), 0.5)
+    yes, no = votes > 0, votes < 0
+    bad = no.sum(axis=1, keepdims=True)
+    kind = np.hstack([np.where(bad > 0, 0.1, 0.9), np.where(bad > 0, 0.9 * no / np.maximum(bad, 1), 0.1 / k)])
     for _ in range(rounds):
-        share = np.clip((n * good).sum() / n.sum(), 1e-4, 1 - 1e-4)
-        for kind, weight in ((0, n * (1 - good)), (1, n * good)):
-            yes, no = weight @ (votes > 0) + 0.5, weight @ (votes < 0) + 0.5
-            table[:, kind] = yes / (yes + no)
-        table[:, 1] = np.maximum(table[:, 1], TRUST)
-        like = np.log([1 - share, share]) + (votes > 0) @ np.log(table) + (votes < 0) @ np.log(1 - table)
-        good = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
-    return {"posterior": dict(zip(codes.tolist(), good.tolist())), "share": float(share), "votes": table}
+        weight = n[:, None] * kind
+        share = weight.sum(axis=0) + 0.5
+        share /= share.sum()
+        good_votes, bad_votes = weight.T @ yes + 0.5, weight.T @ no + 0.5
+        table = good_votes / (good_votes + bad_votes)
+        like = np.log(share) + yes @ np.log(table).T + no @ np.log(1 - table).T
+        kind = np.exp(like - like.max(axis=1, keepdims=True))
+        kind /= kind.sum(axis=1, keepdims=True)
+    good = kind[:, 0]
+    weight = n * (1 - good)
+    said = (weight @ yes + 0.5) / (weight @ yes + weight @ no + 1)
+    return {"posterior": dict(zip(codes.tolist(), good.tolist())), "share": float(share[0]), "votes": np.stack([said, table[0]], axis=1)}
 
 
 # -- the scorer ------------------------------------------------------------------
@@ -179,55 +181,45 @@ def fit_scorer(rows: list, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
 # -- over tables -------------------------------------------------------------------
 
 
-def voted(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern) of every document."""
+def read(docs: DataFrame) -> DataFrame:
+    """(doc_id, pattern, slots, vals) of every document."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Features()
         for b in slices(batches):
-            codes = [pattern_of(votes_of(t)) for t in texts_of(b)]
-            yield pa.record_batch([b.column("doc_id"), pa.array(codes, pa.int32())], ["doc_id", "pattern"])
+            texts = texts_of(b)
+            codes = [pattern_of(votes_of(t)) for t in texts]
+            slots, values = zip(*(features_of(t, known) for t in texts)) if texts else ((), ())
+            columns = [pa.array(codes, pa.int32()), pa.array([x.tobytes() for x in slots], pa.binary()), pa.array([x.tobytes() for x in values], pa.binary())]
+            yield pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "pattern", "slots", "vals"])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), kernel, "doc_id long, pattern int")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), kernel, "doc_id long, pattern int, slots binary, vals binary")
 
 
-def training_rows(docs: DataFrame, n: int, posterior: dict[int, float]) -> list:
-    """Soft labels and features of about SAMPLE_ROWS of the ``n`` documents."""
-    share = int(min(1.0, SAMPLE_ROWS / max(n, 1)) * 1_000_000)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
-        for b in slices(batches):
-            out = []
-            for text in texts_of(b):
-                slots, values = features_of(text, known)
-                if 0 < len(slots) <= SAMPLE_FEATURES:
-                    out.append({"y": posterior.get(pattern_of(votes_of(text)), 0.5), "slots": slots.tobytes(), "vals": values.tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("y", pa.float64()), ("slots", pa.binary()), ("vals", pa.binary())]))
-
-    picked = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) < share)
-    return map_rows(picked.select("text"), kernel, "y double, slots binary, vals binary").collect()
+def training_rows(features: DataFrame, posterior: dict[int, float]) -> list:
+    """Soft labels and features of SAMPLE_ROWS documents at most."""
+    some = features.where(F.length("slots") > 0).orderBy(F.xxhash64("doc_id", "slots"), "doc_id", "slots", "vals").limit(SAMPLE_ROWS)
+    return [{"y": posterior[r.pattern], "slots": r.slots, "vals": r.vals} for r in some.select("pattern", "slots", "vals").collect()]
 
 
 def quality_classifier(docs: DataFrame) -> DataFrame:
     """(doc_id, posterior, score, kept) of every document: the label model's posterior,
     the scorer's probability of "good", and whether that is 0.5 or more."""
-    patterns = written(voted(docs), "quality-votes")
-    counts = {r.pattern: r.n for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    labels = expectation_maximisation(counts)
-    model = fit_scorer(training_rows(docs, sum(counts.values()), labels["posterior"]))
-    shared = docs.sparkSession.sparkContext.broadcast((labels["posterior"], model))
+    features = written(read(docs), "quality-features")
+    counts = {r.pattern: r.n for r in features.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    posterior = expectation_maximisation(counts)["posterior"]
+    shared = docs.sparkSession.sparkContext.broadcast((posterior, fit_scorer(training_rows(features, posterior))))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, (weights, bias) = shared.value
-        known = Features()
-        for b in slices(batches):
-            own, scores = [], []
-            for text in texts_of(b):
-                slots, values = features_of(text, known)
-                z = float((weights[slots] * values).sum()) + bias if len(slots) else -30.0
-                scores.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
-                own.append(posterior.get(pattern_of(votes_of(text)), 0.5))
+        for b in batches:
+            z = []
+            for slots, values in zip(b.column("slots"), b.column("vals")):
+                own = np.frombuffer(slots.as_py(), np.int32)
+                z.append(float(weights[own] @ np.frombuffer(values.as_py(), np.float32)) + bias if len(own) else -30.0)
+            scores = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
+            own = [posterior[p] for p in b.column("pattern").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(own, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "posterior", "score"])
 
-    scored = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), kernel, "doc_id long, posterior double, score double")
+    scored = map_rows(features, kernel, "doc_id long, posterior double, score double")
     return scored.withColumn("kept", F.col("score") >= 0.5)

@@ -102,7 +102,8 @@ class Encoder:
         self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        latin = [c for c in range(0x250) if chr(c).lower() == chr(c) or len(chr(c).lower()) == 1]
+        # A letter counts as plain only if its small form is one of them too.
+        latin = [c for c in range(0x250) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
         kinds = {k: "".join(f"\\u{c:04x}" for c in latin if unicodedata.category(chr(c))[0] == k) for k in "LN"}
         self.pieces = re.compile(LETTERS_FIRST.format(**kinds, S=SPACES))
         self.other = re.compile("[^" + "".join(f"\\u{c:04x}" for c in latin) + "\\u2010-\\u2027]|<\\|")
@@ -249,13 +250,21 @@ FILE_SCHEMA = pa.schema(
 )
 
 
+#: ``place`` is Spark's growing number of a row: the number of its part above these bits.
+PART_BITS = 33
+
+
 def with_starts(files: DataFrame) -> DataFrame:
     """The files with ``start``: how many ids the files before them hold.
 
-    One row per file goes through the window, FILE_DOCS documents or so to a row."""
-    heads = files.select("place", "n")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = heads.select("place", before.alias("start"))
+    Ids are summed per range of documents first; one row per range goes through one window,
+    and then the files of each range through its own."""
+    heads = files.select("place", "n", F.shiftright("place", PART_BITS).alias("part"))
+    ranges = heads.groupBy("part").agg(F.sum("n").alias("n"))
+    before = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = ranges.select("part", before(Window.orderBy("part")).alias("base"))
+    inside = heads.select("place", "part", before(Window.partitionBy("part").orderBy("place")).alias("inside"))
+    starts = inside.join(bases, "part").select("place", (F.col("base") + F.col("inside")).alias("start"))
     return files.join(starts, "place")
 
 

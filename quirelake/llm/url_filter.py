@@ -15,17 +15,20 @@ urls are used whole; repeated rows give repeated results; other columns are igno
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import written
 
-#: Slots of the hashed n-grams, lengths of these, gradient steps and their size.
-SLOTS = 2048
+#: Slots of the hashed n-grams, lengths of these, gradient steps, and how far a weight
+#: moves in the first of them. Steps adapt to each slot's own slope, so that a rare n-gram
+#: gets its weight in as few of them as a frequent one.
+SLOTS = 1 << 15
 GRAMS = (3, 4)
-STEPS = 12
-RATE = 4.0
+STEPS = 24
+RATE = 0.3
 
 #: Labelled urls that a training accepts.
 MAX_SEED = 1000
@@ -42,18 +45,43 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-_BLOCK_HOSTS = "casino-royal.test best-pills.test hot-dates.test free-download.test xxx-videos.test lucky-slots.test crack-keys.test cheap-loans.test".split()
-_BLOCK_PATHS = "/slots/bonus.html /buy/pills?ref=1 /adult/gallery/12 /warez/crack.zip /win/jackpot /loan/instant /porn/clip7 /bet/now".split()
-_ALLOW_HOSTS = "news.example.test blog.example.test www.library.test docs.science.test museum.city.test school.example.test weather.example.test wiki.example.test".split()
-_ALLOW_PATHS = "/en/2019/report.html /de/1234 /fr/article/77 /es/noticias/5 /about/index.html /science/paper-12 /fr/3321/ /wiki/History?page=2".split()
+#: Words of the labelled table's hosts: unwanted ones, and plain ones.
+UNWANTED = (
+    "casino poker slots jackpot roulette betting bets lotto gamble bingo win winner bonus prize lucky pills viagra cialis meds rx pharma"
+    " steroids diet slim cheap discount replica fake loan payday cash money rich adult sex xxx porn cam nude hot dating escort babes"
+    " warez crack keygen serial torrent pirate spam farm ads adserver track tracker click popup banner phish malware virus hack exploit free"
+).split()
+PLAIN = (
+    "river stone garden school library museum science weather history music kitchen travel city harbour forest mountain market studio"
+    " journal daily times post report review paper letters archive notes guide lexicon wiki forum community church council county health"
+    " clinic nature animal flower bridge railway airport island valley meadow winter summer bakery carpenter painter theatre cinema opera"
+    " football cycling chess physics chemistry biology maths energy water earth planet space"
+).split()
+
+#: Syllables of plain hosts that are no words, ends of hosts, beginnings, and paths.
+SYLLABLES = "the er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ra mi ka lo sun bel tor nim qua".split()
+ENDS = "example.com example.net example.org test invalid".split()
+STARTS = ("", "www.", "m.", "blog.")
+PATHS = ("/en/17", "/de/204.html", "/fr/5/", "/es/881", "/index.html", "/about/", "/", "")
+UNWANTED_PATHS = ("/slots/bonus.html", "/buy/pills", "/adult/gallery", "/win/jackpot", "/free/crack.zip")
+
+
+def _seed() -> tuple[tuple[str, int], ...]:
+    """Urls of unlike hosts: pairs of unwanted words, of plain words, and of syllables."""
+    bad = [f"{a}{'-' if k % 3 else ''}{UNWANTED[(7 * k + 3 * n + 1) % len(UNWANTED)]}" for n in range(5) for k, a in enumerate(UNWANTED)]
+    good = [f"{a}{'-' if k % 3 else ''}{PLAIN[(5 * k + 3 * n + 1) % len(PLAIN)]}" for n in range(4) for k, a in enumerate(PLAIN)]
+    m = len(SYLLABLES)
+    good += ["".join(SYLLABLES[(k * p + q) % m] for p, q in ((1, 0), (5, 3 + k // m), (7, k // m))) for k in range(6 * m)]
+    out = []
+    for label, hosts in ((1, bad), (0, good)):
+        for k, name in enumerate(hosts):
+            paths = UNWANTED_PATHS if label and k % 5 == 0 else PATHS
+            out.append((f"http{'s' * (k % 2)}://{STARTS[k % 4]}{name}.{ENDS[k % 5]}{paths[k % len(paths)]}", label))
+    return tuple(out)
+
 
 #: The small labelled table: (url, label), 1 for block.
-SEED = tuple(
-    (f"{'https' if (i + j) % 2 else 'http'}://{host}{path}", label)
-    for label, hosts, paths in ((1, _BLOCK_HOSTS, _BLOCK_PATHS), (0, _ALLOW_HOSTS, _ALLOW_PATHS))
-    for i, host in enumerate(hosts)
-    for j, path in enumerate(paths)
-)
+SEED = _seed()
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -91,15 +119,21 @@ def train(seed: DataFrame, url: str = "url", label: str = "label") -> tuple[list
     weights, bias = [0.0] * SLOTS, 0.0
     if not n:
         return weights, bias
-    for _ in range(STEPS):
+    # For every slot, and -1 for the bias: its slope and squared slope, as running means.
+    means: dict[int, tuple[float, float]] = {}
+    for step in range(1, STEPS + 1):
         gap = 1 / (1 + F.exp(-_logit(F.col("slots"), weights, bias))) - F.col("y")
         one = F.sqrt(F.greatest(F.size("slots"), F.lit(1)))
-        steps = rows.select(F.explode(F.concat("slots", F.array(F.lit(-1)))).alias("slot"), (gap / one).alias("g"), gap.alias("g0"))
-        for r in steps.groupBy("slot").agg((F.sum("g") / n).alias("g"), (F.sum("g0") / n).alias("g0")).collect():
-            if r.slot < 0:
-                bias -= RATE * r.g0
+        steps = rows.select(F.explode(F.concat("slots", F.array(F.lit(-1)))).alias("slot"), gap.alias("gap"), one.alias("one"))
+        slope = F.sum(F.col("gap") / F.when(F.col("slot") < 0, 1.0).otherwise(F.col("one"))) / n
+        for slot, g in steps.groupBy("slot").agg(slope.alias("g")).collect():
+            m, v = means.get(slot, (0.0, 0.0))
+            m, v = means[slot] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            move = RATE * (m / (1 - 0.9**step)) / (math.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            if slot < 0:
+                bias -= move
             else:
-                weights[r.slot] -= RATE * r.g
+                weights[slot] -= move
     return weights, bias
 
 

@@ -71,6 +71,23 @@ def test_words_of_the_library():
         assert np.frombuffer(ids, encoder.kind).tolist() == e.ids
 
 
+def test_every_letter_of_the_library():
+    """Code points in a word, before a capital and alone, as the library reads them."""
+    library, encoder = Tokenizer.from_file(WORD), token_files.encoder(WORD)
+    texts = [f"a{chr(c)}b {chr(c)}A{chr(c)} {chr(c)}" for c in range(1, 0x3000)]
+    for text, ids, e in zip(texts, encoder.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, encoder.kind).tolist() == e.ids, hex(ord(text[1]))
+
+
+def test_starts_add_up_over_ranges(spark):
+    rows = [(part << 33 | k, part + k + 1) for part in (0, 1, 5) for k in range(4)]
+    files = spark.createDataFrame(rows, "place long, n long").repartition(3)
+    start, want = 0, {}
+    for place, n in rows:
+        want[place], start = start, start + n
+    assert {r.place: r.start for r in token_files.with_starts(files).collect()} == want
+
+
 def test_files_read_back(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_DOCS", 7)
     docs = data.documents(spark)
