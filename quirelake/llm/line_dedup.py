@@ -35,6 +35,8 @@ empty table gives an empty table; further columns are kept as they are, but for
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,11 @@ ROUNDS = 2
 
 def templates(lines: Column) -> Column:
     """The template of each line of a text: runs of digits as ``0`` and of white space as one
-    blank. The text is generalised as a whole, then cut; single blanks are left alone."""
+    blank. The text is generalised as a whole, then cut; single blanks are left alone, and
+    texts without others, which a search for bytes tells, aren't matched for them."""
+    others = [F.contains(lines, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")]
     spaced = F.regexp_replace(lines, "[\\x20\\x09\\x0B-\\x0D]{2,}|[\\x09\\x0B-\\x0D]", " ")
+    spaced = F.when(functools.reduce(Column.__or__, others), spaced).otherwise(lines)
     return F.transform(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n", -1), lambda line: F.trim(line))
 
 
@@ -80,20 +85,24 @@ def _leading(n: Column) -> Column:
 
 
 def _line(template: Column) -> Column:
-    """What stands for a distinct line: its code, tokens, leaf and digest."""
+    """What stands for a distinct line: its code, tokens and leaf."""
     n = n_tokens(template)
     path = F.when(n >= LEAF_TOKENS, F.substring_index(template, " ", LEADING)).otherwise(F.substring_index(template, " ", SHORT_LEADING))
     leaf = F.when(n >= SHORT_TOKENS, F.xxhash64(n, path))
-    return F.struct(F.xxhash64(template).alias("h"), n.alias("n"), leaf.alias("leaf"), F.md5(template).alias("digest"))
+    return F.struct(F.xxhash64(template).alias("h"), n.alias("n"), leaf.alias("leaf"))
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__line_row``, ``__line_h`` (a code for every line, in order) and
-    ``__line_own`` (the distinct lines with a word)."""
+    """``docs`` with ``__line_row``, ``__line_h`` (a code for every line, in order), and of
+    the distinct lines with a word ``__line_own``, ``__line_digests`` and ``__line_least``,
+    their min-hashes."""
     cols = [c for c in docs.columns if not c.startswith("__line_")]
     rows = docs.select(*cols, F.monotonically_increasing_id().alias("__line_row"), templates(F.coalesce("text", F.lit(""))).alias("__line_t"))
-    own = F.transform(F.array_remove(F.array_distinct("__line_t"), ""), _line)
-    return written(rows.select(*cols, "__line_row", F.transform("__line_t", lambda t: F.xxhash64(t)).alias("__line_h"), own.alias("__line_own")), "line-cut")
+    rows = rows.withColumn("__line_d", F.array_remove(F.array_distinct("__line_t"), ""))
+    rows = rows.withColumn("__line_digests", F.transform("__line_d", F.md5))
+    codes = F.transform("__line_t", lambda t: F.xxhash64(t)).alias("__line_h")
+    own = F.transform("__line_d", _line).alias("__line_own")
+    return written(rows.select(*cols, "__line_row", codes, own, "__line_digests", min_hashes("__line_digests").alias("__line_least")), "line-cut")
 
 
 def weights(lines: DataFrame) -> DataFrame:
@@ -105,9 +114,9 @@ def weights(lines: DataFrame) -> DataFrame:
     return written(most.select("sig", F.expr(f"{WHOLE} div alike").alias("weight")), "line-weights")
 
 
-def min_hashes(own: Column) -> Column:
-    """The min-hashes of the distinct lines ``own``."""
-    doubled = F.transform(own, lambda x: F.concat(x["digest"], x["digest"]))
+def min_hashes(digests: str) -> Column:
+    """The min-hashes of distinct lines by their digests."""
+    doubled = F.transform(digests, lambda d: F.concat(d, d))
     return F.array(*(_least(doubled, 2 * j + 1) for j in range(ORDERS)))
 
 
@@ -117,10 +126,9 @@ def _least(digests: Column, first: int) -> Column:
 
 def recurring(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """(h): the lines that recur, as they are or by their template. ``lines`` has a row for
-    each document (own), ``texts`` its line codes and text."""
-    signed = lines.where(F.size("own") > 0).select("own", min_hashes(F.col("own")).alias("least"))
-    signed = written(signed.withColumn("sig", F.xxhash64("least")), "line-signed")
-    held = signed.join(weights(signed), "sig").select("weight", F.explode("own").alias("x")).where(F.col("x.n") >= MIN_TOKENS)
+    each document (own, least), ``texts`` its line codes and text."""
+    signed = lines.where(F.size("own") > 0).withColumn("sig", F.xxhash64("least"))
+    held = signed.select("sig", "own").join(weights(signed), "sig").select("weight", F.explode("own").alias("x")).where(F.col("x.n") >= MIN_TOKENS)
     sums = held.groupBy(F.col("x.h").alias("h")).agg(F.sum("weight").alias("weight"), F.first("x.n").alias("n"), F.first("x.leaf").alias("leaf"))
     sums = written(sums, "line-sums")
     recurs = F.col("weight") >= MIN_WEIGHT
@@ -174,11 +182,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     ``n_dropped``."""
     rows = cut(docs)
     texts = rows.select("text", "__line_h")
-    gone = recurring(texts, rows.select(F.col("__line_own").alias("own")))
+    gone = recurring(texts, rows.select(F.col("__line_own").alias("own"), F.col("__line_least").alias("least")))
     for _ in range(ROUNDS - 1):
-        own = F.col("__line_own")
-        left = _with_places(rows.select("__line_row", own), "__line_own.h", gone, "line-held")
-        left = left.select(F.when(F.col("__line_at").isNull(), own).otherwise(_left(own, F.col("__line_at"))).alias("own"))
+        left = rows.select("__line_row", "__line_own", "__line_digests", "__line_least")
+        left = _with_places(left, "__line_own.h", gone, "line-held")
+        # Only documents that lost a line are summed up anew, but all count.
+        whole, at = F.col("__line_at").isNull(), F.col("__line_at")
+        left = left.select(
+            F.when(whole, F.col("__line_own")).otherwise(_left(F.col("__line_own"), at)).alias("own"),
+            F.when(whole, F.col("__line_least")).alias("least"),
+            F.when(~whole, _left(F.col("__line_digests"), at)).alias("digests"),
+        )
+        left = left.select("own", F.coalesce("least", F.when(F.size("digests") > 0, min_hashes("digests"))).alias("least"))
+        left = written(left, "line-left")
         gone = written(gone.unionAll(recurring(texts, left)).distinct(), "line-recurring")
     joined = _with_places(rows.drop("__line_own"), "__line_h", gone, "line-places")
     lines = F.split("text", "\n", -1)
