@@ -80,22 +80,21 @@ def trailer_value_wrong(t: Tables) -> DataFrame:
 
 def _entries(where: str) -> Rule:
     def rule(t: Tables) -> DataFrame:
-        placed = joins.placed(t.xref_entries, t.headers)
-        return _found(placed.where(where), obj="obj", gen="gen", position="offset")
+        return _found(t.placed.where(where), obj="obj", gen="gen", position="offset")
 
     return rule
 
 
 def entry_broken(t: Tables) -> DataFrame:
     direct = _entries("place = 'not-found'")(t)
-    state = joins.members_of(t.xref_entries, t.members, t.containers)
+    state = t.packed
     bad = t.objects.where("source = 'objstm' and presence = 'unproduced'").select("doc_id", "obj")
     packed = state.where("state = 'unlisted'").unionByName(state.where("state in ('listed', 'moved')").join(bad, ["doc_id", "obj"], "left_semi"))
     return direct.unionByName(_found(packed, obj="obj", detail="concat('object stream ', objstm)"))
 
 
 def entry_shifted(t: Tables) -> DataFrame:
-    moved = joins.members_of(t.xref_entries, t.members, t.containers).where("state = 'moved'")
+    moved = t.packed.where("state = 'moved'")
     return _entries("place = 'nearby' and vouched")(t).unionByName(_found(moved, obj="obj", detail="concat('object stream ', objstm)"))
 
 
@@ -112,7 +111,7 @@ def object_stream_circular(t: Tables) -> DataFrame:
 
 
 def object_stream_broken(t: Tables) -> DataFrame:
-    state = joins.members_of(t.xref_entries, t.members, t.containers).where("state = 'broken'")
+    state = t.packed.where("state = 'broken'")
     lost = state.groupBy("doc_id", "objstm").agg(F.count("*").alias("n"), F.first("fault").alias("fault"))
     circular = object_stream_circular(t).selectExpr("doc_id", "obj as objstm")
     return _found(lost.join(circular, ["doc_id", "objstm"], "left_anti"), obj="objstm", detail="concat(coalesce(fault, 'missing'), ', ', n, ' objects lost')")
@@ -125,7 +124,7 @@ def object_stream_value_wrong(t: Tables) -> DataFrame:
 
 
 def offset_imprecise(t: Tables) -> DataFrame:
-    placed = joins.placed(t.xref_entries, t.headers).where("place = 'at-offset' and lands <> offset").selectExpr("doc_id", "obj", "offset")
+    placed = t.placed.where("place = 'at-offset' and lands <> offset").selectExpr("doc_id", "obj", "offset")
     sections = t.sections.where("state <> 'NotFound' and not relocated and offset <> named_offset").selectExpr(
         "doc_id", "CAST(NULL AS BIGINT) AS obj", "named_offset AS offset"
     )
@@ -201,7 +200,7 @@ PROFILE: tuple[tuple[str, str, Rule], ...] = (
     ("object.reference-missing", "Warning", reference_missing),
     ("object.endobj-missing", "Warning", endobj_missing),
     ("object.name-null-character", "Warning", name_null_character),
-    *((rule, severity, lambda t, rule=rule: _found(shapes.shape_findings(t).where(F.col("rule_id") == rule), obj="obj", page="page_index", detail="detail")) for rule, severity in shapes.RULES),
+    *((rule, severity, lambda t, rule=rule: _found(shapes.one_per_row(t.breaches.where(F.col("rule_id") == rule)), obj="obj", page="page_index", detail="detail")) for rule, severity in shapes.RULES),
     ("page-tree.cycle", "Error", _tree("page-tree.cycle")),
     ("page-tree.node-repeated", "Warning", _tree("page-tree.node-repeated")),
     ("page-tree.kids-missing", "Warning", _tree("page-tree.kids-missing")),
@@ -224,6 +223,21 @@ REMEDIES = {
 }
 
 
+#: The relations that the rules of each family read.
+READS = {
+    "file": ("structure", "sections", "xref_entries"),
+    "xref": ("structure", "sections", "xref_entries", "headers", "index", "members", "containers", "objects", "nodes", "diagnostics"),
+    "object": ("structure", "index", "objects", "nodes", "breaches"),
+    "page-tree": ("structure", "sections", "objects", "nodes", "pages", "tree_faults"),
+}
+
+
+def reads(only: list[str] | None = None) -> tuple[str, ...]:
+    """The relations that ``findings`` need: what to ask ``tables_of`` for."""
+    families = {rule_id.split(".")[0] for rule_id in only or RULES}
+    return tuple(sorted({part for family in families for part in READS[family]}))
+
+
 def findings(tables: Tables, only: list[str] | None = None) -> DataFrame:
     """All findings of the profile, or of the rules named, with rule, severity, order."""
     parts = []

@@ -365,33 +365,9 @@ def _inherits(file: PdfFile, value: object, key: str) -> bool:
 # -- over tables ----------------------------------------------------------------------------
 
 
-def breaches(files: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, seq, rule_id, type, key, obj, page_index, detail) of every breach. The
-    model goes to the tasks as a broadcast value; its size is the model's, not the data's."""
-    shared = files.sparkSession.sparkContext.broadcast(model or basic_model())
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, x in zip(b.column("doc_id").to_pylist(), b.column("content")):
-                f = PdfFile(x.as_py() or b"").open()
-                if f.open_error is None:
-                    rows += [(doc, k, *r) for k, r in enumerate(check(f.load_all(), shared.value))]
-            columns = list(zip(*rows)) or [[] for _ in range(8)]
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "seq", "rule_id", "type", "key", "obj", "page_index", "detail"])
-
-    return files.select(F.col("doc_id").cast("long"), "content").mapInArrow(kernel, "doc_id long, seq int, rule_id string, type string, key string, obj long, page_index int, detail string")
-
-
 def one_per_row(found: DataFrame) -> DataFrame:
     """One finding per row of the model: the first object in walk order, and how many."""
     first = lambda c: F.min_by(c, "seq").alias(c)
     return found.groupBy("doc_id", "rule_id", "type", "key").agg(first("obj"), first("page_index"), F.count_distinct("obj").alias("n")).withColumn(
         "detail", F.concat_ws(" ", F.concat("type", F.lit("/"), "key"), F.lit("in"), "n", F.lit("objects"))
     )
-
-
-def shape_findings(tables) -> DataFrame:
-    """The shape findings of the files behind ``tables``."""
-    return one_per_row(breaches(tables.files, getattr(tables, "model", None)))

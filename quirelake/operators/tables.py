@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,14 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirelake.functions.syntax import Name, Ref, Stream, Text, as_dictionary, kind_of
-from quirelake.operators import page_tree
+from quirelake.operators import joins, page_tree, shapes
 from quirelake.sources.reader import HEADER, Limits, PdfFile, _walk
 
 #: Column types of each relation.
 SCHEMAS = {
     "structure": "length long, header_pos long, header_version string, header_named string, declared_version string, eof_marker boolean, startxref_pos long, startxref long,"
     " chain_read boolean, chain_empty boolean, loop_offset long, chain_cut boolean, root_usable boolean, root_named_usable boolean, has_root boolean, catalog_found_as int,"
-    " was_repaired boolean, is_encrypted boolean, object_count int, page_root int, tree_whole boolean, open_error string, suppressed long",
+    " was_repaired boolean, is_encrypted boolean, object_count int, page_count int, page_root int, tree_whole boolean, open_error string, suppressed long",
     "sections": "ordinal int, named_by string, named_offset long, offset long, kind string, state string, fault string, trailer_fault string, incomplete boolean, no_subsection boolean,"
     " unconfirmed boolean, relocated boolean, reserved_rows long, highest long, size long, prev long, xrefstm long, revision int, wrong_values array<string>",
     "xref_entries": "section int, row_ord long, obj long, kind string, offset long, lands long, gen long, objstm long, idx long, refused boolean",
@@ -40,6 +41,8 @@ SCHEMAS = {
     "pages": "page_index int, obj long, parent long, mediabox array<double>, has_resources boolean, path array<int>",
     "tree_faults": "seq int, rule_id string, severity string, obj long, page_index int, detail string",
     "diagnostics": "seq long, severity string, code string, message string, position long",
+    "kinds": "kind string, n int",
+    "breaches": "seq int, rule_id string, type string, key string, obj long, page_index int, detail string",
 }
 PARTS = tuple(SCHEMAS)
 
@@ -125,11 +128,15 @@ def reach(f: PdfFile) -> dict[int, int]:
     return seen
 
 
-def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits()) -> dict:
-    """The wanted relations of one file."""
+#: Relations that every object must be read for.
+OF_OBJECTS = {"objects", "nodes", "streams", "diagnostics", "containers", "members", "kinds", "breaches"}
+
+
+def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits(), holders: tuple[int, ...] | None = None, model: dict | None = None) -> dict:
+    """The wanted relations of one file; of ``nodes`` those in ``holders`` alone."""
     f = PdfFile(data, limits).open()
     out: dict = {}
-    if f.open_error is None and want & {"objects", "nodes", "streams", "diagnostics", "containers", "members"}:
+    if f.open_error is None and want & (OF_OBJECTS if holders is None else OF_OBJECTS - {"nodes"}):
         f.load_all()
     walk = page_tree.Walk(f) if want & {"pages", "tree_faults", "structure"} and f.open_error is None else None
     if "pages" in want:
@@ -162,7 +169,14 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits()) -> di
         order = reach(f)
         out["objects"] = [_object_row(f, n, order) for n in sorted(f.objects)]
     if "nodes" in want:
-        out["nodes"] = [node_row(*x) for x in f.nodes()] if f.open_error is None else []
+        out["nodes"] = [node_row(*x) for x in f.nodes(holders)] if f.open_error is None else []
+    if "kinds" in want:
+        kinds = Counter(kind_of(x) for x in f.objects.values())
+        out["kinds"] = [{"kind": k, "n": n} for k, n in sorted(kinds.items())]
+    if "breaches" in want:
+        found = shapes.check(f, model or shapes.basic_model()) if f.open_error is None else []
+        names = ("rule_id", "type", "key", "obj", "page_index", "detail")
+        out["breaches"] = [{"seq": k} | dict(zip(names, x)) for k, x in enumerate(found)]
     if "trailers" in want:
         keep = ("ord", "path", "parent_path", "key", "kind", "i", "d", "name", "ref_obj", "ref_gen")
         out["trailers"] = [{"section": x.ordinal} | {k: row[k] for k in keep} for x in f.sections for row in (node_row(*n) for n in _walk(0, x.trailer))]
@@ -175,7 +189,7 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits()) -> di
                     rows.append({"obj": n, "filters": [s.name for s in chain.steps], "chain_end": chain.end, "decoded": data_, "decoded_length": len(data_), "left_encoded": left, "faults": [x._asdict() for x in faults]})
         out["streams"] = rows
     if "structure" in want:
-        out["structure"] = structure_of(f) | {"tree_whole": walk is None or walk.whole}
+        out["structure"] = structure_of(f) | {"tree_whole": walk is None or walk.whole, "page_count": 0 if walk is None else len(walk.pages)}
     if "diagnostics" in want:
         out["diagnostics"] = [{"seq": k, "severity": s, "code": c, "message": m, "position": p} for k, (s, c, m, p) in enumerate(f.diagnostics)]
     return {k: out[k] for k in out if k in want}
@@ -214,17 +228,39 @@ def _object_row(f: PdfFile, n: int, order: dict[int, int]) -> dict:
 # -- over tables --------------------------------------------------------------------
 
 
-def parse(files: DataFrame, *want: str, limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, the wanted relations as nested columns) of (doc_id, content)."""
+#: Files, and bytes of them but for one larger file, that a kernel gives at a time.
+SLICE_FILES = 64
+SLICE_BYTES = 16 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of SLICE_FILES files and SLICE_BYTES bytes at most."""
+    start, held = 0, 0
+    for at, x in enumerate(batch.column("content")):
+        size = len(x.as_buffer()) if x.is_valid else 0
+        if at > start and (at - start >= SLICE_FILES or held + size > SLICE_BYTES):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def parse(files: DataFrame, *want: str, limits: Limits = Limits(), holders: tuple[int, ...] | None = None, model: dict | None = None) -> DataFrame:
+    """(doc_id, the wanted relations as nested columns) of (doc_id, content). With
+    ``holders``, ``nodes`` has the values of those objects alone (0: the trailer), and only
+    those are read for it. ``model`` is what ``breaches`` are held against."""
     parts = tuple(want or PARTS)
     wanted = frozenset(parts)
     types = {p: _arrow(SCHEMAS[p]) if p == "structure" else pa.list_(_arrow(SCHEMAS[p])) for p in parts}
+    # The model's size is the model's, not the data's.
+    shared = files.sparkSession.sparkContext.broadcast(model) if model else None
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value if shared else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                b = batch.slice(at, 64)
-                rows = [facts_of(x.as_py() or b"", wanted, limits) for x in b.column("content")]
+            for b in slices(batch):
+                rows = [facts_of(x.as_py() or b"", wanted, limits, holders, own) for x in b.column("content")]
                 yield pa.record_batch([b.column("doc_id"), *(pa.array([r[p] for r in rows], types[p]) for p in parts)], ["doc_id", *parts])
 
     schema = "doc_id long, " + ", ".join(f"{p} struct<{_inner(p)}>" if p == "structure" else f"{p} array<struct<{_inner(p)}>>" for p in parts)
@@ -236,10 +272,14 @@ def _inner(part: str) -> str:
 
 
 class Tables:
-    """The relations of parsed files, each a DataFrame with ``doc_id``."""
+    """The relations of parsed files, each a DataFrame with ``doc_id``.
+
+    ``placed`` and ``packed`` are joins that several rules ask for: they are made once and
+    kept as ``parsed`` is. ``release`` lets go of what the executors keep."""
 
     def __init__(self, parsed: DataFrame, files: DataFrame | None = None, model: dict | None = None):
         self.parsed, self.files, self.model = parsed, files, model
+        self._kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, part: str) -> DataFrame:
         if part == "structure":
@@ -248,19 +288,30 @@ class Tables:
             return self.nodes.where("kind = 'reference'").selectExpr("doc_id", "holder as src", "ord", "path", "parent_path", "key", "elem", "ref_obj as dst", "ref_gen as dst_gen")
         if part in SCHEMAS:
             return self.parsed.select("doc_id", F.inline(part))
+        if part in ("placed", "packed"):
+            if part not in self._kept:
+                found = joins.placed(self.xref_entries, self.headers) if part == "placed" else joins.members_of(self.xref_entries, self.members, self.containers)
+                self._kept[part] = stored(found, part)
+            return self._kept[part]
         raise AttributeError(part)
 
+    def release(self) -> None:
+        for df in (self.parsed, *self._kept.values()):
+            df.unpersist()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the session's checkpoint folder where it names one, of which every
+    reader takes its own columns alone; without such a folder kept by the executors."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
 
 def tables_of(files: DataFrame, *want: str, model: dict | None = None) -> Tables:
-    """The relations of ``files``, parsed once: the nested rows are written to the
-    session's checkpoint folder where it names one, and each relation reads back its own
-    columns alone; without such a folder the rows are kept by the executors."""
-    parsed = parse(files, *want)
-    folder = files.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/parsed-{uuid.uuid4().hex}"
-        parsed.write.option("compression", "zstd").parquet(path)
-        parsed = files.sparkSession.read.schema(parsed.schema).parquet(path)
-    else:
-        parsed = parsed.persist()
-    return Tables(parsed, files, model)
+    """The relations of ``files``, parsed once and stored."""
+    return Tables(stored(parse(files, *want, model=model), "parsed"), files, model)

@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.operators import access, joins, page_tree, rules, shapes, walks
@@ -82,8 +82,8 @@ def order_file(row: dict) -> bytes:
 @query("page_count", "SELECT l_orderkey AS doc_id, count(*) AS n_pages FROM lineitem GROUP BY 1")
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file per order, one page per line: chain, index, page tree."""
-    parsed = parse(files_of(orders_with_lines(spark, sf_dir), order_file), "pages")
-    return parsed.select("doc_id", F.size("pages").cast("long").alias("n_pages"))
+    parsed = parse(files_of(orders_with_lines(spark, sf_dir), order_file), "structure")
+    return parsed.select("doc_id", F.col("structure.page_count").cast("long").alias("n_pages"))
 
 
 @query(
@@ -100,9 +100,9 @@ def page_count_by_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("object_count", "SELECT l_orderkey AS doc_id, 2 + 2 * count(*) AS n_objects, count(*) AS n_streams FROM lineitem GROUP BY 1")
 def object_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse(files_of(orders_with_lines(spark, sf_dir), order_file), "structure", "objects")
-    streams = F.size(F.filter("objects", lambda o: o["kind"] == "stream"))
-    return parsed.select("doc_id", F.col("structure.object_count").cast("long").alias("n_objects"), streams.cast("long").alias("n_streams"))
+    parsed = parse(files_of(orders_with_lines(spark, sf_dir), order_file), "structure", "kinds")
+    streams = F.get(F.filter("kinds", lambda x: x["kind"] == "stream"), F.lit(0))["n"]
+    return parsed.select("doc_id", F.col("structure.object_count").cast("long").alias("n_objects"), F.coalesce(streams, F.lit(0)).cast("long").alias("n_streams"))
 
 
 def conversation_file(row: dict) -> bytes:
@@ -113,8 +113,8 @@ def conversation_file(row: dict) -> bytes:
 @query("conversation_pages", "SELECT conv_id AS doc_id, count(*) AS n_pages FROM conversations GROUP BY 1")
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    parsed = parse(files_of(turns, conversation_file), "pages")
-    return parsed.select("doc_id", F.size("pages").cast("long").alias("n_pages"))
+    parsed = parse(files_of(turns, conversation_file), "structure")
+    return parsed.select("doc_id", F.col("structure.page_count").cast("long").alias("n_pages"))
 
 
 # -- the index ------------------------------------------------------------------------
@@ -156,7 +156,7 @@ def _balance(parsed: DataFrame, n) -> DataFrame:
 
 @query("xref_newest_wins", NEWEST.format("+ 1"))
 def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse(files_of(customers(spark, sf_dir), updated), "nodes", "sections")
+    parsed = parse(files_of(customers(spark, sf_dir), updated), "nodes", "sections", holders=(5,))
     return _balance(parsed, F.size("sections"))
 
 
@@ -179,24 +179,34 @@ def index_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_objects"), F.min("section").cast("long").alias("section"))
 
 
+#: Revisions of a file: the reader follows 1,024 sections at most.
+REVISIONS = 1000
+
+
 def event_file(row: dict) -> bytes:
     data = B.build({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [] /Count 0 >>", 3: b"0"})
-    for e in row["events"][:40]:
-        data = B.update(data, {3: b"%.6f" % e["value"]})
+    for value in row["events"]:
+        data = B.update(data, {3: b"%.6f" % value})
     return data
 
 
 @query(
     "event_revisions",
-    "SELECT user_id AS doc_id, least(count(*), 40) + 1 AS n_sections, round(max_by(value, k), 4) AS last_value FROM"
-    " (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 40 GROUP BY 1",
+    f"SELECT user_id AS doc_id, CAST(count(*) + (count(*) + {REVISIONS - 1}) // {REVISIONS} AS BIGINT) AS n_sections, round(max_by(value, k), 4) AS last_value FROM"
+    " (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) GROUP BY 1",
 )
 def event_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's first 40 events, in order, are revisions of one object."""
-    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("events"))
-    parsed = parse(files_of(rows.selectExpr("doc_id", "transform(events, e -> struct(e.value)) AS events"), event_file), "nodes", "sections")
+    """A user's events, in order, are revisions of one object, REVISIONS to a file."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select("user_id", "value", (F.row_number().over(by) - 1).alias("k"))
+    part = F.expr(f"k div {REVISIONS}").alias("part")
+    rows = events.groupBy(F.col("user_id").alias("user"), part).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("events"))
+    # A file's number holds its user and its place among the user's files.
+    rows = rows.selectExpr("user * 1000000 + part AS doc_id", "transform(events, e -> e.value) AS events")
+    parsed = parse(files_of(rows, event_file), "nodes", "sections", holders=(3,))
     value = F.get(F.filter("nodes", lambda x: x["holder"] == 3), F.lit(0))
-    return parsed.select("doc_id", F.size("sections").cast("long").alias("n_sections"), F.round(F.coalesce(value["d"], value["i"].cast("double")), 4).alias("last_value"))
+    told = parsed.select(F.expr("doc_id div 1000000").alias("doc_id"), F.col("doc_id").alias("file"), F.size("sections").cast("long").alias("n"), F.coalesce(value["d"], value["i"].cast("double")).alias("x"))
+    return told.groupBy("doc_id").agg(F.sum("n").alias("n_sections"), F.round(F.max_by("x", "file"), 4).alias("last_value"))
 
 
 def packed_parts(row: dict) -> bytes:
@@ -264,7 +274,7 @@ def text_of(b) -> "F.Column":
 
 @query("info_text_roundtrip", "SELECT doc_id, length(text) AS n, sha256(text) AS sha FROM documents")
 def info_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(parse(files_of(texts(spark, sf_dir), titled), "nodes"))
+    t = Tables(parse(files_of(texts(spark, sf_dir), titled), "nodes", holders=(5,)))
     text = t.nodes.where("holder = 5 and path = '/Title'").select("doc_id", text_of(F.col("bytes")).alias("text"))
     return text.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
 
@@ -276,7 +286,7 @@ def numbered(row: dict) -> bytes:
 
 @query("number_parse", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS quantity, round(l_extendedprice, 2) AS price FROM lineitem")
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(parse(files_of(orders_with_lines(spark, sf_dir), numbered), "nodes"))
+    t = Tables(parse(files_of(orders_with_lines(spark, sf_dir), numbered), "nodes", holders=(3,)))
     leaf = t.nodes.where("holder = 3 and depth = 2").select("doc_id", "parent_path", "elem", "i", F.coalesce("d", F.col("i").cast("double")).alias("x"))
     at = lambda k, c: F.max(F.when(F.col("elem") == k, F.col(c)))
     rows = leaf.groupBy("doc_id", "parent_path").agg(at(0, "i").cast("int").alias("l_linenumber"), at(2, "i").alias("l_partkey"), at(1, "x").alias("quantity"), F.round(at(3, "x"), 2).alias("price"))
@@ -402,7 +412,7 @@ def _expected(cases: dict[int, str], k: int, table_: str = "customer", key: str
 
 def _finding_query(build: Build, *only: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = tables_of(files_of(customers(spark, sf_dir), build))
+        t = tables_of(files_of(customers(spark, sf_dir), build), *rules.reads(list(only) or None))
         return rules.findings(t, list(only) or None).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
     return run
@@ -621,8 +631,8 @@ def _packed_damage(key: int, b: B.Bodies) -> bytes:
 
 @query("object_stream_findings", _expected({1: "xref.object-stream-broken*1", 2: "xref.object-stream-value-wrong*1", 3: "xref.object-stream-circular*1"}, 4))
 def object_stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_packed_damage)))
     only = ["xref.object-stream-broken", "xref.object-stream-value-wrong", "xref.object-stream-circular"]
+    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_packed_damage)), *rules.reads(only))
     return rules.findings(t, only).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
 
@@ -637,7 +647,7 @@ def _sound(row: dict) -> bytes:
 @query("sound_files", "SELECT count(*) AS n_files, CAST(0 AS BIGINT) AS n_findings, CAST(0 AS BIGINT) AS n_diagnostics FROM customer")
 def sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sound files earn no finding under the whole profile, and no diagnostic."""
-    t = tables_of(files_of(customers(spark, sf_dir), _sound))
+    t = tables_of(files_of(customers(spark, sf_dir), _sound), *rules.reads())
     ones = {"n_files": t.structure, "n_findings": rules.findings(t), "n_diagnostics": t.diagnostics}
     rows = [df.select(*(F.lit(int(name == own)).cast("long").alias(name) for name in ones)) for own, df in ones.items()]
     return rows[0].unionAll(rows[1]).unionAll(rows[2]).agg(*(F.sum(name).alias(name) for name in ones))
@@ -663,7 +673,7 @@ SEVERITIES = (
 
 @query("report_by_severity", SEVERITIES)
 def report_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_tree_damage)))
+    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_tree_damage)), *rules.reads(TREE_RULES))
     return rules.findings(t, TREE_RULES).groupBy("severity").agg(F.count("*").alias("n"))
 
 
@@ -674,7 +684,7 @@ def report_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def findings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two findings a file, the rest counted."""
-    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_tree_damage)))
+    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_tree_damage)), *rules.reads(TREE_RULES))
     found = rules.findings(t, TREE_RULES)
     kept = rules.capped(found, 2).groupBy("doc_id").agg(F.count("*").alias("kept"), F.min(F.when(F.col("rule_id").isin("page-tree.mediabox-invalid", "page-tree.resources-missing"), F.col("page_index")).otherwise(-1)).cast("long").alias("last_page"))
     return kept.join(rules.report(found, 2).select("doc_id", "suppressed"), "doc_id").select("doc_id", "kept", "suppressed", "last_page")
@@ -692,7 +702,7 @@ def diagnostic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shape_breaches", "SELECT c_custkey % 8 AS r, count(*) AS n FROM customer WHERE c_custkey % 8 IN (4, 5, 6, 7) GROUP BY 1")
 def shape_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shapes.breaches(files_of(customers(spark, sf_dir), _by_key(_object_damage)))
+    found = Tables(parse(files_of(customers(spark, sf_dir), _by_key(_object_damage)), "breaches")).breaches
     return found.groupBy((F.col("doc_id") % 8).alias("r")).agg(F.count("*").alias("n"))
 
 
@@ -787,10 +797,13 @@ def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("reference_presence", "SELECT presence, count(*) * k AS n FROM customer, (VALUES ('defined', 11), ('missing', 2)) v(presence, k) WHERE c_custkey % 8 = 1 GROUP BY presence, k")
+@query(
+    "reference_presence",
+    "SELECT presence, CAST(sum(k) AS BIGINT) AS n FROM (SELECT 'defined' AS presence, 11 AS k FROM customer UNION ALL SELECT 'missing', 2 FROM customer WHERE c_custkey % 8 = 1) GROUP BY 1",
+)
 def reference_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = customers(spark, sf_dir).where("doc_id % 8 = 1")
-    t = tables_of(files_of(rows, _by_key(_object_damage)), "nodes", "index", "objects")
+    """Every reference of every file; two of each eighth file lead nowhere."""
+    t = tables_of(files_of(customers(spark, sf_dir), _by_key(_object_damage)), "nodes", "index", "objects")
     return access.presence(t.refs, t.index, t.objects).groupBy("presence").agg(F.count("*").alias("n"))
 
 

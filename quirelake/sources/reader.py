@@ -768,11 +768,12 @@ class PdfFile:
             self.get(number)
         return self
 
-    def nodes(self):
+    def nodes(self, holders: tuple[int, ...] | None = None):
         """(holder, order, path, parent path, key, element, depth, value) of every value:
-        the trailer's under holder 0, then each object's, depth first."""
-        yield from _walk(0, {k: v for k, v in self.trailer.items() if k not in ("Prev", "XRefStm")})
-        for number in sorted(self.index):
+        the trailer's under holder 0, then each object's, depth first; or of ``holders``."""
+        if holders is None or 0 in holders:
+            yield from _walk(0, {k: v for k, v in self.trailer.items() if k not in ("Prev", "XRefStm")})
+        for number in sorted(self.index if holders is None else self.index.keys() & set(holders)):
             if self.index[number].kind != "free" and number:
                 yield from _walk(number, self.get(number))
 

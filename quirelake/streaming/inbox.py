@@ -15,13 +15,15 @@ from quirelake.sources.files import stream_folder
 
 
 def watch(spark: SparkSession, inbox: str, out: str, state: str, rules_only: list[str] | None = None) -> StreamingQuery:
-    """Appends ``structure`` and ``findings`` of all that lies in ``inbox`` and was not
-    read before to Parquet tables under ``out``, then ends."""
-
-    def judge(batch: DataFrame, _: int) -> None:
-        tables = tables_of(batch)
-        tables.structure.write.mode("append").parquet(f"{out}/structure")
-        rules.findings(tables, rules_only).write.mode("append").parquet(f"{out}/findings")
+    """Writes ``structure`` and ``findings`` of all that lies in ``inbox`` and was not read
+    before to Parquet tables under ``out``, then ends. A batch has a folder of its own
+    (``batch=N``), which a repeated batch writes anew, so that no row stands twice."""
+
+    def judge(batch: DataFrame, number: int) -> None:
+        tables = tables_of(batch, "structure", *(x for x in rules.reads(rules_only) if x != "structure"))
+        tables.structure.write.mode("overwrite").parquet(f"{out}/structure/batch={number}")
+        rules.findings(tables, rules_only).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
+        tables.release()
 
     files = stream_folder(spark, inbox)
     return files.writeStream.foreachBatch(judge).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -3,7 +3,7 @@
 import pytest
 
 from quirelake.operators import joins, page_tree, rules, shapes
-from quirelake.operators.tables import PARTS, parse, tables_of
+from quirelake.operators.tables import PARTS, Tables, parse, tables_of
 from quirelake.plans import queries
 from quirelake.sources import builder as B
 from quirelake.sources import files
@@ -124,7 +124,7 @@ def test_shapes_choose_by_subtype(spark):
         n22=b"<< /Type /Font /Subtype /Unknown >>",
     )
     df = spark.createDataFrame([(1, B.build(b))], "doc_id long, content binary")
-    found = sorted((r.rule_id, r.type, r.key) for r in shapes.breaches(df).collect())
+    found = sorted((r.rule_id, r.type, r.key) for r in Tables(parse(df, "breaches")).breaches.collect())
     assert found == [("object.key-missing", "FontTrueType", "BaseFont"), ("object.value-type-wrong", "FontType1", "FirstChar")]
 
 
