@@ -7,22 +7,29 @@ the input, and no match crosses documents.
 Sampled suffixes. Of the GRAM-byte grams in a window of LENGTH bytes the one with the
 least code is its anchor, so equal windows have their anchor at the same place. Windows
 that follow each other and share their anchor make one segment: the anchor's suffix
-with what lies around it. A segment is known by a 64-bit code of its content.
-
-Index family. A batch's segments are sorted by content code, its sparse suffix array.
-It is merge-scanned against the sorted levels that are there already: a code found
-again is a long match, the earlier place stays in the index, and the later segment is
-removed. What is new becomes a level, and levels of equal size are merged, so that a
-family of n entries has about log n levels. Each input task keeps a family of its own,
-which decides what repeats within the task; the first places of its codes are then
-dealt by code over all tasks and meet in a second family. A code that a third of all
-documents hold is thus sent at most once per task.
+with what lies around it. A segment is known by two codes of its content, 96 bits.
+
+Index family. A batch's segments are sorted by content code. (Not by their bytes: a suffix
+array in the order of bytes, of every place, takes several times the CPU and disk that
+the check tool allows; the README has the figures. Equal suffixes are neighbours in either
+order, and only equal ones are asked for.) The batch is merge-scanned against the sorted
+levels that are there already: a code found again is a long match, the earlier place stays
+in the index, and the later segment is removed. What is new becomes a level, and levels of
+equal size are merged, so that a family of n entries has about log n levels. Each input
+task keeps a family of its own, which decides what repeats within the task; the first
+places of its codes are then dealt by their gram over all tasks and meet in a second
+family. A code that a third of all documents hold is thus sent at most once per task.
 
 Edges. Where a match begins or ends inside a segment the segments differ but share
 their anchor's gram. Only for first places of grams with several segments, the single
 windows are listed and put through the same two families by their own codes. The first
 place of a window lies in the first place of its segment, so this is exact, but for
-64-bit code collisions (about n^2 / 2^65 for n segments).
+collisions of codes (about n^2 / 2^97 for n segments).
+
+Hot grams. A short passage among unlike texts gives a segment of its own to every document
+under one gram. A task that sees HOT segments of a gram or more opens them at once, sends
+them by their document and only a mark to where the gram's others meet, which opens those.
+So no task meets more than HOT segments of a gram from each other task.
 
 Edge cases: null texts are empty; texts under LENGTH bytes lose nothing; texts of any
 length are used whole, very long ones in pieces that overlap; a null id is less than
@@ -51,12 +58,16 @@ PIECE = 1 << 20
 FAMILY = 1_000_000
 SENT_AT_ONCE = 100_000
 
+#: Segments of a gram in one task from which on they are opened there.
+HOT = 8
+
 _NULL_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 23) - 1)
 _rng = np.random.default_rng(20_24)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _ODD = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_29, _32 = np.uint64(29), np.uint64(32)
+_MORE = _rng.integers(0, 1 << 63, 5, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_29, _32, _LOW = np.uint64(29), np.uint64(32), np.uint64((1 << 32) - 1)
 
 
 # -- codes ----------------------------------------------------------------------
@@ -82,24 +93,30 @@ def codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram, x
 
 
-def range_codes(x64: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Codes of the strings of 100 to 192 bytes from ``start``: three blocks of 64 that
-    cover them."""
-    out = x64[start] * _ODD[9] + x64[start + (size - 64) // 2] * _ODD[10] + x64[start + size - 64] * _ODD[11]
-    out += (size.astype(np.uint64) * np.uint64(256) + salt.astype(np.uint64)) * _ODD[12]
-    out ^= out >> _29
-    out *= _ODD[13]
-    out ^= out >> _32
-    return out
+def range_codes(x64: np.ndarray, start: np.ndarray, size: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two codes, of 64 and 32 bits, of the strings of 100 to 192 bytes from ``start``:
+    three blocks of 64 that cover them, mixed with other factors for each code."""
+    first, middle, last = x64[start], x64[start + (size - 64) // 2], x64[start + size - 64]
+    tag = size.astype(np.uint64) * np.uint64(256) + salt.astype(np.uint64)
+    out = []
+    for k in (0, 1):
+        a, b, c, d, e = _ODD[9:14] if not k else _MORE
+        code = first * a + middle * b + last * c
+        code += tag * d
+        code ^= code >> _29
+        code *= e
+        code ^= code >> _32
+        out.append(code)
+    return out[0], (out[1] & _LOW).astype("<u4")
 
 
 def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram code, content code, first byte, size) of the segments of documents laid one
+    """(gram code, content codes, first byte, size) of the segments of documents laid one
     after the other, which end at ``ends``; at most 8 MB."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none.astype("<u4"), none, none
     gram, x64 = codes(data)
     least = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
     for step in (1, 2, 4, 8, 16, 32, LENGTH - GRAM + 1 - 64):
@@ -115,13 +132,13 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     low, high = low[inside], high[inside]
     at = anchor[low]
     size = high - low + LENGTH
-    return gram[at], range_codes(x64, low, size, at - low), low, size
+    return gram[at], *range_codes(x64, low, size, at - low), low, size
 
 
 # -- the family -----------------------------------------------------------------
 
-#: An entry: content code, id, hash of the text, first byte, size, gram code.
-ENTRY = [("code", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("low", "<u4"), ("size", "<u4"), ("gram", "<u8")]
+#: An entry: content codes, id, hash of the text, first byte, size, gram code.
+ENTRY = [("code", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("sub", "<i4"), ("low", "<u4"), ("size", "<u4"), ("gram", "<u8")]
 FIELDS = [name for name, _ in ENTRY]
 
 
@@ -152,8 +169,32 @@ def same_place(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray
     return (a["low"] == b["low"]) & (a["sub"] == b["sub"]) & (a["doc"] == b["doc"])
 
 
+def repeats(e: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether an entry has the codes of the one before it."""
+    if not len(e["code"]):
+        return np.zeros(0, bool)
+    return np.r_[False, (e["code"][1:] == e["code"][:-1]) & (e["more"][1:] == e["more"][:-1])]
+
+
+def found_in(level: dict[str, np.ndarray], batch: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in ``batch``, positions in ``level``) of equal codes. Entries that have the
+    64-bit code alone in common stand side by side, and are tried one after the other."""
+    place = np.searchsorted(level["code"], batch["code"])
+    rows, hits = [], []
+    live = np.arange(len(place))
+    while len(live):
+        live = live[place[live] < len(level["code"])]
+        live = live[level["code"][place[live]] == batch["code"][live]]
+        equal = level["more"][place[live]] == batch["more"][live]
+        rows.append(live[equal])
+        hits.append(place[live[equal]])
+        live = live[~equal]
+        place[live] += 1
+    return (np.concatenate(rows), np.concatenate(hits)) if rows else (live, live)
+
+
 class Family:
-    """Levels of entries sorted by code; no code is in two levels."""
+    """Levels of entries sorted by their codes; no two entries have the same codes."""
 
     def __init__(self) -> None:
         self.levels: list[dict[str, np.ndarray]] = []
@@ -163,21 +204,19 @@ class Family:
 
     def add(self, batch: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Takes a batch in; gives the entries, old or new, that an earlier one beats."""
-        order = np.lexsort((batch["low"], batch["sub"], batch["doc"], batch["code"]))
+        order = np.lexsort((batch["low"], batch["sub"], batch["doc"], batch["more"], batch["code"]))
         batch = take(batch, order)
-        again = np.r_[False, batch["code"][1:] == batch["code"][:-1]] if len(order) else np.zeros(0, bool)
+        again = repeats(batch)
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
         lost = [take(batch, again & ~same_place(batch, take(batch, first)))]
         batch = take(batch, ~again)
         for level in self.levels:
             if not len(batch["code"]):
                 break
-            place = np.searchsorted(level["code"], batch["code"])
-            place[place == len(level["code"])] = 0
-            found = np.flatnonzero(level["code"][place] == batch["code"])
+            found, at = found_in(level, batch)
             if not len(found):
                 continue
-            old, new, at = take(level, place[found]), take(batch, found), place[found]
+            old, new = take(level, at), take(batch, found)
             wins = earlier(new, old)
             lost.append(take(old, wins))
             lost.append(take(new, ~wins & ~same_place(new, old)))
@@ -212,25 +251,35 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-SENT = pa.schema([("part", pa.int32()), ("gone", pa.bool_()), ("entries", pa.binary())])
-def _dealt(parts: int, reps: dict[str, np.ndarray], lost: dict[str, np.ndarray], by: str) -> Iterator[pa.RecordBatch]:
-    """Rows to send: first places by ``by``, lost ones by their document."""
-    for gone, e, key in ((False, reps, reps[by].astype(np.uint64)), (True, lost, lost["doc"].astype(np.uint64))):
-        if not len(key):
-            continue
-        target = ((key * _ODD[15]) >> _32) % np.uint64(parts)
-        order = np.argsort(target, kind="stable")
-        e, target = take(e, order), target[order]
-        cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True])
-        rows, held = [], 0
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            rows.append({"part": int(target[a]), "gone": gone, "entries": _packed(take(e, slice(a, z)))})
-            held += z - a
-            if held > SENT_AT_ONCE:
-                yield pa.RecordBatch.from_pylist(rows, schema=SENT)
-                rows, held = [], 0
-        if rows:
+#: What rows of entries are: first places, lost spans, open segments, marks of hot grams.
+FIRST, LOST, OPEN, MARK = range(4)
+
+SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("entries", pa.binary())])
+
+
+def _dealt(parts: int, kind: int, e: dict[str, np.ndarray], by: str) -> Iterator[pa.RecordBatch]:
+    """Rows to send, dealt by the field ``by``."""
+    if not len(e["code"]):
+        return
+    target = ((e[by].astype(np.uint64) * _ODD[15]) >> _32) % np.uint64(parts)
+    order = np.argsort(target, kind="stable")
+    e, target = take(e, order), target[order]
+    cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True])
+    rows, held = [], 0
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        rows.append({"part": int(target[a]), "kind": kind, "entries": _packed(take(e, slice(a, z)))})
+        held += z - a
+        if held > SENT_AT_ONCE:
             yield pa.RecordBatch.from_pylist(rows, schema=SENT)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=SENT)
+
+
+def _per_gram(e: dict[str, np.ndarray]) -> np.ndarray:
+    """For each entry, how many have its gram."""
+    back, counts = np.unique(e["gram"], return_inverse=True, return_counts=True)[1:]
+    return counts[back]
 
 
 def _united(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -246,7 +295,7 @@ def _united(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def _spans(told: DataFrame, gone: bool) -> DataFrame:
+def _spans(told: DataFrame, kind: int) -> DataFrame:
     """(t_doc, t_sub, spans): one row per document with its (first byte, size) pairs."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,8 +309,8 @@ def _spans(told: DataFrame, gone: bool) -> DataFrame:
             packed = [spans[a:z].tobytes() for a, z in zip(own[:-1].tolist(), own[1:].tolist())]
             yield pa.record_batch([pa.array(doc[own[:-1]]), pa.array(sub[own[:-1]]), pa.array(packed, pa.binary())], ["t_doc", "t_sub", "spans"])
 
-    rows = told.where("gone" if gone else "not gone").select("part", "entries")
-    return map_rows(rows.repartitionById(_parts(told), "part"), gather, "t_doc long, t_sub long, spans binary")
+    rows = told.where(F.col("kind") == kind).select("part", "entries")
+    return map_rows(rows.repartitionById(_parts(told), "part"), gather, "t_doc long, t_sub int, spans binary")
 
 
 def _parts(df: DataFrame) -> int:
@@ -270,35 +319,53 @@ def _parts(df: DataFrame) -> int:
 
 def _rounds(rows: DataFrame, batches_of: Callable[[pa.RecordBatch], Iterator[dict]], by: str, leave_open: bool) -> DataFrame:
     """Puts the entries that a kernel draws from ``rows`` through a family per task and
-    then one per part: (part, gone, entries) of what is lost and, if ``leave_open``, of
+    then one per part: (part, kind, entries) of what is lost and, if ``leave_open``, of
     first places whose gram has several, dealt by document."""
     parts = _parts(rows)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(family: Family, lost: list) -> Iterator[pa.RecordBatch]:
+            firsts = family.all()
+            if leave_open:
+                hot = _per_gram(firsts) >= HOT
+                opened = take(firsts, hot)
+                yield from _dealt(parts, OPEN, opened, "doc")
+                yield from _dealt(parts, MARK, take(opened, np.unique(opened["gram"], return_index=True)[1]), "gram")
+                firsts = take(firsts, ~hot)
+            yield from _dealt(parts, FIRST, firsts, by)
+            yield from _dealt(parts, LOST, _united(concat(lost)), "doc")
+
         family, lost, n_lost = Family(), [], 0
         for b in batches:
             for e in batches_of(b):
                 lost.append(family.add(e))
                 n_lost += len(lost[-1]["code"])
                 if len(family) + n_lost > FAMILY:
-                    yield from _dealt(parts, family.all(), _united(concat(lost)), by)
+                    yield from send(family, lost)
                     family, lost, n_lost = Family(), [], 0
-        yield from _dealt(parts, family.all(), _united(concat(lost)), by)
+        yield from send(family, lost)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, lost = Family(), []
+        family, lost, marks = Family(), [], []
         for b in batches:
-            for gone, data in zip(b.column("gone").to_pylist(), b.column("entries")):
+            for kind, data in zip(b.column("kind").to_pylist(), b.column("entries")):
                 e = _unpacked(data.as_py())
-                lost.append(e if gone else family.add(e))
-        yield from _dealt(parts, concat([]), _united(concat(lost)), by)
+                if kind == FIRST:
+                    lost.append(family.add(e))
+                elif kind == LOST:
+                    lost.append(e)
+                elif kind == MARK:
+                    marks.append(np.unique(e["gram"]))
+                else:
+                    yield from _dealt(parts, OPEN, e, "doc")
+        yield from _dealt(parts, LOST, _united(concat(lost)), "doc")
         if leave_open:
-            reps = family.all()
-            kinds, back, counts = np.unique(reps["gram"], return_inverse=True, return_counts=True)
-            yield from _dealt(parts, take(reps, counts[back] > 1), concat([]), "doc")
+            firsts = family.all()
+            hot = np.isin(firsts["gram"], np.concatenate(marks)) if marks else False
+            yield from _dealt(parts, OPEN, take(firsts, (_per_gram(firsts) > 1) | hot), "doc")
 
-    sent = map_rows(rows, own, "part int, gone boolean, entries binary").repartitionById(parts, "part")
-    return map_rows(sent, meet, "part int, gone boolean, entries binary")
+    sent = map_rows(rows, own, "part int, kind int, entries binary").repartitionById(parts, "part")
+    return map_rows(sent, meet, "part int, kind int, entries binary")
 
 
 def _segment_batches(b: pa.RecordBatch) -> Iterator[dict]:
@@ -310,10 +377,10 @@ def _segment_batches(b: pa.RecordBatch) -> Iterator[dict]:
             return
         sizes = np.array([len(x) for x in data])
         ends = np.cumsum(sizes)
-        gram, code, low, size = segments(np.frombuffer(b"".join(data), np.uint8), ends)
+        gram, code, more, low, size = segments(np.frombuffer(b"".join(data), np.uint8), ends)
         which = np.searchsorted(ends, low, "right")
         row, offset = (np.array(x)[which] for x in zip(*owners))
-        yield entries(code=code, doc=docs[row], sub=subs[row], low=low - (ends - sizes)[which] + offset, size=size, gram=gram)
+        yield entries(code=code, more=more, doc=docs[row], sub=subs[row], low=low - (ends - sizes)[which] + offset, size=size, gram=gram)
 
     for row, value in enumerate(b.column("data")):
         text = value.as_py() or b""
@@ -342,8 +409,8 @@ def _window_batches(b: pa.RecordBatch) -> Iterator[dict]:
             count = size - LENGTH + 1
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             start = np.repeat(base, count) + step
-            code = range_codes(x64, start, np.full(len(start), LENGTH), np.zeros(len(start), np.int64))
-            yield entries(code=code, doc=doc, sub=sub, low=np.repeat(low, count) + step, size=LENGTH, gram=0)
+            code, more = range_codes(x64, start, np.full(len(start), LENGTH), np.zeros(len(start), np.int64))
+            yield entries(code=code, more=more, doc=doc, sub=sub, low=np.repeat(low, count) + step, size=LENGTH, gram=0)
 
 
 def _with_spans(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -360,14 +427,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"),
-        F.xxhash64(F.col(text_col)).alias("sub"),
+        F.hash(F.xxhash64(F.col(text_col))).alias("sub"),
         data.alias("data"),
     )
     long = rows.select("doc", "sub", "data")
     told = written(_rounds(long, _segment_batches, "gram", True), "suffix-segments")
-    open_rows = _with_spans(long, _spans(told, False), "inner")
+    open_rows = _with_spans(long, _spans(told, OPEN), "inner")
     edges = written(_rounds(open_rows, _window_batches, "code", False), "suffix-windows")
-    gone = _spans(told.unionAll(edges), True)
+    gone = _spans(told.unionAll(edges), LOST)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -53,6 +53,20 @@ def test_suffix_dedup_is_exact(spark, monkeypatch):
         assert found == want
 
 
+def test_short_passage_in_every_document(spark):
+    """A line of 70 bytes among unlike texts: one gram, a segment for each document."""
+    rng = random.Random(7)
+    line = "This line of seventy bytes stands in each and every document of them.."
+    assert len(line) == 70
+    new = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(60, 200)))
+    texts = [(i, new() + line + new()) for i in range(400)]
+    # Some have more than the line in common, over the edges of its segments.
+    texts += [(400 + i, new() + texts[i][1][40:-40] + new()) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert found == cut_by_hand(texts)
+
+
 def test_suffix_dedup_of_awkward_rows(spark):
     found = suffix_dedup.suffix_dedup(data.documents(spark)).collect()
     texts = dict(sorted((r[0], r[1] or "") for r in data.rows()))
@@ -67,14 +81,14 @@ def test_family_keeps_the_earliest():
     family, lost, all_ = suffix_dedup.Family(), 0, []
     for _ in range(40):
         n = int(rng.integers(1, 50))
-        e = suffix_dedup.entries(code=rng.integers(0, 300, n), doc=rng.integers(0, 1000, n), sub=0, low=rng.integers(0, 9, n), size=100, gram=0)
-        all_ += list(zip(e["code"].tolist(), e["doc"].tolist(), e["low"].tolist()))
+        e = suffix_dedup.entries(code=rng.integers(0, 30, n), more=rng.integers(0, 10, n), doc=rng.integers(0, 1000, n), sub=0, low=rng.integers(0, 9, n), size=100, gram=0)
+        all_ += list(zip((30 * e["more"] + e["code"]).tolist(), e["doc"].tolist(), e["low"].tolist()))
         lost += len(family.add(e)["code"])
     least = {}
     for code, *place in all_:
         least[code] = min(least.get(code, place), place)
     kept = family.all()
-    assert {c: [d, low] for c, d, low in zip(kept["code"].tolist(), kept["doc"].tolist(), kept["low"].tolist())} == least
+    assert {c: [d, low] for c, d, low in zip((30 * kept["more"] + kept["code"]).tolist(), kept["doc"].tolist(), kept["low"].tolist())} == least
     sizes = [len(x["code"]) for x in family.levels]
     assert all(a > b for a, b in zip(sizes, sizes[1:]))
 
