@@ -235,8 +235,8 @@ def predict(data: bytes, step: Step) -> tuple[bytes, list[Fault]]:
     """Undoes a predictor: 2 is TIFF's (8 bits only), any other above 1 PNG's."""
     if step.predictor <= 1:
         return data, []
-    if step.colors < 1 or step.columns < 1 or step.bits not in (1, 2, 4, 8, 16):
-        return data, [failed("the predictor's parameters are out of range")]
+    # What no parameter can be is read as the nearest that can, or as the default.
+    step = step._replace(colors=min(max(step.colors, 1), 32), columns=max(step.columns, 1), bits=step.bits if step.bits in (1, 2, 4, 8, 16) else 8)
     unit = max(1, step.colors * step.bits // 8)
     row = (step.colors * step.bits * step.columns + 7) // 8
     if step.predictor == 2:

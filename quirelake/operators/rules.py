@@ -214,15 +214,56 @@ PROFILE: tuple[tuple[str, str, Rule], ...] = (
 
 RULES: dict[str, tuple[int, str, Rule]] = {rule_id: (k, severity, rule) for k, (rule_id, severity, rule) in enumerate(PROFILE)}
 
-#: What to do about a finding of each family.
+#: What to do about a finding of each rule.
 REMEDIES = {
-    "file": "write the file anew with a header, a trailer and an end that say where its parts are",
-    "xref": "rebuild the cross-reference sections from the objects",
-    "object": "correct the object, or what refers to it",
-    "page-tree": "rebuild the page tree from its pages",
+    "file.header-missing": "write a header line with the version at the first byte",
+    "file.header-offset": "cut what stands before the header, and correct the offsets",
+    "file.header-version-invalid": "name a version that exists in the header",
+    "file.eof-missing": "end the file with its end marker",
+    "file.startxref-missing": "write the offset of the newest section before the end marker",
+    "file.startxref-wrong": "give the offset at which the newest section begins",
+    "file.trailer-missing": "write a trailer dictionary after the table",
+    "file.trailer-malformed": "write the trailer as one dictionary",
+    "file.root-invalid": "let the trailer's /Root lead to the catalog",
+    "file.size-wrong": "set /Size to one more than the highest object number",
+    "file.trailer-value-wrong": "write the trailer's numbers directly, as integers",
+    "xref.section-malformed": "write the section's rows anew, whole and in their form",
+    "xref.entry-type-reserved": "use row types that are defined",
+    "xref.section-not-found": "let /Prev give the offset of the section before, or leave it out",
+    "xref.section-shifted": "give the offset at which the section begins",
+    "xref.section-unconfirmed": "give the offset of the section, which only a comment shows now",
+    "xref.subsection-missing": "begin the table with a subsection's first number and count",
+    "xref.chain-loop": "let the oldest section name none before it",
+    "xref.chain-empty": "list the objects in the sections",
+    "xref.hybrid-stream-wrong": "let /XRefStm lead to the stream of the same revision",
+    "xref.entry-broken": "give the object's offset or place, or mark the row as free",
+    "xref.entry-shifted": "give the offset or place at which the object stands",
+    "xref.entry-unconfirmed": "check which object the row means, and give its offset",
+    "xref.generation-mismatch": "give one generation in the row and at the object",
+    "xref.object-stream-circular": "take out of the object stream what it needs to be decoded",
+    "xref.object-stream-broken": "write the object stream anew, or its objects directly",
+    "xref.object-stream-value-wrong": "write the object stream's numbers as integers",
+    "xref.offset-imprecise": "let offsets point at the first byte of what they name",
+    "xref.object-past-size": "raise /Size above all object numbers in use",
+    "xref.checked-in-part": "raise the bound that was reached, and check again",
+    "object.reference-missing": "add the object, or remove the reference",
+    "object.endobj-missing": "end the object with its keyword",
+    "object.name-null-character": "take the null character out of the name",
+    "object.key-missing": "add the key that this type of object must have",
+    "object.value-type-wrong": "write the value as one of the types that the key takes",
+    "object.type-value-wrong": "name the type that this object is used as",
+    "object.key-deprecated": "leave the key out, or declare an older version",
+    "page-tree.cycle": "list every node below one parent alone",
+    "page-tree.node-repeated": "list the node once",
+    "page-tree.kids-missing": "give the node an array of /Kids",
+    "page-tree.kid-invalid": "list pages and nodes alone",
+    "page-tree.count-mismatch": "set /Count to the number of pages below",
+    "page-tree.parent-wrong": "let /Parent lead to the node that lists this one",
+    "page-tree.mediabox-invalid": "give the page, or a node above it, a box of four numbers",
+    "page-tree.resources-missing": "give the page, or a node above it, a /Resources dictionary",
+    "page-tree.page-orphaned": "list the page in the tree, or remove it",
 }
 
-
 #: The relations that the rules of each family read.
 READS = {
     "file": ("structure", "sections", "xref_entries"),
@@ -254,7 +295,7 @@ def findings(tables: Tables, only: list[str] | None = None) -> DataFrame:
                 "position",
                 "page_index",
                 F.concat_ws(": ", F.lit(rule_id), F.nullif(F.col("detail"), F.lit(""))).alias("message"),
-                F.lit(REMEDIES[rule_id.split(".")[0]]).alias("remedy"),
+                F.lit(REMEDIES[rule_id]).alias("remedy"),
             )
         )
     return reduce(DataFrame.unionByName, parts)

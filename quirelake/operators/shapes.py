@@ -54,11 +54,13 @@ ACCEPTS = {
     "null": {"null"},
 }
 
-#: Weights of a candidate type's evidence.
-DISCRIMINATES, MISMATCHES, VALUE, NO_VALUE, LACKS = 80, -40, 4, -3, -6
+#: Weights of a candidate type's evidence.
+DISCRIMINATES, MISMATCHES, FIRST, NOT_FIRST, VALUE, NO_VALUE, LACKS = 80, -40, 60, -20, 4, -3, -6
+
+#: Keys that tell types apart.
 DISCRIMINATORS = frozenset({"Type", "Subtype", "S", "FunctionType", "ShadingType", "PatternType", "HalftoneType", "FT", "TransformMethod", "CFM"})
 
-#: Rows on which a rule of the page tree speaks instead: (type, key) -> silent rules.
+#: Rows on which a rule of the page tree speaks instead: (type, key) -> silent rules.
 SILENT = {
     ("PageObject", "MediaBox"): {"object.key-missing", "object.value-type-wrong"},
     ("PageTreeNode", "MediaBox"): {"object.value-type-wrong"},
@@ -73,6 +75,9 @@ SILENT = {
     ("ArrayOfPageTreeNodeKids", "*"): {"object.value-type-wrong"},
 }
 
+#: Keys whose values a filter of the same stream types.
+PARAMETERS = frozenset({"DecodeParms", "FDecodeParms"})
+
 #: Keys that point back up the graph: checked, not followed.
 BACK = frozenset({"Parent"})
 
@@ -268,8 +273,12 @@ def type_of(file: PdfFile, value: object, candidates: list[str], model: Model, v
         return fits[0] if fits else None
     d = as_dictionary(value) or {}
     scored = []
+    first = file.resolve(value[0]) if arrays and value else None
     for name in fits:
         score = 0
+        own = model[name].get("0")
+        if own is not None and own.values and isinstance(first, Name):
+            score += FIRST if first in own.values else NOT_FIRST
         for row in model[name].values():
             own = file.resolve(d.get(row.key))
             if row.values and isinstance(own, Name):
@@ -283,6 +292,41 @@ def type_of(file: PdfFile, value: object, candidates: list[str], model: Model, v
     return top[0] if len(top) == 1 else None
 
 
+def by_filter(file: PdfFile, holder: dict, key: str, at: int | None, candidates: list[str]) -> list[str] | None:
+    """Of the candidates for ``/DecodeParms`` (or the one at a place of its array), what the
+    filter at that place names; None if no filter stands there or it names none."""
+    filters = file.resolve(holder.get("FFilter" if key == "FDecodeParms" else "Filter"))
+    if isinstance(filters, list):
+        place = at if at is not None else 0 if len(filters) == 1 else len(filters)
+        own = file.resolve(filters[place]) if place < len(filters) else None
+    else:
+        own = filters if not at else None
+    named = [c for c in candidates if isinstance(own, Name) and c == "Filter" + own]
+    return named or None
+
+
+def elements(rows: dict[str, Row], values: list, file: PdfFile) -> list[tuple[str, Row | None, object]]:
+    """(place, row, value) of an array: rows for a place, then a group of rows that repeats
+    (``n*``), of which one that is optional and does not accept a value is passed over, else
+    ``*``."""
+    fixed = sum(k.isdigit() for k in rows)
+    group = [r for k, r in rows.items() if k[:-1].isdigit() and k.endswith("*")]
+    out, member = [], 0
+    for place, raw in enumerate(values):
+        row = rows.get(str(place), rows.get("*"))
+        if group and place >= fixed:
+            got = file.resolve(raw)
+            unknown = got is None and isinstance(raw, Ref)
+            fits = [unknown or any(kind_of(got) in ACCEPTS[t] for t in r.types) for r in group]
+            for _ in group:
+                if fits[member] or group[member].required:
+                    break
+                member = (member + 1) % len(group)
+            row, member = group[member], (member + 1) % len(group)
+        out.append((str(place), row, raw))
+    return out
+
+
 def check(file: PdfFile, model: Model) -> list[tuple[str, str, str, int, int | None, str]]:
     """(rule, type, key, object, page index, detail) of every breach, in walk order."""
     version = version_code(file.declared_version())
@@ -319,8 +363,7 @@ def check(file: PdfFile, model: Model) -> list[tuple[str, str, str, int, int | N
                 out.append((rule, name, key, holder, page_index.get(holder), detail))
 
         if isinstance(value, list):
-            star = rows.get("*")
-            items = [(str(k), rows.get(str(k), star), x) for k, x in enumerate(value)]
+            items = elements(rows, value, file)
             missing = [r for r in rows.values() if r.key.isdigit() and int(r.key) >= len(value)]
         else:
             d = as_dictionary(value)
@@ -345,7 +388,15 @@ def check(file: PdfFile, model: Model) -> list[tuple[str, str, str, int, int | N
             if row.key in ("Type", "Subtype") and row.values and isinstance(got, Name) and got not in row.values:
                 breach("object.type-value-wrong", row.key, str(got))
             if row.key not in BACK:
-                follow(raw, [n for t, names in row.links.items() if kind in ACCEPTS.get(t, ()) for n in names], holder)
+                links = [n for t, names in row.links.items() if kind in ACCEPTS.get(t, ()) for n in names]
+                if row.key in PARAMETERS and isinstance(got, dict):
+                    links = by_filter(file, as_dictionary(value), row.key, None, links) or []
+                elif row.key in PARAMETERS and isinstance(got, list):
+                    for at, x in enumerate(got):
+                        own = [n for c in links for r in model.get(c, {}).values() for names in r.links.values() for n in names]
+                        follow(x, by_filter(file, as_dictionary(value), row.key, at, own) or [], holder)
+                    continue
+                follow(raw, links, holder)
     return out
 
 

@@ -41,6 +41,7 @@ SCHEMAS = {
     "pages": "page_index int, obj long, parent long, mediabox array<double>, has_resources boolean, path array<int>",
     "tree_faults": "seq int, rule_id string, severity string, obj long, page_index int, detail string",
     "diagnostics": "seq long, severity string, code string, message string, position long",
+    "codes": "severity string, code string, n long",
     "kinds": "kind string, n int",
     "breaches": "seq int, rule_id string, type string, key string, obj long, page_index int, detail string",
 }
@@ -129,7 +130,7 @@ def reach(f: PdfFile) -> dict[int, int]:
 
 
 #: Relations that every object must be read for.
-OF_OBJECTS = {"objects", "nodes", "streams", "diagnostics", "containers", "members", "kinds", "breaches"}
+OF_OBJECTS = {"objects", "nodes", "streams", "diagnostics", "codes", "containers", "members", "kinds", "breaches"}
 
 
 def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits(), holders: tuple[int, ...] | None = None, model: dict | None = None) -> dict:
@@ -180,7 +181,7 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits(), holde
     if "trailers" in want:
         keep = ("ord", "path", "parent_path", "key", "kind", "i", "d", "name", "ref_obj", "ref_gen")
         out["trailers"] = [{"section": x.ordinal} | {k: row[k] for k in keep} for x in f.sections for row in (node_row(*n) for n in _walk(0, x.trailer))]
-    if "streams" in want or "diagnostics" in want:
+    if want & {"streams", "diagnostics", "codes"}:
         rows = []
         for n in sorted(f.objects):
             if isinstance(f.objects[n], Stream):
@@ -192,6 +193,8 @@ def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits(), holde
         out["structure"] = structure_of(f) | {"tree_whole": walk is None or walk.whole, "page_count": 0 if walk is None else len(walk.pages)}
     if "diagnostics" in want:
         out["diagnostics"] = [{"seq": k, "severity": s, "code": c, "message": m, "position": p} for k, (s, c, m, p) in enumerate(f.diagnostics)]
+    if "codes" in want:  # beyond the bound on diagnostics too
+        out["codes"] = [{"severity": s, "code": c, "n": n} for (s, c), n in sorted(f.codes.items())]
     return {k: out[k] for k in out if k in want}
 
 

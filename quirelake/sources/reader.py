@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 
 from quirelake.functions import filters
@@ -29,6 +30,11 @@ _VERSION = re.compile(rb"(\d\.\d)(?=[\x00\t\n\x0c\r %]|\Z)")
 #: How far from a named offset an object or section is still looked for.
 NEAR = 512
 
+#: Searches for the end of streams read the file so often at most; past that
+#: a search goes no further than this many bytes.
+SEARCH_PASSES = 4
+SEARCH_HELD = 64 << 10
+
 #: Bytes of head and tail in which header and startxref are looked for.
 ENDS = 4096
 
@@ -94,6 +100,7 @@ class PdfFile:
         self.data, self.limits = data, limits
         self.diagnostics: list[tuple[str, str, str, int]] = []
         self.suppressed = 0
+        self.codes: Counter[tuple[str, str]] = Counter()  # of all that is reported, kept or not
         self.header_pos: int | None = None
         self.header_version: str | None = None
         self.base = 0
@@ -120,10 +127,13 @@ class PdfFile:
         self._headers: list[tuple[int, int, int]] | None = None
         self._cut: set[int] = set()  # where objects begin that a bound cut short
         self._decodes: dict[int, int] = {}
+        self._searched = 0
+        self._last_header: dict[int, int] | None = None
 
     # -- diagnostics ---------------------------------------------------------------
 
     def report(self, severity: str, code: str, message: str, position: int = -1) -> None:
+        self.codes[severity, code] += 1
         if len(self.diagnostics) < self.limits.diagnostics:
             self.diagnostics.append((severity, code, message, position))
         else:
@@ -532,8 +542,10 @@ class PdfFile:
             if self.index:
                 length = self.resolve(length)
             else:  # no index yet: the last header of that number in the file
-                hits = [m for m in HEADER.finditer(self.data) if int(m[1]) == length.number]
-                length = Parser(self.data, hits[-1].end()).value() if hits else None
+                if self._last_header is None:
+                    self._last_header = {int(m[1]): m.end() for m in HEADER.finditer(self.data)}
+                at = self._last_header.get(length.number)
+                length = Parser(self.data, at).value() if at is not None else None
         return as_integer(length)
 
     def _stop(self, start: int) -> int:
@@ -546,6 +558,15 @@ class PdfFile:
         m = HEADER.search(self.data, start, placed)
         return m.start() if m else placed
 
+    def _find_end(self, start: int, stop: int) -> int:
+        """The next ``endstream``, or -1. What all searches of the file may read is bounded:
+        else a file of many streams without an end takes the square of its length."""
+        if self._searched >= SEARCH_PASSES * len(self.data):
+            stop = min(stop, start + SEARCH_HELD)
+        at = self.data.find(b"endstream", start, stop)
+        self._searched += (at if at >= 0 else stop) - start
+        return at
+
     def _stream(self, entries: dict, start: int, number: int | None) -> tuple[Stream, int]:
         tell = self.report if number is not None else _silent
         declared = self._declared(entries)
@@ -555,10 +576,10 @@ class PdfFile:
             if m:
                 return Stream(entries, start, declared), m.end()
         stop = self._stop(start)
-        end = self.data.find(b"endstream", start, stop)
+        end = self._find_end(start, stop)
         if end < 0 and stop < len(self.data):
             # A header inside the data is no stop if no object ends before it.
-            later = self.data.find(b"endstream", start)
+            later = self._find_end(start, len(self.data))
             if later >= 0 and b"endobj" not in self.data[start:later] and stop not in (self._offsets or ()):
                 end = later
         if end >= 0:
@@ -692,7 +713,7 @@ class PdfFile:
         scanned = self._scan()
         self._headers = [(m.start() - self.base, int(m[1]), int(m[2])) for m, _ in scanned]
         self.objects, self.facts, self.members = {}, {}, {}
-        index: dict[int, Entry] = {}
+        chain, index = self.index, {}
         again = 0
         containers: list[tuple[int, int]] = []
         trailers: list[tuple[int, dict]] = []
@@ -715,6 +736,14 @@ class PdfFile:
                     continue
                 again += old is not None
                 index[member] = Entry(member, "compressed", objstm=number, idx=k, found=True)
+        if self.chain_read and self.chain_cut:
+            # A bound cut the chain, not the file: its entries hold where the scan found none.
+            for number, e in chain.items():
+                if e.kind != "free" and number not in index:
+                    if len(index) >= self.limits.index_entries:
+                        self.report("Warning", "limit.index-entries", "the index is full")
+                        break
+                    index[number] = e
         if again:
             self.report("Information", "object.redefined", f"{again} objects are defined again later in the file")
         for m in re.finditer(rb"(?<!" + _R + rb")trailer(?!" + _R + rb")", self.data):

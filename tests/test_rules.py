@@ -6,6 +6,7 @@ from quirelake.operators import joins, page_tree, rules, shapes
 from quirelake.operators.tables import PARTS, Tables, parse, tables_of
 from quirelake.plans import queries
 from quirelake.sources import builder as B
+from quirelake.sources.reader import Limits, PdfFile
 from quirelake.sources import files
 
 BODIES = B.page_bodies(3, info=b"<< /Title (x) >>")
@@ -128,6 +129,73 @@ def test_shapes_choose_by_subtype(spark):
     assert found == [("object.key-missing", "FontTrueType", "BaseFont"), ("object.value-type-wrong", "FontType1", "FirstChar")]
 
 
+def test_codes_past_the_bound_are_counted(spark):
+    df = spark.createDataFrame([(1, B.damaged(CASES["sound"][0], "junk-prefix"))], "doc_id long, content binary")
+    t = Tables(parse(df, "codes", "diagnostics", limits=Limits(diagnostics=0)))
+    assert t.diagnostics.count() == 0
+    assert {(r.severity, r.code) for r in t.codes.collect()} >= {("Repair", "xref.offset-adjusted")}
+
+
+def test_bounded_chain_is_merged_into_the_rebuilt_index():
+    """A chain that a bound cut keeps its entries where the scan finds no object."""
+    data = B.build({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [] /Count 0 >>", 3: b"3"}, index="table")
+    for _ in range(3):
+        data = B.update(data, {3: b"4"})
+    whole, cut = PdfFile(data).open(), PdfFile(data, Limits(sections=1)).open()
+    assert set(whole.index) >= {1, 2, 3} and cut.chain_cut
+    cut._rebuild("asked for")
+    found = set(cut.index)
+    kept = PdfFile(data, Limits(sections=1)).open()
+    kept.was_repaired = False
+    kept.index[9] = type(kept.index[3])(9, "regular", offset=7)
+    kept._rebuild("asked for")
+    assert set(kept.index) == found | {9}
+
+
+def test_searches_for_ends_are_bounded():
+    """Streams without an end: what all searches read is a few times the file."""
+    n = 400
+    body = b"<< /Length 9999999 >>\nstream\n" + b"x" * 400
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % (k + 1) + body + b"\n" for k in range(n)) + b"trailer << /Root 1 0 R >>\n"
+    f = PdfFile(data).open().load_all()
+    assert f._searched <= 5 * len(data) + 3 * n * (64 << 10)  # the scan and the loading search apart
+
+
+def test_every_rule_has_its_own_remedy():
+    assert list(rules.REMEDIES) == list(rules.RULES) and len(set(rules.REMEDIES.values())) == 46
+
+
+def test_shapes_of_parameters_and_repeating_rows():
+    """Parameters typed by their filter, repeating groups with a member left out, the first
+    element that tells arrays apart."""
+    r = shapes.Row
+    model = {
+        "Catalog": {"S": r("S", ["stream"], links={"stream": ["Data"]}), "G": r("G", ["array"], links={"array": ["GroupArray"]}), "C": r("C", ["array"], links={"array": ["ArrayOfA", "ArrayOfB"]})},
+        "Data": {"DecodeParms": r("DecodeParms", ["dictionary", "array"], links={"dictionary": ["FilterFlateDecode", "FilterLZWDecode"], "array": ["ArrayOfDecodeParams"]})},
+        "ArrayOfDecodeParams": {"*": r("*", ["dictionary"], links={"dictionary": ["FilterFlateDecode", "FilterLZWDecode"]})},
+        "FilterFlateDecode": {"Columns": r("Columns", ["integer"])},
+        "FilterLZWDecode": {"Columns": r("Columns", ["name"])},
+        "GroupArray": {"0": r("0", ["name"]), "1*": r("1*", ["integer"]), "2*": r("2*", ["name"])},
+        "ArrayOfA": {"0": r("0", ["name"], values=["A"]), "1": r("1", ["integer"])},
+        "ArrayOfB": {"0": r("0", ["name"], values=["B"]), "1": r("1", ["name"])},
+        "DocInfo": {},
+    }
+
+    def found(catalog: bytes, parms: bytes = b"", filters: bytes = b"") -> list:
+        data = B.build({1: b"<< /Type /Catalog /Pages 2 0 R /S 3 0 R " + catalog + b" >>", 2: b"<< /Type /Pages /Kids [] /Count 0 >>", 3: b"<< /Length 1 " + filters + parms + b" >>\nstream\nx\nendstream"})
+        return [(rule, name, key) for rule, name, key, *_ in shapes.check(PdfFile(data).open(), model)]
+
+    wrong = [("object.value-type-wrong", "FilterLZWDecode", "Columns")]
+    assert found(b"", b"/DecodeParms << /Columns 4 >>", b"/Filter /FlateDecode ") == []
+    assert found(b"", b"/DecodeParms << /Columns 4 >>", b"/Filter /LZWDecode ") == wrong
+    assert found(b"", b"/DecodeParms << /Columns 4 >>", b"/Filter [/LZWDecode] ") == wrong
+    assert found(b"", b"/DecodeParms << /Columns 4 >>", b"/Filter [/FlateDecode /LZWDecode] ") == []
+    assert found(b"", b"/DecodeParms [null << /Columns 4 >>]", b"/Filter [/FlateDecode /LZWDecode] ") == wrong
+    assert found(b"/G [/X 1 /a 2 /b 3 4 /c]") == []
+    assert found(b"/G [/X 1 /a (s) /b]") == [("object.value-type-wrong", "GroupArray", "1*")]
+    assert found(b"/C [/B 5]") == [("object.value-type-wrong", "ArrayOfB", "1")]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(CASES["sound"][0])
     (tmp_path / "b.pdf").write_bytes(B.damaged(CASES["sound"][0], "junk-prefix"))

@@ -46,6 +46,14 @@ def test_corrupt_flate_keeps_all_before_the_fault():
     assert out == whole and faults and faults[0][1] == "Warning"
 
 
+def test_predictor_parameters_out_of_range_are_read_as_the_nearest():
+    rows = b"".join(b"\x01" + bytes(range(k, k + 8)) for k in range(5))
+    want = X.predict(rows, X.Step("FlateDecode", predictor=12, colors=1, bits=8, columns=8))
+    for step in ({"colors": 0, "columns": 8}, {"colors": -3, "bits": 7, "columns": 8}):
+        assert X.predict(rows, X.Step("FlateDecode", predictor=12, **step)) == want
+    assert X.predict(b"\x00a\x00b", X.Step("FlateDecode", predictor=12, columns=-1)) == (b"ab", [])
+
+
 def test_lzw():
     for early in (0, 1):
         assert run(encoders.lzw(DATA, early), "LZWDecode", early_change=early) == (DATA, [], False)
