@@ -531,6 +531,68 @@ query(
 )(_finding_query(_by_key(_section_damage), *XREF_RULES))
 
 
+def _rare_damage(key: int, b: B.Bodies) -> bytes:
+    k = key % 6
+    if k == 1:  # the older section stands in a comment
+        data = B.update(B.build(b), {3: b[3]}).replace(b"\nxref\n", b"\n%xref\n", 1)
+        return data.replace(b"trailer\n<<", b"trailer<<", 1)  # what follows keeps its offset
+    if k == 2:  # a chain that lists nothing
+        data = B.build(b)
+        at = data.index(b"xref\n")
+        return data[:at] + b"xref\n0 0\ntrailer\n<< /Size 9 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % at
+    if k == 3:
+        return B.build(b, trailer=b"/XRefStm 7 ")
+    if k == 4:  # two definitions near the offset, at neither
+        twice = b"null\nendobj\n5 0 obj\n<< /Type /Page /Parent 2 0 R >>"
+        hold = b"(" + b"x" * (len(twice) - 2) + b")"
+        return B.build({**b, 9: hold}, offset_error={5: 3}).replace(hold, twice)
+    if k == 5:  # more filters than a chain may have
+        return B.build({**b, 4: B.stream(b"q Q").replace(b"<< ", b"<< /Filter [%s] " % (b"/ASCIIHexDecode " * 70), 1)})
+    return B.build(b)
+
+
+query(
+    "rare_findings",
+    _expected({1: "xref.section-unconfirmed*1", 2: "xref.chain-empty*1", 3: "xref.hybrid-stream-wrong*1", 4: "xref.entry-unconfirmed*1", 5: "xref.checked-in-part*1"}, 6),
+)(_finding_query(_by_key(_rare_damage), *XREF_RULES))
+
+
+#: Damages of a page's content stream (object 4) or of a page (3), and the code each earns.
+CODE_DAMAGES: tuple[tuple[str, Callable[[B.Bodies], bytes]], ...] = (
+    ("stream.length-invalid", lambda b: B.build(b | {4: b[4].replace(b"/Length 3", b"/Length 1")})),
+    ("stream.truncated", lambda b: B.build(b | {4: b[4].replace(b"endstream", b"")})),
+    ("stream.self-reference", lambda b: B.build(b | {4: b[4].replace(b"/Length 3", b"/Length 4 0 R")})),
+    ("trailer.encrypt-invalid", lambda b: B.build(b, trailer=b"/Encrypt 77 0 R ")),
+    ("syntax.truncated-object", lambda b: B.build(b | {3: b[3].replace(b">>", b"/X [1 2 >>")})),
+    ("syntax.hex-string-invalid", lambda b: B.build(b | {3: b[3].replace(b">>", b"/X <4z> >>")})),
+    ("syntax.unexpected-token", lambda b: B.build(b | {3: b[3].replace(b">>", b"/X foo >>")})),
+    ("syntax.depth-exceeded", lambda b: B.build(b | {3: b[3].replace(b">>", b"/D %s %s >>" % (b"[" * 300, b"]" * 300))})),
+    ("filter.unsupported", lambda b: B.build(b | {4: b[4].replace(b"<< ", b"<< /Filter /Nope ", 1)})),
+    ("limit.filter-chain", lambda b: _rare_damage(5, b)),
+    ("xref.chain-cycle", lambda b: B.update(B.build(b), {3: b[3]}, loop=True)),
+    ("object.redefined", lambda b: B.damaged(B.update(B.build(b), {3: b[3]}), "no-startxref")),
+    ("xref.hybrid-stream-lost", lambda b: _rare_damage(3, b)),
+    ("xref.section-empty", lambda b: _section_damage(3, b)),
+    ("xref.section-unreadable", lambda b: _section_damage(2, b)),
+    ("xref.entry-reserved", lambda b: _section_damage(4, b)),
+)
+
+
+def _code_damage(key: int, b: B.Bodies) -> bytes:
+    return CODE_DAMAGES[key % len(CODE_DAMAGES)][1](b)
+
+
+@query(
+    "damage_codes",
+    f"SELECT c_custkey AS doc_id, code FROM customer JOIN (VALUES {', '.join(f'({k}, {code!r})' for k, (code, _) in enumerate(CODE_DAMAGES))}) v(r, code) ON c_custkey % {len(CODE_DAMAGES)} = r",
+)
+def damage_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each damage earns its code, counted beside what it brings along."""
+    t = Tables(parse(files_of(customers(spark, sf_dir), _by_key(_code_damage)), "codes"))
+    own = F.element_at(F.array(*(F.lit(code) for code, _ in CODE_DAMAGES)), (F.col("doc_id") % len(CODE_DAMAGES) + 1).cast("int"))
+    return t.codes.where(F.col("code") == own).select("doc_id", "code").distinct()
+
+
 def _tree_damage(key: int, b: B.Bodies) -> bytes:
     k = key % 10
     tree = b[2]
