@@ -196,10 +196,14 @@ def read(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), kernel, "doc_id long, pattern int, slots binary, vals binary")
 
 
-def training_rows(features: DataFrame, posterior: dict[int, float]) -> list:
-    """Soft labels and features of SAMPLE_ROWS documents at most."""
-    some = features.where(F.length("slots") > 0).orderBy(F.xxhash64("doc_id", "slots"), "doc_id", "slots", "vals").limit(SAMPLE_ROWS)
-    return [{"y": posterior[r.pattern], "slots": r.slots, "vals": r.vals} for r in some.select("pattern", "slots", "vals").collect()]
+def training_rows(features: DataFrame, n: int, posterior: dict[int, float]) -> list:
+    """Soft labels and features of SAMPLE_ROWS of the ``n`` documents at most. A share a
+    little smaller than that is drawn where the rows lie; nothing is sorted or gathered
+    but what is drawn, and a row that is repeated very often can't exceed the bound."""
+    share = int(min(1.0, 0.97 * SAMPLE_ROWS / max(n, 1)) * 1_000_000_000) if n > SAMPLE_ROWS else 1_000_000_000
+    drawn = F.pmod(F.xxhash64("doc_id", "slots", F.lit("quality")), F.lit(1_000_000_000)) < share
+    some = features.where((F.length("slots") > 0) & drawn).select("pattern", "slots", "vals").limit(SAMPLE_ROWS).collect()
+    return sorted(({"y": posterior[r.pattern], "slots": r.slots, "vals": r.vals} for r in some), key=lambda r: (r["slots"], r["vals"]))
 
 
 def quality_classifier(docs: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def quality_classifier(docs: DataFrame) -> DataFrame:
     features = written(read(docs), "quality-features")
     counts = {r.pattern: r.n for r in features.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior = expectation_maximisation(counts)["posterior"]
-    shared = docs.sparkSession.sparkContext.broadcast((posterior, fit_scorer(training_rows(features, posterior))))
+    shared = docs.sparkSession.sparkContext.broadcast((posterior, fit_scorer(training_rows(features, sum(counts.values()), posterior))))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, (weights, bias) = shared.value

@@ -81,6 +81,13 @@ def test_long_clean_texts_are_kept(spark):
     assert scores[1002] == 0 and scores[1001] >= 0.5
 
 
+def test_sample_is_bounded(spark):
+    labels = spark.range(5000).selectExpr("id % 3000 AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    rows = toxicity.sample(labels, "toxic", 1000).collect()
+    assert 850 <= len(rows) <= 1000 and len({r.id for r in rows}) == len(rows)
+    assert toxicity.sample(labels, "toxic", 3000).count() == 3000
+
+
 def test_fit_reads_long_texts_whole(spark):
     rng = random.Random(10)
     d = spark.createDataFrame([(1, " ".join(f"w{rng.randint(0, 10**6)}x." for _ in range(9000)))], "doc_id long, text string")
@@ -327,7 +334,7 @@ def test_em_equals_brute_force():
 def test_features_of_long_texts_all_count(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(1, " ".join(f"w{rng.randint(0, 9)}{'abcdefghij'[rng.randint(0, 9)] * rng.randint(1, 19)}{rng.choice('xyz')}{rng.choice('uvw')}." for _ in range(60_000)))], "doc_id long, text string")
-    (row,) = quality_classifier.training_rows(quality_classifier.read(docs), {p: 0.5 for p in range(3**7)})
+    (row,) = quality_classifier.training_rows(quality_classifier.read(docs), 1, {p: 0.5 for p in range(3**7)})
     words = docs.first().text.split()
     assert len(np.frombuffer(row["slots"], np.int32)) == len({s for w in words for s in quality_classifier.Features()[w]}) + 2
 
