@@ -26,6 +26,14 @@ _REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
 _NUMBER = re.compile(rb"([+-]*)(\d*)(?:(\.)(\d*))?\Z")
 _REST_OF_REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
 _HEADER_AHEAD = re.compile(rb"\d+[\x00\t\n\x0c\r ]+\d+[\x00\t\n\x0c\r ]+obj(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
+#: The plainest entries of a dictionary, and elements of an array, at one go: a name without
+#: escapes, a reference, a whole number. Whatever else there is goes token by token.
+_BLANK, _PLAIN = rb"[\x00\t\n\x0c\r ]", rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%#]"
+_END_OF_RUN = rb"(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])"
+_SIMPLE = rb"(?:(\d{1,9})" + _BLANK + rb"+(\d{1,4})" + _BLANK + rb"+R|(\d{1,18}))" + _END_OF_RUN
+_ENTRY = re.compile(_BLANK + rb"*/(" + _PLAIN + rb"*)" + _END_OF_RUN + _BLANK + rb"*(?:" + _SIMPLE + rb"|/(" + _PLAIN + rb"*)" + _END_OF_RUN + rb")")
+_ELEMENT = re.compile(_BLANK + rb"*" + _SIMPLE + rb"(?!" + _BLANK + rb"+\d+" + _BLANK + rb"+obj)")
+
 _STRING_STOP = re.compile(rb"[()\\\r]")
 _HEX_PAIR = re.compile(rb"#([0-9A-Fa-f]{2})")
 
@@ -279,6 +287,10 @@ class Parser:
             return self._pass_over()
         out: list = []
         while True:
+            while m := _ELEMENT.match(self.data, self.pos, self.stop):
+                number, generation, whole = m.groups()
+                out.append(int(whole) if whole is not None else Ref(int(number), int(generation)))
+                self.pos = m.end()
             if self._next_object():
                 self._cut_short("an array")
                 return out
@@ -302,6 +314,14 @@ class Parser:
         out: dict = {}
         given: set[str] = set()
         while True:
+            while m := _ENTRY.match(self.data, self.pos, self.stop):
+                raw, number, generation, whole, name = m.groups()
+                key = Name(raw.decode("latin-1"))
+                if key in given:
+                    break
+                given.add(key)
+                out[key] = int(whole) if whole is not None else Ref(int(number), int(generation)) if number is not None else Name(name.decode("latin-1"))
+                self.pos = m.end()
             if self._next_object():
                 self._cut_short("a dictionary")
                 return out

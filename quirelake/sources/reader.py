@@ -128,6 +128,7 @@ class PdfFile:
         self._cut: set[int] = set()  # where objects begin that a bound cut short
         self._decodes: dict[int, int] = {}
         self._searched = 0
+        self._places: dict[tuple[int, int], tuple[str, int, int]] = {}
         self._last_header: dict[int, int] | None = None
 
     # -- diagnostics ---------------------------------------------------------------
@@ -461,6 +462,12 @@ class PdfFile:
     def _place(self, number: int, e: Entry) -> tuple[str, int, int]:
         """Where the object of a regular entry begins: (AtOffset, Nearby or NotFound,
         position, generation written there)."""
+        known = self._places.get((number, e.offset))
+        if known is None:
+            known = self._places[number, e.offset] = self._look(number, e)
+        return known
+
+    def _look(self, number: int, e: Entry) -> tuple[str, int, int]:
         at = self.base + e.offset
         if 0 <= at < len(self.data):
             m = HEADER.match(self.data, _SPACE.match(self.data, at).end())

@@ -1,5 +1,6 @@
 """Lexing, numbers, strings, names, values and their tolerance."""
 
+import re
 import math
 
 import pytest
@@ -137,3 +138,28 @@ def test_written_texts_and_names_read_back(text):
     text = text.encode("utf-8", "ignore").decode()
     assert read(text_string(text))[0].text() == text
     assert str(read(name(text))[0]).encode("latin-1").decode("utf-8") == text
+
+
+PIECES = [b"/A", b"/A5", b"/A#42", b"/", b"/B", b"1", b"007", b"12345678901234567890", b"0", b"70000", b"R", b"R2", b"obj", b"endobj", b"true", b"null", b"foo", b"-4", b"+.5", b"(s)", b"<41>", b"[", b"]", b"<<", b">>", b"%c\n", b" ", b" ", b" ", b"\n", b"\x00", b"#"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=24), st.sampled_from([b"<<", b"["]), st.integers(0, 60))
+def test_plain_entries_are_read_as_token_by_token(pieces, opening, cut):
+    """Values, warnings and where reading ends are those without the short cut."""
+    data = opening + b"".join(pieces)
+    never = re.compile(rb"(?!)")
+
+    def read(stop):
+        told = []
+        p = S.Parser(data, 0, stop, lambda *x: told.append(x))
+        return repr(p.value()), p.pos, p.truncated, told
+
+    for stop in (None, min(cut, len(data))):
+        short = read(stop)
+        entry, element = S._ENTRY, S._ELEMENT
+        S._ENTRY = S._ELEMENT = never
+        try:
+            assert short == read(stop)
+        finally:
+            S._ENTRY, S._ELEMENT = entry, element
