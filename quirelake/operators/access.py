@@ -44,13 +44,32 @@ def of_type(objects: DataFrame, type_name: str, subtype: str | None = None) -> D
     return found if subtype is None else found.where(F.col("subtype") == subtype)
 
 
-def presence(refs: DataFrame, index: DataFrame, objects: DataFrame) -> DataFrame:
+def presence(refs: DataFrame, index: DataFrame, objects: DataFrame, structure: DataFrame | None = None) -> DataFrame:
     """References with what their target is: defined, unproduced (indexed but not to be
-    had) or missing."""
+    had), missing; and with ``structure`` unindexed, where a bound cut the chain of sections
+    and the index may not hold what the file does."""
     there = index.where("kind <> 'free' and obj > 0").selectExpr("doc_id", "obj AS dst", "true AS indexed")
     known = objects.selectExpr("doc_id", "obj AS dst", "presence")
     out = refs.join(there, ["doc_id", "dst"], "left").join(known, ["doc_id", "dst"], "left")
-    return out.withColumn("presence", F.when(F.col("indexed").isNull(), "missing").otherwise(F.coalesce("presence", F.lit("unproduced")))).drop("indexed")
+    absent = F.lit("missing")
+    if structure is not None:
+        out = out.join(structure.select("doc_id", "chain_cut"), "doc_id", "left")
+        absent = F.when(F.col("chain_cut"), "unindexed").otherwise(absent)
+    told = F.when(F.col("indexed").isNull(), absent).otherwise(F.coalesce("presence", F.lit("unproduced")))
+    return out.withColumn("presence", told).drop("indexed", "chain_cut")
+
+
+def raw_bytes(files: DataFrame, objects: DataFrame, structure: DataFrame) -> DataFrame:
+    """(doc_id, obj, raw): the bytes of each stream as they stand in its file."""
+    places = objects.where("data_offset IS NOT NULL").select("doc_id", "obj", "data_offset", "raw_length")
+    base = structure.select("doc_id", F.coalesce("header_pos", F.lit(0)).alias("base"))
+    rows = places.join(base, "doc_id").join(files.select("doc_id", "content"), "doc_id")
+    return rows.select("doc_id", "obj", F.expr("substring(content, CAST(base + data_offset + 1 AS INT), CAST(raw_length AS INT))").alias("raw"))
+
+
+def merged_runs(left: Column | str, right: Column | str) -> Column:
+    """Two sorted arrays of offsets as one, each offset once."""
+    return F.array_sort(F.array_union(left, right))
 
 
 def has_image_filter(streams: DataFrame) -> DataFrame:

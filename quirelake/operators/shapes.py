@@ -258,6 +258,21 @@ def model_rows(model: Model) -> list[tuple]:
     ]
 
 
+def discriminators(model: Model, candidates: list[str]) -> dict[str, dict[str, list[str]]]:
+    """What tells candidate types apart: for each key whose values differ between them, the
+    types that each value speaks for. Keys that tell types apart by rule come first."""
+    out: dict[str, dict[str, list[str]]] = {}
+    keys = {k: None for c in candidates for k, row in model.get(c, {}).items() if row.values}
+    for key in sorted(keys, key=lambda k: (k not in DISCRIMINATORS, k)):
+        told: dict[str, list[str]] = {}
+        for c in candidates:
+            for value in (model.get(c, {}).get(key) or Row(key, [])).values:
+                told.setdefault(value, []).append(c)
+        if any(len(x) < len(candidates) for x in told.values()):
+            out[key] = told
+    return out
+
+
 # -- the walk ----------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from quirelake.functions.syntax import Name, Ref, Stream, Text, as_dictionary, kind_of
 from quirelake.operators import joins, page_tree, shapes
-from quirelake.sources.reader import HEADER, Limits, PdfFile, _walk
+from quirelake.sources.reader import HEADER, Limits, PdfFile, Refused, _walk
 
 #: Column types of each relation.
 SCHEMAS = {
@@ -134,8 +134,17 @@ OF_OBJECTS = {"objects", "nodes", "streams", "diagnostics", "codes", "containers
 
 
 def facts_of(data: bytes, want: frozenset[str], limits: Limits = Limits(), holders: tuple[int, ...] | None = None, model: dict | None = None) -> dict:
-    """The wanted relations of one file; of ``nodes`` those in ``holders`` alone."""
-    f = PdfFile(data, limits).open()
+    """The wanted relations of one file; of ``nodes`` those in ``holders`` alone. A file that
+    strict limits refuse has none, and an open_error that says why."""
+    try:
+        return _facts(PdfFile(data, limits).open(), want, holders, model)
+    except Refused as refused:
+        f = PdfFile(b"")
+        f.open_error = str(refused)
+        return _facts(f, want, holders, model) | ({"structure": structure_of(f) | {"length": len(data), "tree_whole": False, "page_count": 0}} if "structure" in want else {})
+
+
+def _facts(f: PdfFile, want: frozenset[str], holders: tuple[int, ...] | None, model: dict | None) -> dict:
     out: dict = {}
     if f.open_error is None and want & (OF_OBJECTS if holders is None else OF_OBJECTS - {"nodes"}):
         f.load_all()
@@ -315,6 +324,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def tables_of(files: DataFrame, *want: str, model: dict | None = None) -> Tables:
+def tables_of(files: DataFrame, *want: str, model: dict | None = None, limits: Limits = Limits()) -> Tables:
     """The relations of ``files``, parsed once and stored."""
-    return Tables(stored(parse(files, *want, model=model), "parsed"), files, model)
+    return Tables(stored(parse(files, *want, limits=limits, model=model), "parsed"), files, model)

@@ -54,6 +54,14 @@ class Limits:
     rebuild_passes: int = 4
     object_stream_decodes: int = 4
     diagnostics: int = 1000
+    #: Whether a bound that is passed, or an encrypted file, ends the reading: the file is
+    #: then a row whose open_error names the bound.
+    strict: bool = False
+    refuse_encrypted: bool = False
+
+
+class Refused(Exception):
+    """A strict reading met a bound or an encrypted file."""
 
 
 @dataclass
@@ -135,6 +143,8 @@ class PdfFile:
 
     def report(self, severity: str, code: str, message: str, position: int = -1) -> None:
         self.codes[severity, code] += 1
+        if self.limits.strict and code.startswith("limit."):
+            raise Refused(code)
         if len(self.diagnostics) < self.limits.diagnostics:
             self.diagnostics.append((severity, code, message, position))
         else:
@@ -161,6 +171,8 @@ class PdfFile:
             self._rebuild("an entry places no object")
         self.root_usable = self._usable_catalog()
         self._decide_encryption()
+        if self.is_encrypted and self.limits.refuse_encrypted:
+            raise Refused("encrypted")
         if not self.index:
             self.open_error = "no-object"
         return self

@@ -129,6 +129,41 @@ def test_shapes_choose_by_subtype(spark):
     assert found == [("object.key-missing", "FontTrueType", "BaseFont"), ("object.value-type-wrong", "FontType1", "FirstChar")]
 
 
+def test_strict_limits_refuse_files(spark):
+    chained = B.build({**BODIES, 4: B.stream(b"q Q").replace(b"<< ", b"<< /Filter [%s] " % (b"/ASCIIHexDecode " * 70), 1)})
+    locked = B.build({**BODIES, 30: b"<< /Filter /Standard >>"}, trailer=b"/Encrypt 30 0 R ")
+    df = spark.createDataFrame([(1, chained), (2, locked), (3, CASES["sound"][0])], "doc_id long, content binary")
+    strict = tables_of(df, "structure", "streams", "objects", limits=Limits(strict=True, refuse_encrypted=True))
+    assert {r.doc_id: r.open_error for r in strict.structure.collect()} == {1: "limit.filter-chain", 2: "encrypted", 3: None}
+    assert {r.doc_id for r in strict.objects.collect()} == {3}
+    loose = tables_of(df, "structure", "streams")
+    assert all(r.open_error is None for r in loose.structure.collect())
+
+
+def test_raw_bytes_presence_and_runs(spark):
+    from quirelake.operators import access
+
+    data = B.damaged(B.build(BODIES), "junk-prefix")
+    t = tables_of(spark.createDataFrame([(1, data)], "doc_id long, content binary"), "objects", "structure", "nodes", "index")
+    rows = access.raw_bytes(t.files, t.objects, t.structure).collect()
+    assert rows and all(bytes(r.raw) == b"q Q" for r in rows)
+    update = B.update(B.build(bodies(n3=BODIES[3].replace(b">>", b"/X 60 0 R >>"))), {1: BODIES[1]})
+    df = spark.createDataFrame([(1, update)], "doc_id long, content binary")
+    for limits, want in ((Limits(), "missing"), (Limits(sections=1, rebuild_passes=0), "unindexed")):
+        t = Tables(parse(df, "nodes", "index", "objects", "structure", limits=limits))
+        found = {r.dst: r.presence for r in access.presence(t.refs, t.index, t.objects, t.structure).collect()}
+        assert want in found.values(), (found, want)
+    run = spark.sql("SELECT array(1, 4, 9) AS a, array(2, 4) AS b").select(access.merged_runs("a", "b").alias("m")).first().m
+    assert run == [1, 2, 4, 9]
+
+
+def test_discriminators():
+    model = shapes.basic_model()
+    found = shapes.discriminators(model, ["FontType1", "FontTrueType"])
+    assert found == {"Subtype": {"Type1": ["FontType1"], "TrueType": ["FontTrueType"]}}
+    assert list(shapes.discriminators(model, ["PageTreeNode", "PageObject"])) == ["Type"]
+
+
 def test_codes_past_the_bound_are_counted(spark):
     df = spark.createDataFrame([(1, B.damaged(CASES["sound"][0], "junk-prefix"))], "doc_id long, content binary")
     t = Tables(parse(df, "codes", "diagnostics", limits=Limits(diagnostics=0)))
