@@ -18,6 +18,7 @@ from quirelake.operators import access, joins, page_tree, rules, shapes, walks
 from quirelake.operators.tables import Tables, parse, tables_of
 from quirelake.plans import encoders
 from quirelake.sources import builder as B
+from quirelake.sources.reader import Limits
 
 Build = Callable[[dict], bytes]
 
@@ -889,3 +890,35 @@ def xref_rows_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = parsed.withColumn("x", typed_).select("doc_id", F.get(F.filter("streams", lambda s: s["obj"] == F.col("x")), F.lit(0))["decoded"].alias("decoded"))
     rows = joins.stream_rows(decoded, (1, 4, 2))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("kind") == 0).alias("n_free"), F.count_if(F.col("kind") == 1).alias("n_regular"))
+
+
+# -- bounds and raw bytes ----------------------------------------------------------------
+
+
+def _bounded(key: int, b: B.Bodies) -> bytes:
+    """Every third file passes a bound, every third is encrypted."""
+    if key % 3 == 1:
+        return _rare_damage(5, b)
+    return B.build({**b, 30: b"<< /Filter /Standard >>"}, trailer=b"/Encrypt 30 0 R ") if key % 3 == 2 else B.build(b)
+
+
+@query(
+    "strict_limits",
+    "SELECT coalesce(e, 'open') AS outcome, count(*) AS n FROM customer JOIN (VALUES (0, NULL), (1, 'limit.filter-chain'), (2, 'encrypted')) v(r, e) ON c_custkey % 3 = r GROUP BY 1",
+)
+def strict_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = Limits(strict=True, refuse_encrypted=True)
+    t = Tables(parse(files_of(customers(spark, sf_dir), _by_key(_bounded)), "structure", "streams", limits=limits))
+    return t.structure.groupBy(F.coalesce("open_error", F.lit("open")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def stored_text(row: dict) -> bytes:
+    return B.build(B.page_bodies(1, [(row["text"] or "").encode()]))
+
+
+@query("raw_stream_bytes", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, sha256(text) AS sha FROM documents")
+def raw_stream_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams without a filter hold the text's bytes as they are."""
+    t = tables_of(files_of(texts(spark, sf_dir), stored_text), "objects", "structure")
+    raw = access.raw_bytes(t.files, t.objects, t.structure)
+    return raw.select("doc_id", F.octet_length("raw").cast("long").alias("n"), F.sha2("raw", 256).alias("sha"))
