@@ -77,16 +77,15 @@ def templates(lines: Column) -> Column:
 
 
 def n_tokens(template: Column) -> Column:
-    return F.length(template) - F.length(F.replace(template, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(template) - F.octet_length(F.replace(template, F.lit(" "), F.lit(""))) + 1
 
 
 def _leading(n: Column) -> Column:
     return F.when(n >= LEAF_TOKENS, F.lit(LEADING)).otherwise(F.lit(SHORT_LEADING))
 
 
-def _line(template: Column) -> Column:
-    """What stands for a distinct line: its code, tokens and leaf."""
-    n = n_tokens(template)
+def _line(template: Column, n: Column) -> Column:
+    """What stands for a distinct line of ``n`` tokens: its code, tokens and leaf."""
     path = F.when(n >= LEAF_TOKENS, F.substring_index(template, " ", LEADING)).otherwise(F.substring_index(template, " ", SHORT_LEADING))
     leaf = F.when(n >= SHORT_TOKENS, F.xxhash64(n, path))
     return F.struct(F.xxhash64(template).alias("h"), n.alias("n"), leaf.alias("leaf"))
@@ -99,29 +98,41 @@ def cut(docs: DataFrame) -> DataFrame:
     cols = [c for c in docs.columns if not c.startswith("__line_")]
     rows = docs.select(*cols, F.monotonically_increasing_id().alias("__line_row"), templates(F.coalesce("text", F.lit(""))).alias("__line_t"))
     rows = rows.withColumn("__line_d", F.array_remove(F.array_distinct("__line_t"), ""))
-    rows = rows.withColumn("__line_digests", F.transform("__line_d", F.md5))
+    rows = rows.withColumn("__line_digests", F.transform("__line_d", lambda t: F.unhex(F.md5(t))))
+    rows = rows.withColumn("__line_twice", twice("__line_digests"))
     codes = F.transform("__line_t", lambda t: F.xxhash64(t)).alias("__line_h")
-    own = F.transform("__line_d", _line).alias("__line_own")
-    return written(rows.select(*cols, "__line_row", codes, own, "__line_digests", min_hashes("__line_digests").alias("__line_least")), "line-cut")
+    # A lambda works out a name of its body at every use, so the tokens are counted before.
+    own = F.zip_with("__line_d", F.transform("__line_d", n_tokens), _line).alias("__line_own")
+    return written(rows.select(*cols, "__line_row", codes, own, "__line_digests", min_hashes("__line_twice").alias("__line_least")), "line-cut")
 
 
 def weights(lines: DataFrame) -> DataFrame:
     """(sig, weight): how much a document with the min-hashes ``sig``, ``least`` counts for."""
     kinds = written(lines.groupBy("sig").agg(F.count("*").alias("n"), F.first("least").alias("least")), "line-kinds")
     each = kinds.select("sig", "n", F.posexplode("least").alias("j", "least"))
-    shared = each.groupBy("j", "least").agg(F.sum("n").alias("alike"))
-    most = each.join(shared, ["j", "least"]).groupBy("sig").agg(F.sort_array(F.collect_list("alike"), asc=False)[RANK - 1].alias("alike"))
+    shared = each.groupBy("least").agg(F.sum("n").alias("alike"), F.count("*").alias("kinds")).where("kinds > 1")
+    # A min-hash of one kind alone is shared by that kind's documents: told once for all.
+    heard = each.join(shared, "least").select("sig", "j", "alike").unionAll(kinds.select("sig", F.lit(-1).alias("j"), F.col("n").alias("alike")))
+    # A column for each order, as sums of numbers are hashed and lists are sorted.
+    most = heard.groupBy("sig").agg(*(F.max(F.when(F.col("j") == j, F.col("alike"))).alias(f"a{j}") for j in range(-1, ORDERS)))
+    alike = F.array(*(F.coalesce(f"a{j}", "`a-1`") for j in range(ORDERS)))
+    most = most.select("sig", F.sort_array(alike, asc=False)[RANK - 1].alias("alike"))
     return written(most.select("sig", F.expr(f"{WHOLE} div alike").alias("weight")), "line-weights")
 
 
-def min_hashes(digests: str) -> Column:
-    """The min-hashes of distinct lines by their digests."""
-    doubled = F.transform(digests, lambda d: F.concat(d, d))
-    return F.array(*(_least(doubled, 2 * j + 1) for j in range(ORDERS)))
+def twice(digests: str) -> Column:
+    """Digests that go round: each followed by itself."""
+    return F.transform(digests, lambda d: F.concat(d, d))
 
 
-def _least(digests: Column, first: int) -> Column:
-    return F.xxhash64(F.array_min(F.transform(digests, lambda d: F.substring(d, first, 16))))
+def min_hashes(doubled: str) -> Column:
+    """The min-hashes of distinct lines by their doubled digests, a column: as part of the
+    expression they would be doubled for every order."""
+    return F.array(*(_least(F.col(doubled), j) for j in range(ORDERS)))
+
+
+def _least(doubled: Column, j: int) -> Column:
+    return F.xxhash64(F.lit(j), F.array_min(F.transform(doubled, lambda d: F.substring(d, j + 1, 8))))
 
 
 def recurring(texts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -193,15 +204,17 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             F.when(whole, F.col("__line_least")).alias("least"),
             F.when(~whole, _left(F.col("__line_digests"), at)).alias("digests"),
         )
-        left = left.select("own", F.coalesce("least", F.when(F.size("digests") > 0, min_hashes("digests"))).alias("least"))
+        left = left.withColumn("doubled", twice("digests"))
+        left = left.select("own", F.coalesce("least", F.when(F.size("digests") > 0, min_hashes("doubled"))).alias("least"))
         left = written(left, "line-left")
         gone = written(gone.unionAll(recurring(texts, left)).distinct(), "line-recurring")
-    joined = _with_places(rows.drop("__line_own"), "__line_h", gone, "line-places")
+    rows = rows.withColumn("__line_n", F.when(F.col("text").isNotNull(), F.size("__line_h")).otherwise(0))
+    joined = _with_places(rows, "__line_h", gone, "line-places")
     lines = F.split("text", "\n", -1)
     touched = F.col("__line_at").isNotNull() & F.col("text").isNotNull()
     text = F.when(touched, F.array_join(_left(lines, F.col("__line_at")), "\n")).otherwise(F.col("text"))
     others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped") and not c.startswith("__line_")]
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
+    n_lines = F.col("__line_n").cast("long")
     n_dropped = F.when(touched, F.size("__line_at")).otherwise(F.lit(0)).cast("long")
     return joined.select(*others, text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 

@@ -1,13 +1,13 @@
 """op2, op7, op8 and the components against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from quirelake.llm import components, line_dedup, near_copies as copies, simhash, suffix_dedup
+from quirelake.llm import common, components, line_dedup, near_copies as copies, simhash, suffix_dedup
 from tests.llm import data
 
 
@@ -349,3 +349,33 @@ def test_line_dedup_tells_rows_apart(spark):
     found = line_dedup.line_dedup(df).collect()
     assert sorted(r.text for r in found) == sorted(t.replace(line + "\n", "").replace("\n" + line, "") for _, t in rows)
     assert sum(r.n_dropped for r in found) == 30_007
+
+
+def test_line_dedup_works_out_each_line_once(spark, monkeypatch):
+    """A lambda is interpreted: what its body names twice is worked out twice. Weights gather
+    no lists, which are sorted at more than a few keys."""
+    plans = {}
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return common.written(df, label)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1)
+    line_dedup.line_dedup(data.documents(spark))
+    assert plans["line-cut"].count("replace(lambda") == 1 and plans["line-cut"].count("md5(") == 1
+    assert plans["line-cut"].count("concat(lambda") == 1
+    assert "collect_list" not in plans["line-weights"] and "max(CASE WHEN" in plans["line-weights"]
+
+
+def test_line_weights_by_hand(spark):
+    rng = random.Random(8)
+    rows = [[rng.randint(0, 3) if rng.random() < share else rng.getrandbits(58) for _ in range(line_dedup.ORDERS)] for share in (0.0, 0.2, 0.5, 1.0) for _ in range(30)]
+    rows += [rows[0]] * 7 + [rows[40]] * 3 + [rows[119]] * 2
+    # As min_hashes gives them: the order is part of the number.
+    least = [[v * 16 + j for j, v in enumerate(r)] for r in rows]
+    df = spark.createDataFrame([(hash(tuple(r)), r) for r in least], "sig long, least array<long>")
+    held = Counter((j, v) for r in least for j, v in enumerate(r))
+    want = {hash(tuple(r)): line_dedup.WHOLE // sorted((held[j, v] for j, v in enumerate(r)), reverse=True)[line_dedup.RANK - 1] for r in least}
+    found = line_dedup.weights(df).collect()
+    assert {r.sig: r.weight for r in found} == want and len(found) == len(want) and len(set(want.values())) > 3
