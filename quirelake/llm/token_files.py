@@ -84,24 +84,33 @@ PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 LETTERS_FIRST = "[{L}]+|'(?:[stmd]|re|ve|ll)|[{N}]|[^{S}{L}{N}]+"
 
 
+#: Fixed value: the letter that stands for each byte in a byte-level vocabulary.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _SHOWN), range(256, 512)))
+
+
+def byte_letters(word: str) -> str:
+    """The letters of a word's UTF-8 bytes; those of visible ASCII stand for themselves."""
+    if word.isascii() and word.isalnum():
+        return word
+    return word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+
+
 class Encoder:
     """The library's ids of whole texts. A text of plain Latin letters is cut into the
-    tokenizer's own pieces, and the library encodes each distinct piece once; any other
+    tokenizer's own pieces, and the library's model encodes each distinct piece once; any other
     text (marks to compose, letters whose case depends on their place, added tokens) is
     given to the library as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        #: The library's model without its normalising and cutting, which pieces have had.
-        self.of_pieces = Tokenizer(self.library.model)
-        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        #: The library's model alone: pieces are normalised and cut already.
+        self.model = self.library.model
         # A letter counts as plain only if its small form is one of them too.
         latin = [c for c in range(0x250) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
         kinds = {k: "".join(f"\\u{c:04x}" for c in latin if unicodedata.category(chr(c))[0] == k) for k in "LN"}
@@ -126,17 +135,15 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            found = self.of_pieces.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            if len(owner) and owner[-1] == len(part) - 1 and (np.diff(owner) >= 0).all():
-                data = ids.tobytes()
-                width = ids.itemsize
-                for k, word in enumerate(part):
-                    self.known[word] = data[cuts[k] * width : cuts[k + 1] * width]
-            else:
-                for word in part:
-                    self.known[word] = self.whole(word)
+            ids: list[int] = []
+            ends = []
+            for word in part:
+                ids += [t.id for t in self.model.tokenize(byte_letters(word))]
+                ends.append(len(ids))
+            data, width, start = np.array(ids, self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
+            for word, end in zip(part, ends):
+                self.known[word] = data[start * width : end * width]
+                start = end
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -79,6 +79,24 @@ def test_every_letter_of_the_library():
         assert np.frombuffer(ids, encoder.kind).tolist() == e.ids, hex(ord(text[1]))
 
 
+def test_pieces_go_to_the_model_once():
+    """Every distinct piece of plain texts is given to the library's model alone, by its bytes."""
+    library, encoder, seen = Tokenizer.from_file(WORD), token_files.Encoder(WORD), []
+
+    class Model:
+        def tokenize(self, word, model=encoder.model):
+            seen.append(word)
+            return model.tokenize(word)
+
+    encoder.model, encoder.library = Model(), None
+    signs = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028)) if encoder.is_plain(chr(c))]
+    texts = [f"x{c}y {c}{c} 7{c} don't {c}" for c in signs] * 2
+    for text, ids, e in zip(texts, encoder.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, encoder.kind).tolist() == e.ids, text
+    encoder.encode_batch(texts)
+    assert len(signs) > 500 and len(seen) == len(set(seen)) == len(encoder.known)
+
+
 def test_starts_add_up_over_ranges(spark):
     rows = [(part << 33 | k, part + k + 1) for part in (0, 1, 5) for k in range(4)]
     files = spark.createDataFrame(rows, "place long, n long").repartition(3)
