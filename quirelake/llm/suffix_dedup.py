@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_rows, written
+from quirelake.llm.common import map_rows, release, written
 
 LENGTH = 100
 GRAM = 32
@@ -434,7 +434,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = written(_rounds(long, _segment_batches, "gram", True), "suffix-segments")
     open_rows = _with_spans(long, _spans(told, OPEN), "inner")
     edges = written(_rounds(open_rows, _window_batches, "code", False), "suffix-windows")
-    gone = _spans(told.unionAll(edges), LOST)
+    gone = written(_spans(told.unionAll(edges), LOST), "suffix-spans")
+    release(told, edges)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -1,6 +1,8 @@
 """op2, op7, op8 and the components against brute force."""
 
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,6 +78,30 @@ def test_suffix_dedup_of_awkward_rows(spark):
     assert suffix_dedup.suffix_dedup(data.empty(spark)).count() == 0
 
 
+def shuffle_files(spark) -> set[str]:
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {x for d in folders for _, _, names in os.walk(d.getPath()) for x in names if x.startswith("shuffle_")}
+
+
+def shared_tables(spark) -> set[str]:
+    return set(os.listdir(common.shared_folder(spark)))
+
+
+def test_suffix_dedup_leaves_only_its_spans_on_disk(spark):
+    """Before the result is read, nothing that was shuffled for it is left."""
+    df = spark.createDataFrame(repeats(4), "doc_id long, text string").repartition(5)
+    files, tables, cleanup = shuffle_files(spark), shared_tables(spark), spark.conf.get(common.CLEANUP, None)
+    found = suffix_dedup.suffix_dedup(df)
+    for _ in range(50):  # files are deleted while the driver goes on
+        if shuffle_files(spark) <= files:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= files
+    assert [x.rsplit("-", 1)[0] for x in shared_tables(spark) - tables] == ["suffix-spans"]
+    assert spark.conf.get(common.CLEANUP, None) == cleanup
+    assert found.count() == found.count() == 67  # read more than once
+
+
 def test_family_keeps_the_earliest():
     rng = np.random.default_rng(1)
     family, lost, all_ = suffix_dedup.Family(), 0, []
