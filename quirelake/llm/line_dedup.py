@@ -40,7 +40,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import release, written
 
 #: A document's whole weight, and what recurring takes: rounding and the near copies of a
 #: group make their sum differ a little from a count.
@@ -117,7 +117,9 @@ def weights(lines: DataFrame) -> DataFrame:
     most = heard.groupBy("sig").agg(*(F.max(F.when(F.col("j") == j, F.col("alike"))).alias(f"a{j}") for j in range(-1, ORDERS)))
     alike = F.array(*(F.coalesce(f"a{j}", "`a-1`") for j in range(ORDERS)))
     most = most.select("sig", F.sort_array(alike, asc=False)[RANK - 1].alias("alike"))
-    return written(most.select("sig", F.expr(f"{WHOLE} div alike").alias("weight")), "line-weights")
+    found = written(most.select("sig", F.expr(f"{WHOLE} div alike").alias("weight")), "line-weights")
+    release(kinds)
+    return found
 
 
 def twice(digests: str) -> Column:
@@ -139,14 +141,18 @@ def recurring(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """(h): the lines that recur, as they are or by their template. ``lines`` has a row for
     each document (own, least), ``texts`` its line codes and text."""
     signed = lines.where(F.size("own") > 0).withColumn("sig", F.xxhash64("least"))
-    held = signed.select("sig", "own").join(weights(signed), "sig").select("weight", F.explode("own").alias("x")).where(F.col("x.n") >= MIN_TOKENS)
+    weighed = weights(signed)
+    held = signed.select("sig", "own").join(weighed, "sig").select("weight", F.explode("own").alias("x")).where(F.col("x.n") >= MIN_TOKENS)
     sums = held.groupBy(F.col("x.h").alias("h")).agg(F.sum("weight").alias("weight"), F.first("x.n").alias("n"), F.first("x.leaf").alias("leaf"))
     sums = written(sums, "line-sums")
+    release(weighed)
     recurs = F.col("weight") >= MIN_WEIGHT
     rare = sums.where(~recurs & F.col("leaf").isNotNull())
     some = rare.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("weight").alias("total")).where(f"kinds > 1 and total >= {MIN_WEIGHT}")
     members = written(rare.join(some.select("leaf"), "leaf", "left_semi"), "line-members")
-    return written(sums.where(recurs).select("h").unionAll(_generalised(texts, members)), "line-recurring")
+    found = written(sums.where(recurs).select("h").unionAll(_generalised(texts, members)), "line-recurring")
+    release(sums, members)
+    return found
 
 
 def _generalised(texts: DataFrame, members: DataFrame) -> DataFrame:
@@ -208,6 +214,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         left = left.select("own", F.coalesce("least", F.when(F.size("digests") > 0, min_hashes("doubled"))).alias("least"))
         left = written(left, "line-left")
         gone = written(gone.unionAll(recurring(texts, left)).distinct(), "line-recurring")
+        release(left)
     rows = rows.withColumn("__line_n", F.when(F.col("text").isNotNull(), F.size("__line_h")).otherwise(0))
     joined = _with_places(rows, "__line_h", gone, "line-places")
     lines = F.split("text", "\n", -1)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import map_rows, slices, texts_of, written
+from quirelake.llm.common import map_rows, release, slices, texts_of, written
 from quirelake.llm.components import components
 from quirelake.llm.simhash import SEED, fingerprint_of, links_of, shingle_hashes
 
@@ -229,7 +229,7 @@ def connecting(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def copy_groups(marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, grp): the classes of shingle sets, near copies under one number."""
+    """(code, grp), written: the classes of shingle sets, near copies under one number."""
     least = marked.groupBy(F.col("__copy_code").alias("code")).agg(
         F.min("__copy_row").alias("id"), F.first("__copy_fp").alias("fp"), F.first("__copy_bands").alias("bands")
     )
@@ -242,23 +242,30 @@ def copy_groups(marked: DataFrame, text_col: str = "text") -> DataFrame:
     sets = _sets(marked.select(F.col("__copy_row").alias("id"), F.col(text_col).alias("text")), nodes)
     first = components(verified(pairs, sets))
     links = written(connecting(open_blocks(shared, first), sets), "copy-links")
+    release(shared, pairs, sets)
     second = components(links).select(F.col("node").alias("first_grp"), "root")
     grouped = classes.join(first.withColumnRenamed("root", "first_root"), classes.id == F.col("node"), "left")
     grouped = grouped.select("code", F.coalesce("first_root", "id").alias("first_grp")).join(second, "first_grp", "left")
-    return grouped.select("code", F.coalesce("root", "first_grp").alias("grp"))
+    grouped = written(grouped.select("code", F.coalesce("root", "first_grp").alias("grp")), "copy-groups")
+    release(classes)
+    return grouped
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with ``__copy_row``, ``__copy_group`` and ``__copy_kept``: of
     each group the row of the smallest id is kept."""
     marked = mark(docs, text_col)
-    grouped = copy_groups(marked, text_col).withColumnRenamed("code", "__copy_code")
+    groups = copy_groups(marked, text_col)
+    grouped = groups.withColumnRenamed("code", "__copy_code")
     place = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("__copy_row").alias("row"))
     told = written(marked.select("__copy_row", "__copy_code", place.alias("place")).join(grouped, "__copy_code"), "copy-told")
+    release(groups)
     firsts = told.groupBy("grp").agg(F.min("place")["row"].alias("first"))
     gone = told.join(firsts, "grp").select(F.col("__copy_row").alias("row"), F.col("grp").alias("__copy_group"), (F.col("__copy_row") == F.col("first")).alias("__copy_kept"))
     # A merge join at every size: one side has a row for each text.
-    found = marked.join(written(gone, "copy-rows").hint("merge"), marked["__copy_row"] == F.col("row"))
+    gone = written(gone, "copy-rows")
+    release(told)
+    found = marked.join(gone.hint("merge"), marked["__copy_row"] == F.col("row"))
     return found.drop("row", "__copy_code", "__copy_fp", "__copy_bands")
 
 
