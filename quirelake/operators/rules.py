@@ -48,29 +48,29 @@ def _tree(rule_id: str) -> Rule:
 def _whole_chain(t: Tables) -> DataFrame:
     """Files whose chain lost nothing."""
     lost = t.sections.where("state <> 'Read' or incomplete or trailer_fault <> ''").select("doc_id").distinct()
-    return t.structure.where("chain_read and loop_offset is null and not chain_cut").select("doc_id").join(lost, "doc_id", "left_anti")
+    return t.structure.where("chain_read and loop_offset is null and not chain_cut").select("doc_id").join(joins.apart(lost), "doc_id", "left_anti")
 
 
 def root_invalid(t: Tables) -> DataFrame:
     read = t.sections.where("trailer_fault = '' and state = 'Read'").select("doc_id").distinct()
-    judged = t.structure.where("(chain_read and not root_named_usable) or (was_repaired and not root_usable)").join(read, "doc_id", "left_semi")
+    judged = t.structure.where("(chain_read and not root_named_usable) or (was_repaired and not root_usable)").join(joins.apart(read), "doc_id", "left_semi")
     return _found(judged.where("not (was_repaired and root_usable)"), detail="CASE WHEN has_root THEN 'leads to no catalog' ELSE 'missing' END")
 
 
 def size_wrong(t: Tables) -> DataFrame:
     """/Size against one more than the highest number of a section and the older ones."""
     oldest_first = Window.partitionBy("doc_id").orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, 0)
-    top = t.sections.join(_whole_chain(t), "doc_id", "left_semi").withColumn("top", F.max("highest").over(oldest_first))
+    top = t.sections.join(joins.apart(_whole_chain(t)), "doc_id", "left_semi").withColumn("top", F.max("highest").over(oldest_first))
     past = object_past_size(t).select("doc_id").distinct()
     wrong = top.where("named_by <> 'XRefStm' and top >= 0 and (size is null or size <> top + 1)")
-    newest = wrong.where("ordinal = 0 and size is not null and size <= top").join(past, "doc_id", "left_semi").select("doc_id", "ordinal")
-    return _found(wrong.join(newest, ["doc_id", "ordinal"], "left_anti"), position="offset", detail="concat(coalesce(size, 'none'), ' given, ', top + 1, ' used')")
+    newest = wrong.where("ordinal = 0 and size is not null and size <= top").join(joins.apart(past), "doc_id", "left_semi").select("doc_id", "ordinal")
+    return _found(wrong.join(joins.apart(newest), ["doc_id", "ordinal"], "left_anti"), position="offset", detail="concat(coalesce(size, 'none'), ' given, ', top + 1, ' used')")
 
 
 def object_past_size(t: Tables) -> DataFrame:
     size = t.sections.where("ordinal = 0 and state = 'Read' and size is not null").selectExpr("doc_id", "size")
     used = joins.newest_rows(t.xref_entries).where("kind <> 'free' and not refused and obj > 0")
-    past = used.join(size, "doc_id").where("obj >= size").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("obj").alias("obj"))
+    past = used.join(joins.apart(size), "doc_id").where("obj >= size").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("obj").alias("obj"))
     return _found(past, obj="obj", detail="concat(n, ' objects')")
 
 
@@ -89,7 +89,7 @@ def entry_broken(t: Tables) -> DataFrame:
     direct = _entries("place = 'not-found'")(t)
     state = t.packed
     bad = t.objects.where("source = 'objstm' and presence = 'unproduced'").select("doc_id", "obj")
-    packed = state.where("state = 'unlisted'").unionByName(state.where("state in ('listed', 'moved')").join(bad, ["doc_id", "obj"], "left_semi"))
+    packed = state.where("state = 'unlisted'").unionByName(state.where("state in ('listed', 'moved')").join(joins.apart(bad), ["doc_id", "obj"], "left_semi"))
     return direct.unionByName(_found(packed, obj="obj", detail="concat('object stream ', objstm)"))
 
 
@@ -103,7 +103,7 @@ def needs(t: Tables) -> DataFrame:
     used = t.index.where("kind = 'compressed'").select("doc_id", F.col("objstm").alias("a")).distinct()
     asked = t.refs.where("path rlike '^/(Length|Type|N|First|Filter|DecodeParms)([/\\\\[]|$)'").selectExpr("doc_id", "src as a", "dst")
     held = t.index.where("kind = 'compressed'").selectExpr("doc_id", "obj as dst", "objstm as b")
-    return asked.join(used, ["doc_id", "a"], "left_semi").join(held, ["doc_id", "dst"]).select("doc_id", "a", "b").distinct()
+    return asked.join(joins.apart(used), ["doc_id", "a"], "left_semi").join(joins.apart(held), ["doc_id", "dst"]).select("doc_id", "a", "b").distinct()
 
 
 def object_stream_circular(t: Tables) -> DataFrame:
@@ -114,13 +114,13 @@ def object_stream_broken(t: Tables) -> DataFrame:
     state = t.packed.where("state = 'broken'")
     lost = state.groupBy("doc_id", "objstm").agg(F.count("*").alias("n"), F.first("fault").alias("fault"))
     circular = object_stream_circular(t).selectExpr("doc_id", "obj as objstm")
-    return _found(lost.join(circular, ["doc_id", "objstm"], "left_anti"), obj="objstm", detail="concat(coalesce(fault, 'missing'), ', ', n, ' objects lost')")
+    return _found(lost.join(joins.apart(circular), ["doc_id", "objstm"], "left_anti"), obj="objstm", detail="concat(coalesce(fault, 'missing'), ', ', n, ' objects lost')")
 
 
 def object_stream_value_wrong(t: Tables) -> DataFrame:
     used = t.index.where("kind = 'compressed'").select("doc_id", F.col("objstm").alias("holder")).distinct()
     reals = t.nodes.where("path in ('/N', '/First', '/Length') and kind = 'real' and d = floor(d)")
-    return _found(reals.join(used, ["doc_id", "holder"], "left_semi"), obj="holder", detail="key")
+    return _found(reals.join(joins.apart(used), ["doc_id", "holder"], "left_semi"), obj="holder", detail="key")
 
 
 def offset_imprecise(t: Tables) -> DataFrame:
@@ -136,9 +136,9 @@ def reference_missing(t: Tables) -> DataFrame:
     """By holder, but for kids of the page tree and the trailer's /Root."""
     live = t.objects.where("reachable").selectExpr("doc_id", "obj as src").unionByName(t.structure.selectExpr("doc_id", "CAST(0 AS BIGINT) AS src"))
     nodes = t.nodes.where("path = '/Kids' or (path = '/Type' and name = 'Pages')").selectExpr("doc_id", "holder as src").distinct()
-    refs = t.refs.where("not (src = 0 and path = '/Root')").join(live, ["doc_id", "src"], "left_semi")
-    kids = refs.where("parent_path = '/Kids'").join(nodes, ["doc_id", "src"], "left_semi").select("doc_id", "src", "path")
-    missing = joins.dangling(refs, t.index).join(kids, ["doc_id", "src", "path"], "left_anti")
+    refs = t.refs.where("not (src = 0 and path = '/Root')").join(joins.apart(live), ["doc_id", "src"], "left_semi")
+    kids = refs.where("parent_path = '/Kids'").join(joins.apart(nodes), ["doc_id", "src"], "left_semi").select("doc_id", "src", "path")
+    missing = joins.dangling(refs, t.index).join(joins.apart(kids), ["doc_id", "src", "path"], "left_anti")
     first = missing.groupBy("doc_id", "src").agg(F.count("*").alias("n"), F.min_by("path", "ord").alias("path"), F.min_by("dst", "ord").alias("dst"))
     return _found(first, obj="nullif(src, 0)", detail="concat(n, ' references, first ', path, ' to ', dst)")
 
@@ -149,7 +149,7 @@ def endobj_missing(t: Tables) -> DataFrame:
 
 def name_null_character(t: Tables) -> DataFrame:
     live = t.objects.where("reachable").selectExpr("doc_id", "obj as holder")
-    bad = t.nodes.where("instr(coalesce(name, ''), char(0)) > 0 or instr(coalesce(key, ''), char(0)) > 0").join(live, ["doc_id", "holder"], "left_semi")
+    bad = t.nodes.where("instr(coalesce(name, ''), char(0)) > 0 or instr(coalesce(key, ''), char(0)) > 0").join(joins.apart(live), ["doc_id", "holder"], "left_semi")
     first = bad.groupBy("doc_id", "holder").agg(F.count("*").alias("n"), F.min_by("path", "ord").alias("path"))
     return _found(first, obj="holder", detail="concat(n, ' names')")
 
@@ -157,10 +157,10 @@ def name_null_character(t: Tables) -> DataFrame:
 def page_orphaned(t: Tables) -> DataFrame:
     """Only where the file's own index is sound and its tree was read whole."""
     unsound = t.sections.where("state <> 'Read' or incomplete or unconfirmed").select("doc_id").distinct()
-    sound = t.structure.where("not was_repaired and tree_whole and loop_offset is null and page_root is not null").select("doc_id").join(unsound, "doc_id", "left_anti")
+    sound = t.structure.where("not was_repaired and tree_whole and loop_offset is null and page_root is not null").select("doc_id").join(joins.apart(unsound), "doc_id", "left_anti")
     real = t.nodes.where("path in ('/Parent', '/Contents')").selectExpr("doc_id", "holder as obj").distinct()
-    pages = t.objects.where("type_name = 'Page'").join(sound, "doc_id", "left_semi").join(real, ["doc_id", "obj"], "left_semi")
-    return _found(pages.join(t.pages.select("doc_id", "obj"), ["doc_id", "obj"], "left_anti"), obj="obj", gen="gen", position="offset")
+    pages = t.objects.where("type_name = 'Page'").join(joins.apart(sound), "doc_id", "left_semi").join(joins.apart(real), ["doc_id", "obj"], "left_semi")
+    return _found(pages.join(joins.apart(t.pages.select("doc_id", "obj")), ["doc_id", "obj"], "left_anti"), obj="obj", gen="gen", position="offset")
 
 
 _VERSION_LIST = ", ".join(f"'{v}'" for v in VERSIONS)
@@ -185,7 +185,7 @@ PROFILE: tuple[tuple[str, str, Rule], ...] = (
     ("xref.section-unconfirmed", "Error", _sections("unconfirmed")),
     ("xref.subsection-missing", "Warning", _sections("no_subsection", "offset")),
     ("xref.chain-loop", "Error", _structure("loop_offset is not null", "loop_offset")),
-    ("xref.chain-empty", "Error", lambda t: _found(t.structure.where("chain_empty").join(_whole_chain(t), "doc_id", "left_semi"))),
+    ("xref.chain-empty", "Error", lambda t: _found(t.structure.where("chain_empty").join(joins.apart(_whole_chain(t)), "doc_id", "left_semi"))),
     ("xref.hybrid-stream-wrong", "Error", _sections("named_by = 'XRefStm' and fault = 'hybrid'")),
     ("xref.entry-broken", "Error", entry_broken),
     ("xref.entry-shifted", "Warning", entry_shifted),
