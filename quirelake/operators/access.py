@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.filters import IMAGE
+from quirelake.operators.joins import apart
 
 
 def integer() -> Column:
@@ -50,10 +51,10 @@ def presence(refs: DataFrame, index: DataFrame, objects: DataFrame, structure: D
     and the index may not hold what the file does."""
     there = index.where("kind <> 'free' and obj > 0").selectExpr("doc_id", "obj AS dst", "true AS indexed")
     known = objects.selectExpr("doc_id", "obj AS dst", "presence")
-    out = refs.join(there, ["doc_id", "dst"], "left").join(known, ["doc_id", "dst"], "left")
+    out = refs.join(apart(there), ["doc_id", "dst"], "left").join(apart(known), ["doc_id", "dst"], "left")
     absent = F.lit("missing")
     if structure is not None:
-        out = out.join(structure.select("doc_id", "chain_cut"), "doc_id", "left")
+        out = out.join(apart(structure.select("doc_id", "chain_cut")), "doc_id", "left")
         absent = F.when(F.col("chain_cut"), "unindexed").otherwise(absent)
     told = F.when(F.col("indexed").isNull(), absent).otherwise(F.coalesce("presence", F.lit("unproduced")))
     return out.withColumn("presence", told).drop("indexed", "chain_cut")
@@ -63,7 +64,7 @@ def raw_bytes(files: DataFrame, objects: DataFrame, structure: DataFrame) -> Dat
     """(doc_id, obj, raw): the bytes of each stream as they stand in its file."""
     places = objects.where("data_offset IS NOT NULL").select("doc_id", "obj", "data_offset", "raw_length")
     base = structure.select("doc_id", F.coalesce("header_pos", F.lit(0)).alias("base"))
-    rows = places.join(base, "doc_id").join(files.select("doc_id", "content"), "doc_id")
+    rows = places.join(apart(base), "doc_id").join(apart(files.select("doc_id", "content")), "doc_id")
     return rows.select("doc_id", "obj", F.expr("substring(content, CAST(base + data_offset + 1 AS INT), CAST(raw_length AS INT))").alias("raw"))
 
 
